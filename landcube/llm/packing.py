@@ -24,7 +24,7 @@ from landcube.llm.common import materialize, need
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 #: Words kept with their ids in a Python worker; the caches are emptied when full.
-CACHED_WORDS, CACHED_PARTS = 300_000, 600_000
+CACHED_WORDS, CACHED_PARTS = 500_000, 1_000_000
 
 
 class WordIds:
@@ -77,6 +77,16 @@ class WordIds:
         return b"".join([get(w) or word(w) for w in text.encode("utf-8", "replace").split()])
 
 
+_OPEN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One table of words for each Python worker, which serves many tasks; so a word is rarely tokenized twice."""
+    if path not in _OPEN:
+        _OPEN[path] = WordIds(path)
+    return _OPEN[path]
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -91,7 +101,7 @@ def pieces(documents: DataFrame, capacity: int = 2048, end_id: int = 0, tokenize
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        ids_of, seen, end = WordIds(path), [0] * (capacity + 1), np.array([end_id], dtype="<u4").tobytes()
+        ids_of, seen, end = word_ids(path), [0] * (capacity + 1), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
