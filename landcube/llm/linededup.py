@@ -24,22 +24,23 @@ def lines_of(text: Column) -> Column:
 
 
 def line_windows(documents: DataFrame, span: int) -> DataFrame:
-    """doc_id, s (the window's first line among those not blank, from 0), fp and around of each window."""
-    hashes = F.transform(F.filter(F.transform(lines_of(F.col("text")), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x))
-    rows = need(documents, "doc_id", "text").select("doc_id", hashes.alias("h")).where(F.size("h") >= span)
-    rows = rows.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - span)).alias("s"))
-    rows = rows.select("doc_id", "s", F.slice("h", F.col("s") + 1, span).alias("win"))
+    """doc_id, s (the window's first line among those not blank, from 0), at (its lines among all), fp and around."""
+    lines = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i")))
+    rows = need(documents, "doc_id", "text").select("doc_id", F.filter(lines, lambda e: e["x"] != "").alias("e")).where(F.size("e") >= span)
+    rows = rows.select("doc_id", F.transform("e", lambda e: F.xxhash64(e["x"])).alias("h"), F.col("e.i").alias("at"))
+    rows = rows.select("doc_id", "h", "at", F.explode(F.sequence(F.lit(0), F.size("h") - span)).alias("s"))
+    rows = rows.select("doc_id", "s", F.slice("h", F.col("s") + 1, span).alias("win"), F.slice("at", F.col("s") + 1, span).alias("at"))
     least = F.array_min("win")
-    return rows.select("doc_id", "s", least.alias("fp"), F.xxhash64(F.array_position("win", least), "win").alias("around"))
+    return rows.select("doc_id", "s", "at", least.alias("fp"), F.xxhash64(F.array_position("win", least), "win").alias("around"))
 
 
 def repeated_windows(documents: DataFrame, span: int) -> DataFrame:
-    """doc_id and starts: the windows that occur earlier, per document."""
+    """doc_id and gone: the lines (from 0) of the windows that occur earlier, per document."""
     windows, place = line_windows(documents, span), F.struct("doc_id", "s")
     firsts = windows.groupBy("fp", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = materialize(firsts, "lines")
     later = windows.join(firsts, ["fp", "around"]).where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
+    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("_gone"))
 
 
 def dedup_lines(documents: DataFrame, span: int = 2) -> DataFrame:
@@ -50,13 +51,9 @@ def dedup_lines(documents: DataFrame, span: int = 2) -> DataFrame:
     """
     hits = repeated_windows(documents, span).withColumnRenamed("doc_id", "_own")
     joined = documents.join(hits, F.col("doc_id").eqNullSafe(F.col("_own")), "left")
-    lines = lines_of(F.col("text"))
-    # ranks: for each line, how many lines before it are not blank
-    ranks = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(F.trim(x) != "", 1).otherwise(0))))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + span - 1))))
-    parts = joined.withColumns({"_lines": lines, "_gone": gone})
-    parts = parts.withColumn("_ranks", F.when(F.col("_gone").isNotNull(), ranks))
-    kept = F.filter("_lines", lambda x, i: (F.trim(x) == "") | ~F.array_contains(F.col("_gone"), F.get("_ranks", i)))
+    parts = joined.withColumn("_lines", lines_of(F.col("text")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.transform(left, lambda i: F.get("_lines", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     made = parts.withColumns({"_text": text, "_n": F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(n_removed), "_all": F.size("_lines").cast("long")})
