@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landcube.llm import decontamination, html, linededup, packing, sharding, simhash, toxicity
+from landcube.llm import covertree, decontamination, html, linededup, lm, packing, sharding, simhash, toxicity
 from landcube.llm.common import table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.report(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,11 +42,16 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_sharding, op5_decontamination, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_html_extraction)
+    f.__name__: f for f in (op1_exact_top_k, op2_simhash, op4_sharding, op5_decontamination, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_html_extraction, op10_language_model)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": covertree.ORACLE_SQL,
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op8_line_dedup": linededup.ORACLE_SQL,
 }
