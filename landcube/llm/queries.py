@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landcube.llm import covertree, decontamination, html, linededup, lm, packing, sharding, simhash, toxicity
+from landcube.llm import covertree, decontamination, html, linededup, lm, packing, sharding, simhash, suffix, toxicity
 from landcube.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_simhash, op4_sharding, op5_decontamination, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_html_extraction, op10_language_model)
+    f.__name__: f for f in (op1_exact_top_k, op2_simhash, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_html_extraction, op10_language_model)
 }
 
 ORACLE_SQL: dict[str, str] = {
