@@ -45,3 +45,14 @@ def overlap_percent(a: tuple[Column, Column, Column, Column], b: tuple[Column, C
     high = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     own = (a[2] - a[0]) * (a[3] - a[1])
     return F.when(own > 0, 100 * wide * high / own).otherwise(0.0)
+
+
+def position_overlap_percent(row_a: Column, col_a: Column, row_b: Column, col_b: Column, tile: int) -> Column:
+    """What part of a tile at one pixel position another of the same size covers, in percent."""
+    high = F.greatest(F.lit(0), tile - F.abs(row_a - row_b))
+    wide = F.greatest(F.lit(0), tile - F.abs(col_a - col_b))
+    return 100 * high * wide / F.lit(tile * tile)
+
+
+def category_hectares(pixels: Column, pixel_area_m2: Column) -> Column:
+    return pixels * pixel_area_m2 / 10000

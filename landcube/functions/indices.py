@@ -81,3 +81,13 @@ def is_urban(ndvi: Column, ndbi: Column, ndwi: Column) -> Column:
 
 def quality_label(std: Column) -> Column:
     return F.when(std >= 45, "Good").when(std >= 20, "Acceptable").otherwise("Poor")
+
+
+def display_channel(reflectance: Column) -> Column:
+    """A band in 0..1 as 0..255, clipped."""
+    return F.floor(clamp(reflectance * 255, 0, 255)).cast("int")
+
+
+def rgb(red: Column, green: Column, blue: Column) -> Column:
+    """True colour, or false colour with other bands in the places."""
+    return F.array(display_channel(red), display_channel(green), display_channel(blue))
