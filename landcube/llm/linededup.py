@@ -40,7 +40,7 @@ def repeated_windows(documents: DataFrame, span: int) -> DataFrame:
     firsts = windows.groupBy("fp", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = materialize(firsts, "lines")
     later = windows.join(firsts, ["fp", "around"]).where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("_gone"))
+    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 
 def dedup_lines(documents: DataFrame, span: int = 2) -> DataFrame:
@@ -48,17 +48,17 @@ def dedup_lines(documents: DataFrame, span: int = 2) -> DataFrame:
 
     A null text stays null; a text of which nothing is left is empty. Rows that share a doc_id count as one place, so that
     equal rows do not remove each other; a null doc_id comes before all others. n_lines counts all lines, blank ones too.
+    Other columns stay as they are; an empty table gives no rows.
     """
-    hits = repeated_windows(documents, span).withColumnRenamed("doc_id", "_own")
-    joined = documents.join(hits, F.col("doc_id").eqNullSafe(F.col("_own")), "left")
-    parts = joined.withColumn("_lines", lines_of(F.col("text")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.transform(left, lambda i: F.get("_lines", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    made = parts.withColumns({"_text": text, "_n": F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(n_removed), "_all": F.size("_lines").cast("long")})
-    columns = [F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")]
-    return made.select(*columns, F.col("_all").alias("n_lines"), F.col("_n").alias("n_removed"))
+    hits = repeated_windows(documents, span).withColumnRenamed("doc_id", "own")
+    names = documents.columns
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), lines_of(F.col("text")).alias("lines"))
+    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("own")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.transform(left, lambda i: F.get("lines", i))
+    text = F.when(F.col("gone").isNull(), F.col("row")["text"]).otherwise(F.array_join(kept, "\n"))
+    made = [(text if c == "text" else F.col("row")[c]).alias(c) for c in names if c not in ("n_lines", "n_removed")]
+    return joined.select(*made, F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def report(documents: DataFrame) -> DataFrame:
