@@ -10,6 +10,11 @@ stretches with one anchor form a segment (at most ``LENGTH - GRAM + 1`` starts),
    which of their stretches are equal, and which of those is the earliest.
 4. The marked starts of a document are united to removed runs.
 
+An anchor may be in a third of all documents, in as many surroundings: a licence line, say. Anchors with a share of
+``1 / HOT`` of the segments or more, at most ``HOT`` of them, are found from a sample of documents; their stretches are
+shuffled one by one, each under two hashes of its own bytes, so that such an anchor is dealt over all tasks. Which anchors
+those are changes the way of their stretches and not the result.
+
 What counts as earlier is decided by (doc_id, start) everywhere.
 """
 
@@ -29,7 +34,9 @@ LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at once (below 2 ** 24), and bytes of segments ordered at once.
 PIECE, CHUNK = 2_000_000, 1_000_000
 LOW = np.uint64((1 << 24) - 1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Least share of a hot anchor (one in HOT), least count, and the sample (one document in SAMPLE) that shows them.
+HOT, HOT_COUNT, SAMPLE = 2000, 30, 32
 SEGMENTS = "kind int, key long, same long, doc_id long, start long, n int"
 NAMES = ["kind", "key", "same", "doc_id", "start", "n"]
 
@@ -49,11 +56,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-UP, DOWN = (_powers(b, PIECE + 2 * LENGTH) for b in (BASE, INVERSE))
+UP, DOWN, UP2, DOWN2 = (_powers(b, PIECE + 2 * LENGTH) for b in (BASE, INVERSE, OTHER, np.uint64(pow(int(OTHER), -1, 1 << 64))))
+
 
+def segments(texts: list[tuple[int, int, bytes]], hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, start, n, key, same) of the segments of pieces (text number, offset, bytes), together below PIECE.
 
-def segments(texts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    """(text number, start, n, key, same) of the segments of pieces (text number, offset, bytes), together below PIECE."""
+    Under a hot key each stretch is a segment of its own, keyed by itself.
+    """
     sizes = np.array([len(t) for _, _, t in texts])
     at = np.cumsum(sizes) - sizes
     raw = BYTES[np.frombuffer(b"".join(t for _, _, t in texts), np.uint8)]
@@ -85,9 +95,19 @@ def segments(texts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     sums = np.zeros(total + 1, np.uint64)
     np.cumsum(raw * UP[:total], dtype=np.uint64, out=sums[1:])
     same = _mixed((sums[begins + n + LENGTH - 1] - sums[begins]) * DOWN[begins] + n.astype(np.uint64))
+    key = grams[anchors[begins]]
+    split = np.isin(key.view(np.int64), hot)
+    if split.any():
+        each = n[split]
+        alone = np.repeat(begins[split], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        other = np.zeros(total + 1, np.uint64)
+        np.cumsum(raw * UP2[:total], dtype=np.uint64, out=other[1:])
+        key = np.concatenate([key[~split], _mixed((sums[alone + LENGTH] - sums[alone]) * DOWN[alone])])
+        same = np.concatenate([same[~split], _mixed((other[alone + LENGTH] - other[alone]) * DOWN2[alone])])
+        begins, n = np.concatenate([begins[~split], alone]), np.concatenate([n[~split], np.ones(len(alone), n.dtype)])
     text = np.searchsorted(at, begins, "right") - 1
     own = np.array([i for i, _, _ in texts]), np.array([o for _, o, _ in texts])
-    return own[0][text], begins - at[text] + own[1][text], n, grams[anchors[begins]].view(np.int64), same.view(np.int64)
+    return own[0][text], begins - at[text] + own[1][text], n, key.view(np.int64), same.view(np.int64)
 
 
 def firsts(key: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +127,9 @@ def _out(kind: np.ndarray, key: np.ndarray, same: np.ndarray, doc: np.ndarray, s
     return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key), pa.array(same), pa.array(doc), pa.array(start), pa.array(n.astype(np.int32))], names=NAMES)
 
 
-def cut(documents: DataFrame) -> DataFrame:
+def cut(documents: DataFrame, hot: list[int]) -> DataFrame:
     """Segments (kind 0) and marked starts (kind 1) of documents (doc_id, text as bytes)."""
+    keys = np.array(hot, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,12 +139,12 @@ def cut(documents: DataFrame) -> DataFrame:
                 for o in range(0, len(text) - LENGTH + 1, PIECE // 2):  # a long text in pieces that overlap
                     piece = text[o : o + PIECE // 2 + LENGTH - 1]
                     if size + len(piece) > PIECE:
-                        found.append(segments(held))
+                        found.append(segments(held, keys))
                         held, size = [], 0
                     held.append((i, o, piece))
                     size += len(piece)
             if held:
-                found.append(segments(held))
+                found.append(segments(held, keys))
             if found:
                 text, start, n, key, same = (np.concatenate(c) for c in zip(*found, strict=True))
                 doc = ids[text]
@@ -133,6 +154,14 @@ def cut(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, SEGMENTS)
 
 
+def hot_anchors(documents: DataFrame) -> list[int]:
+    """Keys of at least one in HOT of a sample's segments; so at most HOT keys, whatever the data's size."""
+    some = cut(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), []).where("kind = 0")
+    counted = some.groupBy("key").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return [r["key"] for r in counted.where((F.col("n") >= HOT_COUNT) & (F.col("n") * HOT >= total)).orderBy(F.desc("n"), "key").limit(HOT).collect()]
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``column``."""
     held: list[pa.RecordBatch] = []
@@ -251,7 +280,7 @@ def resolved(shared: DataFrame, documents: DataFrame) -> DataFrame:
 
 def removed_runs(documents: DataFrame) -> DataFrame:
     """doc_id and runs, the pairs (begin, end) of its removed bytes, in order; documents without any are absent."""
-    found = materialize(matched(cut(documents)), "segments")
+    found = materialize(matched(cut(documents, hot_anchors(documents))), "segments")
     marks = found.where("kind = 1").select("doc_id", "start", "n").union(resolved(found.where("kind = 2"), documents))
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 

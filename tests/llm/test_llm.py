@@ -174,7 +174,11 @@ def test_thresholds_cover():
 # 3
 
 
-def test_suffix(documents, none):
+@pytest.mark.parametrize("hot", [False, True])
+def test_suffix(documents, none, monkeypatch, hot):
+    if hot:  # every anchor takes the way of the hot ones
+        keys = [r["key"] for r in suffix.cut(documents.selectExpr("doc_id", "cast(coalesce(text, '') as binary) text"), []).select("key").distinct().collect()]
+        monkeypatch.setattr(suffix, "hot_anchors", lambda _: keys[::2])
     want = suffix.brute_force({i: (t or "").encode() for i, t in enumerate(odd_texts())})
     rows = suffix.report(documents).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == want and len(rows) == len(want) + 1
