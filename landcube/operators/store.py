@@ -12,12 +12,24 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column, most: int = 1, ra
     return ranked.where(F.col(rank) <= most)
 
 
-def search_products(products: DataFrame, areas: DataFrame, days: int, cloud: float) -> DataFrame:
-    """Products (id, cloud, start, box) that meet an area (aoi, target, box), strictly within ``days`` of its date and below ``cloud``."""
-    p, a = products.alias("p"), areas.alias("a")
+def _cells(boxes: DataFrame, size: float) -> DataFrame:
+    """Each box once for every grid cell of ``size`` degrees that it touches: cx, cy, and its first cell x0, y0."""
+    low = {k: F.floor(F.col(c) / size).cast("int") for k, c in (("x0", "west"), ("y0", "south"))}
+    high = {k: F.floor(F.col(c) / size).cast("int") for k, c in (("x1", "east"), ("y1", "north"))}
+    there = boxes.where((F.col("east") > F.col("west")) & (F.col("north") > F.col("south"))).withColumns(low | high)
+    return there.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1"))).drop("x1", "y1")
+
+
+def search_products(products: DataFrame, areas: DataFrame, days: int, cloud: float, cell: float = 5.0) -> DataFrame:
+    """(aoi, id) of products (id, cloud, start, box) that meet an area (aoi, target, box), strictly within ``days`` of its
+    date and below ``cloud``. Boxes are dealt into grid cells and joined by cell; a pair counts in the first cell both touch.
+    """
+    clear = products.where(F.col("cloud") < cloud)
+    p, a = _cells(clear, cell).alias("p"), _cells(areas, cell).alias("a")
     meets = (F.col("p.west") < F.col("a.east")) & (F.col("p.east") > F.col("a.west")) & (F.col("p.south") < F.col("a.north")) & (F.col("p.north") > F.col("a.south"))
     when = (F.col("p.start") > F.date_sub("a.target", days)) & (F.col("p.start") < F.date_add("a.target", days))
-    return p.join(a, meets & when & (F.col("p.cloud") < cloud))
+    once = (F.col("cx") == F.greatest("p.x0", "a.x0")) & (F.col("cy") == F.greatest("p.y0", "a.y0"))
+    return p.join(a, ["cx", "cy"]).where(meets & when & once).select("aoi", "id")
 
 
 def best_product(products: DataFrame, keys: list[str]) -> DataFrame:

@@ -346,6 +346,24 @@ def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.first_by(p, ["aoi"], F.col("start"), F.col("id"), most=10).select("aoi", "id", "rank")
 
 
+@query
+def catalogue_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products that meet each nation's box around a date; a product's box is two degrees wide, placed by customer."""
+    west, south = ((F.col("aoi") % 25) * 5 - 61).cast("double"), ((F.col("aoi") % 25) * 3 - 41).cast("double")
+    products = _products(spark, sf_dir).withColumns({"west": west, "south": south, "east": west + 2, "north": south + 2})
+    areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("aoi"), *_boxes("n_nationkey"), F.lit("1997-07-01").cast("date").alias("target"))
+    return store.search_products(products.drop("aoi"), areas, 60, 30.0)
+
+
+@query
+def total_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hectares over all change types (types overlap), and over the pixels that changed in any way."""
+    hit = transitions.transition_pixels(_pairs(spark, sf_dir))
+    stats = transitions.transition_stats(hit, ["change_type"]).where("area_hectares > 0")
+    once = hit.select("px").distinct().agg((F.count("*") / 100).alias("changed_hectares"))
+    return stats.agg(F.round(F.sum("area_hectares"), 6).alias("type_hectares")).join(once)  # one row each
+
+
 @query
 def history_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.newest(table(spark, sf_dir, "events"), 20).select("user_id", "event_id", "rank")

@@ -167,6 +167,9 @@ JOIN (SELECT r, c, nir FROM cube WHERE yr = 2001) p ON p.r = sr AND p.c = sc GRO
     "shrink_area": _q(CUBE, "SELECT r // 2 AS r, c // 2 AS c, round(avg(nir), 6) AS nir FROM cube WHERE yr = 2001 GROUP BY 1, 2"),
     "best_product": _q(_P, "SELECT aoi, yr, id, cloud FROM prod QUALIFY row_number() OVER (PARTITION BY aoi, yr ORDER BY coalesce(cloud, 100), start DESC, id) = 1"),
     "catalogue_search": _q(_P, "SELECT aoi, id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY start, id) AS k FROM prod WHERE cloud < 20 AND start > TIMESTAMP '1997-06-01' AND start < TIMESTAMP '1997-07-31') WHERE k <= 10"),
+    "catalogue_areas": _q(_P + ", " + _BOX, """SELECT n_nationkey AS aoi, id FROM (SELECT id, cloud, start, CAST((aoi % 25) * 5 - 61 AS DOUBLE) AS w, CAST((aoi % 25) * 3 - 41 AS DOUBLE) AS s FROM prod) p
+JOIN box ON w < east AND w + 2 > west AND s < north AND s + 2 > south AND east > west WHERE cloud < 30 AND start > TIMESTAMP '1997-05-02' AND start < TIMESTAMP '1997-08-30'"""),
+    "total_area": _q(PAIRS, "SELECT (SELECT round(sum(area_hectares), 6) FROM stats WHERE area_hectares > 0) AS type_hectares, (SELECT count(DISTINCT px) FROM hit) / 100 AS changed_hectares"),
     "history_topk": "SELECT user_id, event_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 20",
     "latest_status": "SELECT user_id, event_type AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "cache_hits": _q(_CACHE + ", " + _live(3), "SELECT event_id, key, id AS entry FROM req JOIN live USING (key)"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from io import BytesIO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,26 @@ def npy_cells(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataF
     return files.mapInArrow(run, "path string, band int, r int, c int, value double")
 
 
+def decoded_files(spark: SparkSession, folder: str, pattern: str, decode: Callable[[str, bytes], pd.DataFrame | None], schema: str) -> DataFrame:
+    """Rows that ``decode(path, content)`` makes of each file: the place for GeoTIFF, JPEG 2000 or PNG decoders.
+
+    A file for which it returns nothing, or raises a ValueError, gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    made = decode(path, bytes(content))
+                except ValueError:
+                    continue
+                if made is not None:
+                    yield made
+
+    return files.mapInPandas(run, schema)
+
+
 def decoded(encoded: DataFrame) -> DataFrame:
     """Indices and validity from three 8-bit channels and the scene class."""
     return encoded.select("*", *[dequantize(F.col(f"{x}_u8")).alias(x) for x in ("ndvi", "ndbi", "ndwi")], is_clear(F.col("scl")).alias("valid"))

@@ -187,3 +187,20 @@ def test_results_fall_back(spark, tmp_path):
 def test_synthetic_scene_is_deterministic(spark):
     a, b = raster.synthetic_year(spark, 2020, 16), raster.synthetic_year(spark, 2020, 16).repartition(3)
     assert a.exceptAll(b).count() == 0
+
+
+def test_decoder_plug_in(spark, tmp_path):
+    import pandas as pd
+
+    (tmp_path / "a.raw").write_bytes(b"\1\2")
+    (tmp_path / "b.raw").write_bytes(b"")
+    frame = raster.decoded_files(spark, str(tmp_path), "*.raw", lambda path, content: pd.DataFrame({"dn": list(content)}) if content else None, "dn int")
+    assert sorted(r["dn"] for r in frame.collect()) == [1, 2]
+
+
+def test_probability_plug_in(spark):
+    from landcube.operators.model import segmented, with_probability
+
+    frame = spark.createDataFrame([(1, None), (2, 3.0)], "px int, m double")
+    assert [r["model_prob"] for r in with_probability(frame, F.col("m")).orderBy("px").collect()] == [0.5, 1.0]
+    assert segmented(frame, lambda: lambda pdf: pdf.assign(cls=pdf["px"] * 2)[["px", "cls"]], "px int, cls int").count() == 2
