@@ -464,12 +464,59 @@ def test_forward_equals_enumeration():
 # the pipeline
 
 
-def test_pipeline(spark):
+def brute_lines(rows):
+    """doc_id to text: runs of two or more lines that occur earlier go; blank lines take no part."""
+    seen, out = {}, {}
+    for i, text in sorted(rows.items()):
+        lines = (text or "").split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip(" ")]
+        for s in range(len(full) - 1):
+            seen.setdefault((lines[full[s]].strip(" "), lines[full[s + 1]].strip(" ")), (i, s))
+        gone = {full[s + o] for s in range(len(full) - 1) for o in (0, 1) if seen[lines[full[s]].strip(" "), lines[full[s + 1]].strip(" ")] < (i, s)}
+        out[i] = text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def texts_of(frame):
+    return {r["doc_id"]: r["text"] for r in frame.collect()}
+
+
+def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as cp
     from landcube.llm.common import table
 
-    made = cp.run(spark, SF)
-    assert made.count() > 0 and "sequence_id" in made.columns
     docs = table(spark, SF, "documents")
-    for _, stage in cp.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    stages, kept = dict(cp.STAGES), {}
+    for name, stage in cp.STAGES[:-1]:
+        before, docs = texts_of(docs), stage(spark, docs, SF)
+        assert docs.columns == cp.COLUMNS
+        kept[name] = texts_of(docs)
+        if name == "toxicity":
+            bad = {r["doc_id"] for r in toxicity.score(table(spark, SF, "documents"), table(spark, SF, "labels")).where("score >= 0.3").collect()}
+            want = {i: t for i, t in before.items() if i not in bad}
+        elif name == "line_dedup":
+            want = brute_lines(before)
+        elif name == "simhash_dedup":
+            root = brute_components({i: simhash.fingerprint(t) for i, t in before.items()})
+            want = {i: t for i, t in before.items() if root[i] == i}
+        else:
+            judged = {i: brute_contamination(t, items) for i, t in before.items()}
+            want = {i: t for i, t in before.items() if not (judged[i][1] and 20 * judged[i][1] >= judged[i][0])}
+        assert kept[name] == want
+    packed = stages["best_fit_packing"](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == set(kept["decontamination"])
+    assert sorted(map(tuple, cp.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted(tuple(r)[:5] for r in packed)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    texts = odd_texts()
+    rows = [(i, t, None if i % 3 else "en", "s", None) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", 1), (None, "lost", None, None, None), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (frame, frame.limit(0)):
+        for _, stage in cp.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == cp.COLUMNS
+        assert cp.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
