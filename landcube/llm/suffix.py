@@ -32,7 +32,7 @@ from landcube.llm.common import materialize, need
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at once (below 2 ** 24), and bytes of segments ordered at once.
-PIECE, CHUNK = 2_000_000, 1_000_000
+PIECE, CHUNK = 800_000, 1_000_000
 LOW = np.uint64((1 << 24) - 1)
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Least share of a hot anchor (one in HOT), least count, and the sample (one document in SAMPLE) that shows them.
