@@ -52,8 +52,9 @@ def dedup_lines(documents: DataFrame, span: int = 2) -> DataFrame:
     """
     hits = repeated_windows(documents, span).withColumnRenamed("doc_id", "own")
     names = documents.columns
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), lines_of(F.col("text")).alias("lines"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"))
     joined = rows.join(hits, F.col("id").eqNullSafe(F.col("own")), "left")
+    joined = joined.select("row", "gone", lines_of(F.col("row")["text"]).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.transform(left, lambda i: F.get("lines", i))
     text = F.when(F.col("gone").isNull(), F.col("row")["text"]).otherwise(F.array_join(kept, "\n"))
