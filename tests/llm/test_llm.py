@@ -509,6 +509,43 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(map(tuple, cp.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted(tuple(r)[:5] for r in packed)
 
 
+def brute_near_copies(texts):
+    """The smallest id reachable by 5-word Jaccard of 0.8 or more, over all pairs; and the links."""
+    sets = {i: frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := low_words(t)) else frozenset() for i, t in texts.items()}
+    root, linked, ids = {i: i for i in sets}, [], sorted(sets)
+    for i in ids:
+        for j in ids:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                linked.append((i, j))
+                a, b = min(root[i], root[j]), max(root[i], root[j])
+                root = {k: a if r == b else r for k, r in root.items()}
+    return root, linked
+
+
+def test_near_duplicate_stage_against_jaccard(spark, monkeypatch):
+    import corpus_pipeline as cp
+    from landcube.llm import nearcopies
+
+    rng, texts = random.Random(3), dict(enumerate(odd_texts()))
+    for _ in range(25):  # copies with some words changed: 5-word similarity on both sides of 0.8
+        words = [f"v{rng.randrange(5000)}" for _ in range(300)]
+        for changes in (0, 1, 2, 4, 6, 8, 14):
+            own = list(words)
+            for _ in range(changes):
+                own[rng.randrange(300)] = f"z{rng.randrange(9999)}"
+            texts[len(texts)] = " ".join(own)
+    root, linked = brute_near_copies(texts)
+    far = sum(bin(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).count("1") > 4 for a, b in linked)
+    assert far > 50  # more than 4 SimHash bits do not show them
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    for bucket in (nearcopies.BUCKET, 2):
+        monkeypatch.setattr(nearcopies, "BUCKET", bucket)
+        found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(frame).collect()}
+        assert sum(found[a] == found[b] for a, b in linked) >= 0.99 * len(linked)
+        assert all(root[i] == root[r] for i, r in found.items())
+    assert set(texts_of(cp.drop_near_duplicates(spark, frame, SF))) == {i for i, r in found.items() if i == r}
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline as cp
 
