@@ -4,7 +4,8 @@ Lines are compared without the spaces around them; blank lines take no part and
 window; the smallest line hash in it, leftmost on ties, is its fingerprint, and what lies before and after the fingerprint
 within the window is kept as a hash with it. Joining fingerprints on both finds every window that occurs earlier (smaller
 doc_id, or same document and earlier line); neighbouring windows extend a match both ways to the whole repeated run. All
-lines of windows that occur earlier are removed; the first occurrence stays.
+lines of windows that occur earlier are removed; the first occurrence stays. With ``long`` given, a line of more words than
+that is a window by itself too, whatever its neighbours.
 
 A fingerprint's first occurrence is a minimum that every task forms before the shuffle, so a line that a third of the
 corpus shares is one row per task there. The join back to all windows splits such a fingerprint by the adaptive skew join:
@@ -23,8 +24,10 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_windows(documents: DataFrame, span: int) -> DataFrame:
+def line_windows(documents: DataFrame, span: int, long: int | None = None) -> DataFrame:
     """doc_id, s (the window's first line among those not blank, from 0), at (its lines among all), fp and around."""
+    if long is not None:
+        return _with_long_lines(documents, span, long)
     lines = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i")))
     rows = need(documents, "doc_id", "text").select("doc_id", F.filter(lines, lambda e: e["x"] != "").alias("e")).where(F.size("e") >= span)
     rows = rows.select("doc_id", F.transform("e", lambda e: F.xxhash64(e["x"])).alias("h"), F.col("e.i").alias("at"))
@@ -34,23 +37,41 @@ def line_windows(documents: DataFrame, span: int) -> DataFrame:
     return rows.select("doc_id", "s", "at", least.alias("fp"), F.xxhash64(F.array_position("win", least), "win").alias("around"))
 
 
-def repeated_windows(documents: DataFrame, span: int) -> DataFrame:
+def _with_long_lines(documents: DataFrame, span: int, long: int) -> DataFrame:
+    """The windows of ``span`` lines, and one of each line of over ``long`` words; those begin at -1 - s until they are cut."""
+    lines = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i")))
+    rows = need(documents, "doc_id", "text").select("doc_id", F.filter(lines, lambda e: e["x"] != "").alias("e"))
+    wide = F.transform("e", lambda e: (F.length(e["x"]) > 2 * long) & (F.size(F.regexp_extract_all(e["x"], F.lit(r"[^\x20\x09-\x0d]+"), F.lit(0))) > long))
+    rows = rows.select("doc_id", F.transform("e", lambda e: F.xxhash64(e["x"])).alias("h"), F.col("e.i").alias("at"), wide.alias("wide"))
+    spans = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span)).otherwise(F.array().cast("array<int>"))
+    single = F.filter(F.transform("wide", lambda w, i: F.when(w, -1 - i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "h", "at", F.explode(F.concat(spans, single)).alias("from"))
+    one = F.col("from") < 0
+    rows = rows.select("doc_id", "h", "at", F.when(one, -1 - F.col("from")).otherwise(F.col("from")).alias("s"), F.when(one, 1).otherwise(span).alias("n"))
+    rows = rows.select("doc_id", "s", F.slice("h", F.col("s") + 1, F.col("n")).alias("win"), F.slice("at", F.col("s") + 1, F.col("n")).alias("at"))
+    least = F.array_min("win")
+    return rows.select("doc_id", "s", "at", least.alias("fp"), F.xxhash64(F.array_position("win", least), "win").alias("around"))
+
+
+def repeated_windows(documents: DataFrame, span: int, long: int | None = None) -> DataFrame:
     """doc_id and gone: the lines (from 0) of the windows that occur earlier, per document."""
-    windows, place = line_windows(documents, span), F.struct("doc_id", "s")
+    windows, place = line_windows(documents, span, long), F.struct("doc_id", "s")
     firsts = windows.groupBy("fp", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = materialize(firsts, "lines")
     later = windows.join(firsts, ["fp", "around"]).where(place > F.col("first"))
     return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 
-def dedup_lines(documents: DataFrame, span: int = 2) -> DataFrame:
+def dedup_lines(documents: DataFrame, span: int = 2, long: int | None = None) -> DataFrame:
     """All columns of ``documents`` with ``text`` less its repeated runs of ``span`` lines or more, and n_lines, n_removed.
 
+    With ``long``, repeated lines of more than that many words go too. The registered query keeps to its SQL, without them.
+
     A null text stays null; a text of which nothing is left is empty. Rows that share a doc_id count as one place, so that
     equal rows do not remove each other; a null doc_id comes before all others. n_lines counts all lines, blank ones too.
     Other columns stay as they are; an empty table gives no rows.
     """
-    hits = repeated_windows(documents, span).withColumnRenamed("doc_id", "own")
+    hits = repeated_windows(documents, span, long).withColumnRenamed("doc_id", "own")
     names = documents.columns
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"))
     joined = rows.join(hits, F.col("id").eqNullSafe(F.col("own")), "left")

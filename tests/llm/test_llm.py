@@ -509,6 +509,17 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(map(tuple, cp.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted(tuple(r)[:5] for r in packed)
 
 
+def test_pipeline_removes_long_lines_that_repeat_alone(spark):
+    import corpus_pipeline as cp
+
+    long, short = " ".join(f"p{i}" for i in range(51)), " ".join(f"q{i}" for i in range(50))
+    texts = ["a\n" + long + "\nb", "c\n  " + long + " \nd", long, short, short, "e\n" + short + "\nf", "g\n" + long + "\nh\n\n" + long, "a\n" + long + "\nz", None, ""]
+    frame = spark.createDataFrame([(i, t, None, None, -1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.drop_repeated_lines(spark, frame, SF).collect()}
+    same = lambda i: (texts[i], -1)
+    assert found == {0: same(0), 1: ("c\nd", 3), 2: ("", 0), 3: same(3), 4: same(4), 5: same(5), 6: ("g\nh\n", 4), 7: ("z", 1), 8: same(8), 9: same(9)}
+
+
 def brute_near_copies(texts):
     """The smallest id reachable by 5-word Jaccard of 0.8 or more, over all pairs; and the links."""
     sets = {i: frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := low_words(t)) else frozenset() for i, t in texts.items()}
