@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landcube.llm import nearcopies
 from landcube.llm.common import need, remainder
 
 #: Labelled documents of each label to learn from, tokens between two toxic ones, training window on each side.
@@ -38,21 +39,21 @@ def tokens(text: str) -> list[str]:
 
 
 def distinct_texts(texts: list[list[str]]) -> list[set[str]]:
-    """The word sets of texts, without those that share one of three min-hashes with one before: near copies."""
-    import xxhash
-
-    odd = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-    seen: set[tuple[int, int]] = set()
-    kept = []
+    """The word sets of texts, without near copies of one kept before: 5-word shingles at Jaccard 0.8 or more, verified."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    kept, sets = [], []
     for words in texts:
-        own = set(words)
-        if not own:
+        if not words:
+            continue
+        own = nearcopies.shingles(" ".join(words))
+        marks = list(enumerate(nearcopies.bands(own)))
+        like = sorted({i for m in marks for i in seen.get(m, [])})
+        if like and nearcopies.near(own, [sets[i] for i in like]).any():
             continue
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in own), np.uint64, len(own))
-        marks = {(i, int((hashes * k).min())) for i, k in enumerate(odd)}
-        if not marks & seen:
-            kept.append(own)
-        seen |= marks
+        for m in marks:
+            seen.setdefault(m, []).append(len(sets))
+        sets.append(own)
+        kept.append(set(words))
     return kept
 
 

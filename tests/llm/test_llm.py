@@ -338,6 +338,13 @@ def test_toxicity(spark):
     assert hit / len(rows) > 0.96 and sum(caught) / len(caught) > 0.85
 
 
+def test_only_near_copies_count_once():
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(2000)}" for _ in range(200)] for _ in range(300)]  # unrelated, but with common words
+    copies = [[*t[:100], "other", *t[101:]] for t in texts[:40]]
+    assert toxicity.distinct_texts([*texts, *copies, *texts[:5], []]) == [set(t) for t in texts]
+
+
 def test_toxicity_edges(documents, none, spark):
     labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1), (7, None), (6, 1)], "doc_id long, toxic int")
     rows = toxicity.report(documents, labels).collect()
