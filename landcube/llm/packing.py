@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,16 @@ from pyspark.sql import functions as F
 from landcube.llm.common import materialize, need
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
-#: Words kept with their ids in a Python worker; the caches are emptied when full.
-CACHED_WORDS, CACHED_PARTS = 500_000, 1_000_000
+#: Words kept with their ids in a Python worker.
+CACHED_WORDS = 800_000
 
 
 class WordIds:
     """Token ids of texts for a tokenizer whose pre-tokens never span white space.
 
     A text's ids are those of its words one after another, so ids are looked up by word, and for a new word by its
-    pre-tokens. Words with characters whose case or composition depends on context go to the tokenizer whole, and so do
-    texts that hold a special token.
+    pre-tokens, which go straight to the tokenizer's merges. Words with characters whose case or composition depends on
+    context go to the tokenizer whole, and so do texts that hold a special token.
     """
 
     #: The tokenizer's own pre-token pattern (fixed value).
@@ -43,30 +44,40 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.split = regex.compile(self.PATTERN).findall
         self.plain = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-įı-ňŊ-ž]+").fullmatch
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the tokenizer writes a byte as a printable character: itself, or the next one from 256 on
+        shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+        self.bytes = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def part(self, part: bytes) -> bytes:
+        """Ids of one lower-case pre-token."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(part.decode("latin-1").translate(self.bytes))])
+
     def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.plain(text):
-            ids = b""
-            for part in self.split(text.lower()):
-                found = self.parts.get(part)
-                if found is None:
-                    if len(self.parts) >= CACHED_PARTS:
-                        self.parts.clear()
-                    found = self.parts[part] = self.encode(part)
-                ids += found
+        if word.isalpha():
+            ids = self.part(word.lower())
+        elif self.plain(text := word.decode()):
+            text = text.lower()
+            if text.isalpha():
+                parts = [text]
+            elif text[-1] in ".,;:!?" and text[:-1].isalpha():
+                parts = [text[:-1], text[-1]]
+            else:
+                parts = self.split(text)
+            ids = b"".join([self.words.get(p) or self.part(p) for p in map(str.encode, parts)])
         else:
             ids = self.encode(text)
-        if len(self.words) >= CACHED_WORDS:
+        if len(self.words) >= CACHED_WORDS:  # the words met first stay: frequent ones are among them
+            first = list(islice(self.words.items(), CACHED_WORDS // 2))
             self.words.clear()
+            self.words.update(first)
         self.words[word] = ids
         return ids
 
