@@ -1,14 +1,20 @@
 """Exact top-k inner products by dual-tree search over cover trees (operator 1).
 
-Vectors are dealt into cells by the nearest of at most ``PIVOTS`` sampled vectors, and cells into blocks of about ``BLOCK``
-rows by hash, so that a vector with very many copies fills several blocks. A block's rows are one cover tree: each node has
-a centre and a covering radius, its children's centres lie more than half that radius apart, and small or unstructured
-sets of points are leaves. The queries that meet a block are indexed alike. A pair of nodes is pruned if the largest inner
-product that centres and radii admit is below the worst kth score of the node's queries.
-
-First each query searches the block it lies in, which gives a kth score to begin with. Then it goes on to all other blocks
-that the same bound, taken of the whole block, doesn't rule out; the ``k`` best of all blocks are merged. Queries are met
-by data in parts, so no group holds more than a block and ``PART`` queries.
+Vectors are dealt into cells by the nearest of sampled vectors, one for each ``BLOCK`` rows but at most ``PIVOTS``. A cell
+with more rows is cut into shells by the distance from its sampled vector, so every block is a region of space: a centre
+and a least and largest distance from it. Only rows at one distance, copies above all, are dealt by hash. A block's rows
+are one cover tree: the children of a node lie within ``SHRINK`` times its radius of their centres, the centres are
+further apart than that, and the first child has its parent's centre. The queries that meet a block are indexed alike. A
+pair of nodes is pruned if the largest inner product that centres, covering radii and norms admit is below the worst kth
+score of the node's queries.
+
+First each query searches the block it lies in, which gives a kth score to begin with. Then queries meet the list of all
+blocks, ``LISTED`` of them at a time, and go on to those that the same bound doesn't rule out; a block is sent only to
+groups of queries that ask for it. The ``k`` best of all blocks are merged. Queries are grouped by the block they lie in,
+about ``PART`` together, so no group holds more than a block and its queries.
+
+Components beyond 64-bit integers saturate, and so do scores: an inner product is formed exactly and then cut off at the
+bounds of a long.
 """
 
 from __future__ import annotations
@@ -23,89 +29,139 @@ from pyspark.sql import functions as F
 
 from landcube.llm.common import materialize, need
 
-PIVOTS, BLOCK, PART, LEAF, FANOUT, SUMMARIES = 64, 4096, 2048, 48, 32, 20_000
+PIVOTS, BLOCK, PART, LEAF, ASKING, SHRINK, LISTED = 1024, 4096, 2048, 32, 4, 0.85, 4096
 FOUND = "query_id long, vec_id long, score long"
+LONG = 2**63 - 1
 
 
 class Tree:
-    """A cover tree over the rows of ``x``; nodes as (centre, its norm, radius, rows of a leaf or None, children)."""
-
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        self.root = self._node(np.arange(len(x)), x.mean(axis=0)) if len(x) else None
-
-    def _node(self, rows: np.ndarray, centre: np.ndarray) -> tuple:
-        away = np.sqrt(((self.x[rows] - centre) ** 2).sum(axis=1))
-        radius = float(away.max())
-        norm = float(np.sqrt((centre**2).sum()))
-        if len(rows) <= LEAF or radius == 0:
-            return centre, norm, radius, rows, []
-        centres, nearest, owner = [], np.full(len(rows), np.inf), np.zeros(len(rows), np.int64)
-        at = int(away.argmin())
-        while nearest.max() > radius / 2 and len(centres) < FANOUT:
-            far = np.sqrt(((self.x[rows] - self.x[rows[at]]) ** 2).sum(axis=1))
+    """A cover tree over the rows of ``x``. Node i: rows ``order[low[i]:high[i]]``, centre, radius, largest norm, children."""
+
+    def __init__(self, x: np.ndarray, leaf: int):
+        self.x, self.order, self.leaf = x, np.arange(len(x)), leaf
+        self.centre, self.radius, self.low, self.high, self.children = [], [], [], [], []
+        if len(x):
+            mean = x.mean(axis=0)
+            self._add(int(self._away(self.order, mean).argmin()), 0, len(x))
+        norms = np.sqrt((x**2).sum(axis=1))
+        at = 0
+        while at < len(self.centre):
+            self._split(at)
+            at += 1
+        self.centre, self.radius = np.array(self.centre, np.int64), np.array(self.radius)
+        self.norm = norms[self.centre] if len(x) else norms
+        self.most = np.array([norms[self.order[a:b]].max() for a, b in zip(self.low, self.high, strict=True)])
+        self.points = x[self.centre]
+
+    def _away(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.x[rows] - point) ** 2).sum(axis=1))
+
+    def _add(self, centre: int, low: int, high: int) -> None:
+        self.centre.append(centre)
+        self.radius.append(float(self._away(self.order[low:high], self.x[centre]).max()))
+        self.low.append(low)
+        self.high.append(high)
+        self.children.append(np.array([], np.int64))
+
+    def _split(self, at: int) -> None:
+        low, high, radius = self.low[at], self.high[at], self.radius[at]
+        if high - low <= self.leaf or radius == 0:
+            return
+        rows = self.order[low:high]
+        centres, nearest, owner, new = [], np.full(len(rows), np.inf), np.zeros(len(rows), np.int64), self.centre[at]
+        while nearest.max() > SHRINK * radius:
+            far = self._away(rows, self.x[new])
             closer = far < nearest
             nearest[closer], owner[closer] = far[closer], len(centres)
-            centres.append(at)
-            at = int(nearest.argmax())
-        if nearest.max() > radius / 2 or len(centres) < 2:  # no structure at this scale
-            return centre, norm, radius, rows, []
-        return centre, norm, radius, None, [self._node(rows[owner == j], self.x[rows[c]]) for j, c in enumerate(centres)]
+            centres.append(new)
+            new = int(rows[nearest.argmax()])
+        self.order[low:high] = rows[np.argsort(owner, kind="stable")]
+        ends = low + np.cumsum(np.bincount(owner, minlength=len(centres)))
+        first = len(self.centre)
+        for centre, a, b in zip(centres, [low, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            self._add(centre, a, b)
+        self.children[at] = np.arange(first, len(self.centre))
+
+
+def highest(ips: np.ndarray, norm: np.ndarray, radius: np.ndarray, most: np.ndarray, own_norm: float, own_radius: float, own_most: float, least: np.ndarray | float = 0.0) -> np.ndarray:
+    """No inner product between points of a node and of others is larger, but for rounding, which the slack covers.
+
+    ``ips`` are the centres' inner products, ``radius`` the others' covering radii, ``most`` their largest norms. Two bounds:
+    by Cauchy's inequality for the ways from the centres, and by the least distance that two such points can have.
+    ``least`` is the least distance of a shell's points from its centre.
+    """
+    straight = ips + own_radius * norm + radius * own_norm + own_radius * radius
+    apart = np.sqrt(np.maximum(norm**2 + own_norm**2 - 2 * ips, 0))
+    gap = np.maximum(np.maximum(apart - radius, least - apart) - own_radius, 0)
+    spread = (own_norm + own_radius) * (norm + radius)
+    by_distance = (own_most**2 + most**2 - (gap * (1 - 1e-9)) ** 2) / 2 + 1e-9 * (own_norm + norm + own_radius + radius) ** 2
+    return np.minimum(straight + 1e-9 * (np.abs(straight) + spread), by_distance) + 1e-3
 
 
-def bound(a: tuple, b: tuple) -> float:
-    """No inner product between points of the two nodes is larger (but for rounding, which the slack covers)."""
-    top = float(a[0] @ b[0]) + a[2] * b[1] + b[2] * a[1] + a[2] * b[2]
-    return top + 1e-9 * (abs(top) + (a[1] + a[2]) * (b[1] + b[2])) + 1e-3
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of integers, cut off at the bounds of a long."""
+    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) < 2**52:
+        return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    whole = a.astype(object) @ b.astype(object).T
+    return np.minimum(np.maximum(whole, -LONG - 1), LONG).astype(np.int64)
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, worst: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its best (scores, ids) in ``data``, at most k, none below ``worst`` (kth score so far, or -inf)."""
-    left, right = Tree(queries.astype(np.float64)), Tree(data.astype(np.float64))
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1]) < 2**52
-    worst = worst.astype(np.float64)
-    best = [(np.array([], np.int64), np.array([], np.int64)) for _ in queries]
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, worst: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, seen: dict | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query its best (scores, ids) in ``data``, at most k, none below ``worst`` (kth score so far, or -inf).
 
-    def leaves(a: np.ndarray, b: np.ndarray) -> None:
-        if exact:
-            scores = np.rint(left.x[a] @ right.x[b].T).astype(np.int64)
-        else:
-            scores = (queries[a].astype(object) @ data[b].astype(object).T).astype(np.int64)
-        for i, row in zip(a.tolist(), scores, strict=True):
-            keep = (row >= worst[i]) & (ids[b] != query_ids[i])
+    ``seen`` takes the numbers of pairs of nodes visited and pruned and of products formed.
+    """
+    left, right = Tree(queries.astype(np.float64), ASKING), Tree(data.astype(np.float64), LEAF)
+    worst, seen = worst.astype(np.float64), {} if seen is None else seen
+    best = [(np.array([], np.int64), np.array([], np.int64)) for _ in queries]
+    if not len(queries) or not len(data):
+        return best
+
+    def score(a: int, rows: np.ndarray) -> None:
+        own = left.order[left.low[a] : left.high[a]]
+        found = products(queries[own], data[rows])
+        seen["products"] = seen.get("products", 0) + found.size
+        for i, row in zip(own.tolist(), found, strict=True):
+            keep = (row.astype(np.float64) >= worst[i]) & (ids[rows] != query_ids[i])
             if keep.any():
-                s, v = np.concatenate([best[i][0], row[keep]]), np.concatenate([best[i][1], ids[b][keep]])
-                order = np.lexsort((v, -s))[:k]
+                s, v = np.concatenate([best[i][0], row[keep]]), np.concatenate([best[i][1], ids[rows][keep]])
+                order = np.lexsort((v, ~s))[:k]
                 best[i] = s[order], v[order]
                 if len(order) == k:
-                    worst[i] = max(worst[i], s[order[-1]])
-
-    def kth(node: tuple) -> float:
-        return float(worst[rows_of(node)].min())
-
-    held: dict[int, np.ndarray] = {}
-
-    def rows_of(node: tuple) -> np.ndarray:
-        if node[3] is not None:
-            return node[3]
-        if id(node) not in held:
-            held[id(node)] = np.concatenate([rows_of(c) for c in node[4]])
-        return held[id(node)]
-
-    def visit(a: tuple, b: tuple) -> None:
-        if bound(a, b) < kth(a):
-            return
-        if not a[4] and not b[4]:
-            leaves(a[3], b[3])
-        elif b[4] and (not a[4] or b[2] >= a[2]):
-            for child in sorted(b[4], key=lambda c: -bound(a, c)):
-                visit(a, child)
+                    worst[i] = max(worst[i], float(s[order[-1]]))
+
+    def kth(a: int) -> float:
+        return float(worst[left.order[left.low[a] : left.high[a]]].min())
+
+    def bounds(a: int, others: np.ndarray) -> np.ndarray:
+        ips = right.points[others] @ left.points[a]
+        return highest(ips, right.norm[others], right.radius[others], right.most[others], left.norm[a], left.radius[a], left.most[a])
+
+    root = np.array([0])
+    stack = [(float(bounds(0, root)[0]), 0, 0)]
+    while stack:
+        top, a, b = stack.pop()
+        seen["visited"] = seen.get("visited", 0) + 1
+        if top < kth(a):
+            seen["pruned"] = seen.get("pruned", 0) + 1
+            continue
+        ahead, under = left.children[a], right.children[b]
+        if len(ahead) and (not len(under) or left.radius[a] > right.radius[b]):
+            stack += sorted((float(bounds(int(c), np.array([b]))[0]), int(c), b) for c in ahead)
+        elif len(under):
+            tops = bounds(a, under)
+            good = tops >= kth(a)
+            seen["visited"], seen["pruned"] = seen["visited"] + int((~good).sum()), seen.get("pruned", 0) + int((~good).sum())
+            inner = np.array([bool(len(right.children[c])) for c in under])
+            leaves = under[good & ~inner]
+            stack += sorted((float(t), a, int(c)) for t, c in zip(tops[good & inner], under[good & inner], strict=True))
+            if len(leaves) and not len(ahead):  # leaves that stay are scored together, before inner nodes
+                seen["visited"] += len(leaves)
+                score(a, np.concatenate([right.order[right.low[c] : right.high[c]] for c in leaves]))
+            else:
+                stack += sorted((float(t), a, int(c)) for t, c in zip(tops[good & ~inner], leaves, strict=True))
         else:
-            for child in a[4]:
-                visit(child, b)
-
-    if left.root and right.root:
-        visit(left.root, right.root)
+            score(a, right.order[right.low[b] : right.high[b]])
     return best
 
 
@@ -126,18 +182,41 @@ def matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
 
 
 def nearest_cell(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The nearest pivot of each vector and the distance from it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = (pivots.astype(np.float64) ** 2).sum(axis=1)
+        centres = pivots.astype(np.float64)
+        norms = (centres**2).sum(axis=1)
         for batch in batches:
             x = matrix(batch.column(1), pivots.shape[1]).astype(np.float64)
-            cell = (norms[None, :] - 2 * (x @ pivots.T)).argmin(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec_id", "v", "cell"])
+            cell = (norms[None, :] - 2 * (x @ centres.T)).argmin(axis=1)
+            away = np.sqrt(((x - centres[cell]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=["vec_id", "v", "cell", "away"])
+
+    return vectors.mapInArrow(run, "vec_id long, v array<long>, cell int, away double")
 
-    return vectors.mapInArrow(run, "vec_id long, v array<long>, cell int")
 
+def blocks_of(celled: DataFrame) -> DataFrame:
+    """vec_id, v and block of every vector: its cell's shell by the distance from the pivot.
 
-def search(queries: DataFrame, blocks: DataFrame, parts: int, k: int, width: int) -> DataFrame:
-    """queries (vec_id, v, worst, block) against the rows of their block (vec_id, v, block)."""
+    A shell with far more than ``BLOCK`` rows holds one distance very often; its rows are dealt by hash.
+    """
+    sizes = celled.groupBy("cell").agg(F.count("*").alias("n"))
+    cuts = F.ceil(F.col("n") / BLOCK).cast("int")
+    # at most PIVOTS cells; their quantiles are at most rows / BLOCK numbers together
+    ends = celled.join(F.broadcast(sizes), "cell").groupBy("cell").agg(F.first("n").alias("n"), F.percentile_approx("away", F.lit([i / 64 for i in range(1, 64)]), 2000).alias("marks"))
+    every = F.when(cuts >= 64, F.col("marks")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(cuts - 1, F.lit(1))), lambda i: F.get("marks", (i * 64 / cuts).cast("int") - 1)))
+    ends = materialize(ends.select("cell", F.when(cuts > 1, every).otherwise(F.array().cast("array<double>")).alias("marks")), "shells")
+    shell = F.size(F.filter("marks", lambda m: F.col("away") > m))
+    shelled = celled.join(F.broadcast(ends), "cell").select("vec_id", "v", "cell", shell.alias("shell"))
+    counted = shelled.groupBy("cell", "shell").agg(F.count("*").alias("m"))
+    dealt = shelled.join(F.broadcast(counted), ["cell", "shell"])  # at most 64 shells of each of PIVOTS cells
+    salt = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("m") / (2 * BLOCK)))
+    return dealt.select("vec_id", "v", F.xxhash64("cell", "shell", salt).alias("block"))
+
+
+def search(queries: DataFrame, blocks: DataFrame, k: int, width: int) -> DataFrame:
+    """queries (vec_id, v, worst, part, block) against the rows of their block (vec_id, v, block)."""
 
     def own(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asked):
@@ -148,65 +227,80 @@ def search(queries: DataFrame, blocks: DataFrame, parts: int, k: int, width: int
         n = [len(s) for s, _ in found]
         return pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": np.concatenate([v for _, v in found]), "score": np.concatenate([s for s, _ in found])})
 
-    dealt = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    met = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return met.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(own, FOUND)
+    met = blocks.join(queries.select("block", F.col("part").alias("part")).distinct(), "block")
+    return met.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(own, FOUND)
+
+
+SUMMARY = "block long, centre array<double>, least double, radius double, most double"
 
 
 def summaries(blocks: DataFrame, width: int) -> DataFrame:
+    """Each block's centre, least and largest distance from it, and largest norm."""
+
     def own(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
         x = matrix(data["v"], width).astype(np.float64)
         centre = x.mean(axis=0)
-        return pd.DataFrame({"block": [key[0]], "centre": [centre.tolist()], "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))]})
+        away = np.sqrt(((x - centre) ** 2).sum(axis=1))
+        return pd.DataFrame({"block": [key[0]], "centre": [centre.tolist()], "least": [float(away.min())], "radius": [float(away.max())], "most": [float(np.sqrt((x**2).sum(axis=1)).max())]})
+
+    return blocks.groupBy("block").applyInPandas(own, SUMMARY)
+
+
+ASKED = "vec_id long, v array<long>, worst double, part int, block long"
+
+
+def going_on(asked: DataFrame, listed: DataFrame, lists: int, width: int) -> DataFrame:
+    """The queries (vec_id, v, worst, part, home), once for each other block that their bound admits."""
+
+    def fan(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(queries):
+            return pd.DataFrame({"vec_id": [], "v": [], "worst": [], "part": [], "block": []})
+        x, worst = matrix(queries["v"], width).astype(np.float64), queries["worst"].astype("float64").fillna(-np.inf).to_numpy()
+        centres, blocks = np.array(rows["centre"].tolist()), rows["block"].to_numpy(np.int64)
+        least, radius, most = (rows[c].to_numpy() for c in ("least", "radius", "most"))
+        norms, sizes = np.sqrt((centres**2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
+        made = []
+        for i, ips in enumerate(x @ centres.T):
+            top = highest(ips, norms, radius, most, sizes[i], 0.0, sizes[i], least)
+            made.append(blocks[(top >= worst[i]) & (blocks != queries["home"].iat[i])])
+        n = [len(m) for m in made]
+        again = queries[["vec_id", "v", "worst", "part"]].iloc[np.repeat(np.arange(len(queries)), n)]
+        return again.assign(block=np.concatenate(made))
 
-    return blocks.groupBy("block").applyInPandas(own, "block int, centre array<double>, radius double")
+    dealt = asked.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
+    met = listed.withColumn("list", F.pmod("block", F.lit(lists)).cast("int")).join(dealt.select("list", F.col("part").alias("part")).distinct(), "list")
+    return met.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInPandas(fan, ASKED)
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest integer inner products, ties to the smaller vec_id.
 
     A query doesn't find rows of its own id. Repeated rows are candidates each for itself; vectors of unlike length are
-    compared as if filled up with zeros. Fewer than k candidates give fewer rows; an empty table gives none.
+    compared as if filled up with zeros. Fewer than k candidates give fewer rows; an empty table gives none. Components
+    and scores beyond a long saturate.
     """
     vectors = quantized(embeddings)
-    picked = [list(r["v"]) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]
-    width = vectors.agg(F.max(F.size("v"))).first()[0] or 1
+    rows, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    wanted = max(1, min(PIVOTS, rows // BLOCK))
+    picked = [list(r["v"]) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()]
+    width = max(1, width)
     pivots = np.zeros((max(1, len(picked)), width), np.int64)
     for i, v in enumerate(picked):
         pivots[i, : len(v)] = v
     celled = materialize(nearest_cell(vectors, pivots), "cells")
-    first, salts, nb = {}, {}, 0
-    for r in celled.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect():  # at most PIVOTS rows
-        first[r["cell"]], salts[r["cell"]] = nb, -(-r["n"] // BLOCK)
-        nb += salts[r["cell"]]
-    if not nb:
-        return celled.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    at = F.coalesce(*[F.when(F.col("cell") == c, F.lit(b) + F.pmod(F.xxhash64("vec_id"), F.lit(salts[c]))) for c, b in first.items()]).cast("int")
-    blocks = materialize(celled.select("vec_id", "v", at.alias("block")), "blocks")
+    blocks = materialize(blocks_of(celled), "blocks")
     queries = blocks.where(is_query)
     parts = max(1, -(-queries.count() // PART))
-    near = materialize(search(queries.withColumn("worst", F.lit(None).cast("double")), blocks, parts, k, width), "near")
+    homes = queries.withColumnRenamed("block", "home").withColumn("part", F.pmod(F.xxhash64("home"), F.lit(parts)).cast("int"))
+    homes = materialize(homes, "homes")
+    first = homes.select("vec_id", "v", F.lit(None).cast("double").alias("worst"), "part", F.col("home").alias("block"))
+    near = materialize(search(first, blocks, k, width), "near")
     begun = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("worst"))
-    asked = queries.join(begun, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "worst", "block")
-    if nb <= SUMMARIES:  # a centre and a radius for each block are sent to every task
-        rows = summaries(blocks, width).orderBy("block").collect()
-        numbers, centres, radii = np.array([r["block"] for r in rows], np.int32), np.array([r["centre"] for r in rows]), np.array([r["radius"] for r in rows])
-        norms = np.sqrt((centres**2).sum(axis=1))
-
-        def fan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = matrix(batch.column(1), width).astype(np.float64)
-                worst = np.array([-np.inf if w is None else w for w in batch.column(2).to_pylist()])
-                size = np.sqrt((x**2).sum(axis=1))
-                top = x @ centres.T + size[:, None] * radii[None, :]
-                top += 1e-9 * (np.abs(top) + size[:, None] * (norms + radii)[None, :]) + 1e-3
-                i, j = np.nonzero((top >= worst[:, None]) & (numbers[None, :] != batch.column(3).to_numpy()[:, None]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i)) for c in range(3)), pa.array(numbers[j])], names=["vec_id", "v", "worst", "block"])
-
-        going = asked.mapInArrow(fan, "vec_id long, v array<long>, worst double, block int")
-    else:
-        going = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).where("other <> block").select("vec_id", "v", "worst", F.col("other").alias("block"))
-    found = near.union(search(going, blocks, parts, k, width))
+    asked = materialize(homes.join(begun, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "worst", "part", "home"), "asked")
+    listed = materialize(summaries(blocks, width), "summaries")
+    lists = max(1, -(-listed.count() // LISTED))
+    going = materialize(going_on(asked, listed, lists, width), "going")
+    found = near.union(search(going, blocks, k, width))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
