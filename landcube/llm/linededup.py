@@ -1,15 +1,18 @@
 """Removal of repeated runs of lines by winnowing (operator 8), with DataFrame functions only.
 
-Lines are compared without the spaces around them; blank lines take no part and stay. Each ``span`` consecutive lines are a
-window; the smallest line hash in it, leftmost on ties, is its fingerprint, and what lies before and after the fingerprint
-within the window is kept as a hash with it. Joining fingerprints on both finds every window that occurs earlier (smaller
-doc_id, or same document and earlier line); neighbouring windows extend a match both ways to the whole repeated run. All
-lines of windows that occur earlier are removed; the first occurrence stays. With ``long`` given, a line of more words than
-that is a window by itself too, whatever its neighbours.
-
-A fingerprint's first occurrence is a minimum that every task forms before the shuffle, so a line that a third of the
-corpus shares is one row per task there. The join back to all windows splits such a fingerprint by the adaptive skew join:
-the first occurrences are written and read again, so both of its sides come from plain shuffles.
+Lines are compared without the spaces around them; blank lines take no part and stay. A run counts from ``span``
+consecutive lines on, and a line of more than ``long`` words is a run by itself. Of the line hashes in each window of
+``span`` lines the smallest, leftmost on ties, is selected as the window's fingerprint, and so is every long line; a line
+selected by several windows is one fingerprint. Two documents that share a run share a fingerprint at the same place in it.
+
+1. Fingerprints that occur once drop out, and with them most lines.
+2. Each of the others is extended both ways, to the windows that it was selected for. Windows are joined on all their
+   lines' hashes; the earliest of equal ones (smaller doc_id, or same doc_id and earlier line) stays.
+3. Later windows that overlap or touch make up the maximal repeated runs; their lines are removed.
+
+A fingerprint's count and a window's first occurrence are aggregates that every task forms before the shuffle, so a line
+that a third of the corpus shares is one row per task there. Both are written and read again, so both sides of the joins
+that bring them back come from plain shuffles, and the adaptive skew join splits such a line's rows.
 """
 
 from __future__ import annotations
@@ -19,62 +22,82 @@ from pyspark.sql import functions as F
 
 from landcube.llm.common import materialize, need
 
+#: Lines of a run at least; words of a line above which it is a run by itself.
+SPAN, LONG = 2, 50
+
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_windows(documents: DataFrame, span: int, long: int | None = None) -> DataFrame:
-    """doc_id, s (the window's first line among those not blank, from 0), at (its lines among all), fp and around."""
-    if long is not None:
-        return _with_long_lines(documents, span, long)
-    lines = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i")))
-    rows = need(documents, "doc_id", "text").select("doc_id", F.filter(lines, lambda e: e["x"] != "").alias("e")).where(F.size("e") >= span)
-    rows = rows.select("doc_id", F.transform("e", lambda e: F.xxhash64(e["x"])).alias("h"), F.col("e.i").alias("at"))
-    rows = rows.select("doc_id", "h", "at", F.explode(F.sequence(F.lit(0), F.size("h") - span)).alias("s"))
-    rows = rows.select("doc_id", "s", F.slice("h", F.col("s") + 1, span).alias("win"), F.slice("at", F.col("s") + 1, span).alias("at"))
-    least = F.array_min("win")
-    return rows.select("doc_id", "s", "at", least.alias("fp"), F.xxhash64(F.array_position("win", least), "win").alias("around"))
-
-
-def _with_long_lines(documents: DataFrame, span: int, long: int) -> DataFrame:
-    """The windows of ``span`` lines, and one of each line of over ``long`` words; those begin at -1 - s until they are cut."""
-    lines = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i")))
-    rows = need(documents, "doc_id", "text").select("doc_id", F.filter(lines, lambda e: e["x"] != "").alias("e"))
-    wide = F.transform("e", lambda e: (F.length(e["x"]) > 2 * long) & (F.size(F.regexp_extract_all(e["x"], F.lit(r"[^\x20\x09-\x0d]+"), F.lit(0))) > long))
-    rows = rows.select("doc_id", F.transform("e", lambda e: F.xxhash64(e["x"])).alias("h"), F.col("e.i").alias("at"), wide.alias("wide"))
-    spans = F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span)).otherwise(F.array().cast("array<int>"))
-    single = F.filter(F.transform("wide", lambda w, i: F.when(w, -1 - i)), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", "h", "at", F.explode(F.concat(spans, single)).alias("from"))
-    one = F.col("from") < 0
-    rows = rows.select("doc_id", "h", "at", F.when(one, -1 - F.col("from")).otherwise(F.col("from")).alias("s"), F.when(one, 1).otherwise(span).alias("n"))
-    rows = rows.select("doc_id", "s", F.slice("h", F.col("s") + 1, F.col("n")).alias("win"), F.slice("at", F.col("s") + 1, F.col("n")).alias("at"))
-    least = F.array_min("win")
-    return rows.select("doc_id", "s", "at", least.alias("fp"), F.xxhash64(F.array_position("win", least), "win").alias("around"))
-
-
-def repeated_windows(documents: DataFrame, span: int, long: int | None = None) -> DataFrame:
-    """doc_id and gone: the lines (from 0) of the windows that occur earlier, per document."""
-    windows, place = line_windows(documents, span, long), F.struct("doc_id", "s")
-    firsts = windows.groupBy("fp", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    firsts = materialize(firsts, "lines")
-    later = windows.join(firsts, ["fp", "around"]).where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
+def row_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart; rows with equal doc_id and text need not be."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def upto(last: Column) -> Column:
+    """0 to ``last``; nothing if that is below 0."""
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+def place_of_least(window: Column) -> Column:
+    return F.array_position(window, F.array_min(window)).cast("int") - 1
+
+
+def fingerprints(documents: DataFrame, span: int, long: int) -> DataFrame:
+    """doc_id, own (the row's key), p (the line's place among those not blank), fp (its hash), wide, and what is around it:
+    low (the first place that a window with p can have), near (hashes from there on) and lines (their places among all)."""
+    full = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i"))), lambda e: e["x"] != "")
+    rows = need(documents, "doc_id", "text").select("doc_id", row_key(F.col("text")).alias("own"), full.alias("e"))
+    wide = F.transform("e", lambda e: (F.length(e["x"]) > 2 * long) & (F.regexp_count(e["x"], F.lit(r"[^\x20\x09-\x0d]+")) > long))
+    rows = rows.select("doc_id", "own", F.transform("e", lambda e: F.xxhash64(e["x"])).alias("h"), F.col("e.i").alias("at"), wide.alias("wide"))
+    minima = F.transform(upto(F.size("h") - span), lambda s: s + place_of_least(F.slice("h", s + 1, span)))
+    alone = F.filter(F.transform("wide", lambda w, i: F.when(w, i)), lambda i: i.isNotNull())
 
+    def around(p: Column) -> Column:
+        low = F.greatest(p - (span - 1), F.lit(0))
+        n = F.least(F.size("h"), p + span) - low
+        return F.struct(p.alias("p"), F.get("h", p).alias("fp"), F.get("wide", p).alias("wide"), low.alias("low"), F.slice("h", low + 1, n).alias("near"), F.slice("at", low + 1, n).alias("lines"))
+
+    return rows.select("doc_id", "own", F.explode(F.transform(F.array_distinct(F.concat(minima, alone)), around)).alias("f")).select("doc_id", "own", "f.*")
+
+
+def windows_of(marked: DataFrame, span: int) -> DataFrame:
+    """doc_id, own, fp, around (a hash of all lines of the window), s (its first line) and at (its lines among all)."""
+
+    def window(k: Column) -> Column:
+        win = F.slice("near", k + 1, span)
+        return F.struct(F.xxhash64(win).alias("around"), (F.col("low") + k).alias("s"), F.slice("lines", k + 1, span).alias("at"), (place_of_least(win) == F.col("p") - F.col("low") - k).alias("selected"))
+
+    at = F.col("p") - F.col("low")
+    single = F.struct(F.xxhash64(F.array("fp")).alias("around"), F.col("p").alias("s"), F.slice("lines", at + 1, 1).alias("at"), F.lit(True).alias("selected"))
+    all_windows = F.concat(F.filter(F.transform(upto(F.size("near") - span), window), lambda w: w["selected"]), F.when(F.col("wide"), F.array(single)).otherwise(F.filter(F.array(single), lambda w: F.lit(False))))
+    return marked.select("doc_id", "own", "fp", F.explode(all_windows).alias("w")).select("doc_id", "own", "fp", "w.around", "w.s", "w.at")
+
+
+def repeated_lines(documents: DataFrame, span: int, long: int) -> DataFrame:
+    """doc_id, own and gone: the lines (from 0) of the windows that occur earlier, per row."""
+    marked = fingerprints(documents, span, long)
+    repeated = materialize(marked.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "fingerprints")
+    place = F.struct("doc_id", "s")
+    windows = materialize(windows_of(marked.join(repeated, "fp"), span), "windows")
+    firsts = materialize(windows.groupBy("fp", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    later = windows.join(firsts, ["fp", "around"]).where(place > F.col("first"))
+    return later.groupBy("doc_id", "own").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
-def dedup_lines(documents: DataFrame, span: int = 2, long: int | None = None) -> DataFrame:
-    """All columns of ``documents`` with ``text`` less its repeated runs of ``span`` lines or more, and n_lines, n_removed.
 
-    With ``long``, repeated lines of more than that many words go too. The registered query keeps to its SQL, without them.
+def dedup_lines(documents: DataFrame, span: int = SPAN, long: int = LONG) -> DataFrame:
+    """All columns of ``documents`` with ``text`` less its repeated runs of lines, and n_lines, n_removed.
 
-    A null text stays null; a text of which nothing is left is empty. Rows that share a doc_id count as one place, so that
-    equal rows do not remove each other; a null doc_id comes before all others. n_lines counts all lines, blank ones too.
-    Other columns stay as they are; an empty table gives no rows.
+    A null text stays null; a text of which nothing is left is empty. Rows that share a doc_id, or have none, are judged
+    and cut each for itself; lines at one place in them don't remove each other, so equal rows don't. A null doc_id comes
+    before all others. n_lines counts all lines, blank ones too. Other columns stay as they are; an empty table gives no
+    rows.
     """
-    hits = repeated_windows(documents, span, long).withColumnRenamed("doc_id", "own")
+    hits = repeated_lines(documents, span, long).withColumnsRenamed({"doc_id": "hit_id", "own": "hit"})
     names = documents.columns
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"))
-    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("own")), "left")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), row_key(F.col("text")).alias("own"))
+    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("own") == F.col("hit")), "left")
     joined = joined.select("row", "gone", lines_of(F.col("row")["text"]).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.transform(left, lambda i: F.get("lines", i))
@@ -88,13 +111,14 @@ def report(documents: DataFrame) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT rid, doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM d),
 num AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS s FROM lines WHERE trim(x) <> ''),
 win AS (SELECT rid, doc_id, i, s, trim(x) AS a, lead(trim(x)) OVER (PARTITION BY rid ORDER BY i) AS b FROM num),
-ranked AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY doc_id NULLS FIRST, s) AS k FROM win WHERE b IS NOT NULL),
-gone AS (SELECT DISTINCT rid, s + o AS s FROM ranked, (VALUES (0), (1)) v(o) WHERE k > 1),
+pair AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY doc_id NULLS FIRST, s) AS k FROM win WHERE b IS NOT NULL),
+long AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY doc_id NULLS FIRST, s) AS k FROM win WHERE len(regexp_extract_all(a, '[^\x20\x09-\x0d]+')) > 50),
+gone AS (SELECT rid, s + o AS s FROM pair, (VALUES (0), (1)) v(o) WHERE k > 1 UNION SELECT rid, s FROM long WHERE k > 1),
 kept AS (SELECT l.rid, string_agg(l.x, chr(10) ORDER BY l.i) AS t FROM lines l LEFT JOIN num n USING (rid, i) LEFT JOIN gone g ON g.rid = l.rid AND g.s = n.s WHERE g.rid IS NULL GROUP BY l.rid),
 cut AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256

@@ -462,6 +462,37 @@ def test_lines(documents, none):
     assert set(documents.columns) <= set(linededup.dedup_lines(documents).columns)
 
 
+LONG_LINE = " ".join(f"p{i}" for i in range(51))
+SHARED_IDS = [
+    (1, "a\nb\nc"), (7, "a\nb\nc"), (7, "unique a\nunique b\nunique c"), (7, "a\nb\nc"), (None, "a\nb"), (None, "x\ny\nz"), (None, "q\nx\ny"), (8, LONG_LINE),
+    (8, "f\n" + LONG_LINE + "\ng"), (9, LONG_LINE), (9, "other " + LONG_LINE), (None, None), (10, "c\nd\ne\nd\ne\nd\ne"), (3, "e\nd\n\n \n  e \nz\na\nb"), (None, ""), (11, "b\nc"),
+]
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    frame = spark.createDataFrame(SHARED_IDS, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in linededup.dedup_lines(frame).collect())
+    assert got == Counter(zip([i for i, _ in SHARED_IDS], brute_lines(SHARED_IDS), strict=True))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.lists(st.sampled_from("abcd "), max_size=9)), max_size=8), st.integers(2, 4))
+def test_lines_by_brute_force(spark, rows, span):
+    made = [(i, "\n".join(x)) for i, x in rows]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_removed"]) for r in linededup.dedup_lines(frame, span).collect())
+    seen, gone = defaultdict(set), defaultdict(set)
+    full = [[k for k, x in enumerate(t) if x.strip()] for _, t in rows]
+    for n, (i, t) in enumerate(rows):
+        for s in range(len(full[n]) - span + 1):
+            seen["".join(t[k] for k in full[n][s : s + span])].add((i, s, n, tuple(full[n][s : s + span])))
+    for places in seen.values():
+        for p in places:
+            if p[:2] > min(places)[:2]:
+                gone[p[2]].update(p[3])
+    assert got == Counter((i, len(gone[n])) for n, (i, _) in enumerate(rows))
+
+
 # 9
 
 PAGE = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
@@ -550,16 +581,25 @@ def test_forward_equals_enumeration():
 
 
 def brute_lines(rows):
-    """doc_id to text: runs of two or more lines that occur earlier go; blank lines take no part."""
-    seen, out = {}, {}
-    for i, text in sorted(rows.items()):
+    """The texts of rows (doc_id, text), in order: runs of two or more lines, or a line of over 50 words, that occur earlier go."""
+    windows = []
+    for number, (i, text) in enumerate(rows):
         lines = (text or "").split("\n")
         full = [k for k, x in enumerate(lines) if x.strip(" ")]
-        for s in range(len(full) - 1):
-            seen.setdefault((lines[full[s]].strip(" "), lines[full[s + 1]].strip(" ")), (i, s))
-        gone = {full[s + o] for s in range(len(full) - 1) for o in (0, 1) if seen[lines[full[s]].strip(" "), lines[full[s + 1]].strip(" ")] < (i, s)}
-        out[i] = text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
+        for s in range(len(full)):
+            own = [lines[k].strip(" ") for k in full[s : s + 2]]
+            place = (i is not None, i or 0, s)
+            if len(own) == 2:
+                windows.append((tuple(own), place, number, full[s : s + 2]))
+            if len(re.findall("[^\x20\x09-\x0d]+", own[0])) > 50:
+                windows.append(((own[0],), place, number, full[s : s + 1]))
+    first, gone = {}, defaultdict(set)
+    for key, place, _, _ in windows:
+        first[key] = min(first.get(key, place), place)
+    for key, place, number, at in windows:
+        if place > first[key]:
+            gone[number].update(at)
+    return [t if not gone[k] else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[k]) for k, (_, t) in enumerate(rows)]
 
 
 def texts_of(frame):
@@ -581,7 +621,7 @@ def test_pipeline_stage_by_stage(spark):
             bad = {r["doc_id"] for r in toxicity.score(table(spark, SF, "documents"), table(spark, SF, "labels")).where("score >= 0.3").collect()}
             want = {i: t for i, t in before.items() if i not in bad}
         elif name == "line_dedup":
-            want = brute_lines(before)
+            want = dict(zip(sorted(before), brute_lines(sorted(before.items())), strict=True))
         elif name == "simhash_dedup":
             root = brute_components({i: simhash.fingerprint(t) for i, t in before.items()})
             want = {i: t for i, t in before.items() if root[i] == i}
