@@ -1,17 +1,20 @@
 """Benchmark decontamination by winnowing (operator 5), with DataFrame functions only.
 
 A window is ``span`` consecutive words of a benchmark item, or the whole of a shorter item. Of the k-gram hashes in a
-window the smallest, leftmost on ties, is its fingerprint; so overlapping windows share most of them. Fingerprints are
-joined with the documents' k-grams, each match is extended to the whole window both ways, word by word, and the windows
-found are united. Equal windows have equal fingerprints at equal places, so every shared window is found.
+window the smallest is its fingerprint; so overlapping windows share most of them. Documents are winnowed alike: a k-gram
+is kept if it is the smallest of some window, about two in seven. Fingerprints of both sides are joined, each match is
+extended to the whole window both ways, word by word, and the windows found are united. Equal windows have equal
+fingerprints at equal places, so every shared window is found.
 
-A benchmark counted below ``BROADCAST_WINDOWS`` windows is broadcast. The documents' k-grams then stream past it, and
-whether one is its window's minimum need not be asked: it is, if the window around it proves equal. A larger benchmark is
-shuffled; there documents are winnowed first, so that about one k-gram in three is shuffled, with the words around it.
+A benchmark counted below ``BROADCAST_WINDOWS`` windows is broadcast. Beyond that size the documents' fingerprints are
+shuffled without their words; only the documents of matching ones are read again for the extension.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +44,20 @@ def steps(last: Column) -> Column:
 
 
 def grams_of(hashes: Column, k: int) -> Column:
-    """The hash of each k consecutive words, as an array; for short texts only."""
+    """The hash of each k consecutive words, as an array."""
     return F.transform(steps(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)]))
 
 
-def minima_of(grams: Column, width: int) -> Column:
-    """For each ``width`` consecutive grams the place (from 0) of the smallest, leftmost on ties; repeats included."""
-    windows = F.transform(steps(F.size(grams) - (width - 1)), lambda s: F.slice(grams, s, width))
-    return F.transform(windows, lambda w, s: s + F.array_position(w, F.array_min(w)).cast("int") - 1)
-
+def sliding(rows: DataFrame, made: str, source: Column, width: int, pick: Callable[[Column, Column], Column]) -> DataFrame:
+    """The column ``made``: ``pick`` (least or greatest) over each ``width`` consecutive numbers of an array, by doubling."""
+    def merged(step: int) -> Column:
+        return F.transform(steps(F.size(made) - step), lambda i: pick(F.element_at(made, i), F.element_at(made, i + step)))
 
-def placed(places: Column, k: int) -> Column:
-    return F.transform(places, lambda p: F.struct(F.lit(k).alias("k"), p.alias("p")))
+    rows, have = rows.withColumn(made, source), 1
+    while have < width:
+        step = min(have, width - have)
+        rows, have = rows.withColumn(made, merged(step)), have + step
+    return rows
 
 
 def benchmark_windows(benchmark: DataFrame, span: int) -> DataFrame:
@@ -67,60 +72,68 @@ def benchmark_windows(benchmark: DataFrame, span: int) -> DataFrame:
     return marked.select(k.alias("k"), "len", F.array_min("g").alias("fp"), (F.array_position("g", F.array_min("g")) - 1).cast("int").alias("off"), "win", "items")
 
 
-def all_grams(words: DataFrame, ks: list[int]) -> DataFrame:
-    """A row for every k-gram: k, p (its place, from 0), fp; and one with p -1 for each document.
+FINGERPRINTS = "array<struct<k: int, p: int, fp: bigint>>"
+
+
+def selected(k: int, lengths: list[int]) -> Column:
+    """(k, p, fp) of each k-gram that is the smallest of a window of any of the lengths.
 
-    The places, for one k after another, are one sequence; a gram's hash is made from the row's own words.
+    The arrays are zipped first: one named inside a function of another's elements would be made anew for each of them.
     """
-    upto = [F.lit(0)]
-    for k in ks:
-        upto.append(upto[-1] + F.greatest(F.size("w") - (k - 1), F.lit(0)))
-    rows, i = words.withColumn("i", F.explode(F.sequence(F.lit(0), upto[-1]))), F.col("i")
-    spans = list(zip(ks, upto, upto[1:], strict=False))
-    own = F.coalesce(*[F.when(i <= u, F.lit(k)) for k, _, u in spans], F.lit(0))
-    place = F.coalesce(*[F.when(i <= u, i - before - 1) for _, before, u in spans], F.lit(-1))
-    value = F.coalesce(*[F.when(i <= u, F.xxhash64(*[F.get("h", i - before - 1 + j) for j in range(k)])) for k, before, u in spans], F.lit(None).cast("long"))
-    return rows.select("rid", "doc_id", "w", own.alias("k"), F.when(i == 0, -1).otherwise(place).alias("p"), value.alias("fp"))
+    zipped = F.arrays_zip(F.col(f"g{k}").alias("g"), *[F.col(f"most{n}").alias(f"m{n}") for n in lengths])
+    placed = F.transform(zipped, lambda x, i: F.struct(x.alias("x"), i.alias("p")))
+    least = F.filter(placed, lambda y: reduce(Column.__or__, [y["x"]["g"].eqNullSafe(y["x"][f"m{n}"]) for n in lengths]) & y["x"]["g"].isNotNull())
+    return F.transform(least, lambda y: F.struct(F.lit(k).alias("k"), y["p"].alias("p"), y["x"]["g"].alias("fp"))).cast(FINGERPRINTS)
 
 
 def winnowed(words: DataFrame, lengths: list[int]) -> DataFrame:
-    """Like :func:`all_grams`, with the k-grams only that are the smallest of a window."""
-    grams = words.withColumns({f"g{k}": grams_of(F.col("h"), k) for k in {min(GRAM, n) for n in lengths}})
-    found = [placed(minima_of(F.col(f"g{min(GRAM, n)}"), n - min(GRAM, n) + 1), min(GRAM, n)) for n in lengths]
-    none = F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).alias("p")))
-    rows = grams.withColumn("at", F.explode(F.concat(none, F.array_distinct(F.concat(*found))))).select("*", "at.*")
-    value = F.coalesce(*[F.when(F.col("k") == k, F.get(f"g{k}", F.col("p"))) for k in {min(GRAM, n) for n in lengths}])
-    return rows.select("rid", "doc_id", "w", "k", "p", value.alias("fp"))
+    """A row for every k-gram that is the smallest of a window: doc_id, own, w, k, p (its place, from 0) and fp.
+
+    A k-gram is that of a window it is in if the largest of the minima of those windows is its own hash.
+    """
+    rows, found = words, []
+    for k in sorted({min(GRAM, n) for n in lengths}):
+        g, own = f"g{k}", [n for n in lengths if min(GRAM, n) == k]
+        rows = rows.withColumn(g, grams_of(F.col("h"), k))
+        for n in own:
+            edge = F.array_repeat(F.lit(-(2**63)), n - k)  # no window reaches over the text's ends
+            rows = sliding(rows, f"least{n}", F.col(g), n - k + 1, F.least)
+            rows = sliding(rows, f"most{n}", F.concat(edge, F.col(f"least{n}"), edge), n - k + 1, F.greatest)
+        found.append(selected(k, own))
+    return rows.select("doc_id", "own", "w", F.explode(F.concat(*found)).alias("f")).select("doc_id", "own", "w", "f.*")
+
+
+def matches(hashed: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, own, hits and items of the rows (doc_id, own, w, h) that share a window."""
+    marked, start = winnowed(hashed, lengths), F.col("p") - F.col("off")
+    equal = F.slice("w", start + 1, F.col("len")) == F.col("win")
+    if fits(windows, BROADCAST_WINDOWS):
+        joined = marked.join(F.broadcast(windows), ["k", "fp"]).where(start >= 0)
+    else:
+        found = marked.drop("w").join(windows, ["k", "fp"]).where(start >= 0)
+        texts = hashed.select(F.col("doc_id").alias("id"), F.col("own").alias("key"), "w")
+        joined = found.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")))
+    hit = joined.where(equal).select("doc_id", "own", F.sequence(start, start + F.col("len") - 1).alias("hit"), "items").groupBy("doc_id", "own")
+    return hit.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
-    """Per document row: doc_id, n_words, hits (the word positions inside any shared window, from 0), items (ids, sorted).
+    """Per document row: doc_id, own (the text's hash), n_words, hits (the word positions inside any shared window, from 0),
+    items (ids, sorted).
 
-    Null, empty and wordless texts have no words and no hits; so have all if the benchmark is empty. Repeated rows are
-    judged each for itself. Extra columns are ignored.
+    Null, empty and wordless texts have no words and no hits; so have all if the benchmark is empty. Rows that share a
+    doc_id, or have none, are judged each for itself. Extra columns are ignored.
     """
     windows = materialize(benchmark_windows(benchmark, span), "windows")
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most ``span`` numbers
-    words = need(documents, "doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(F.col("text")).alias("w"))
-    hashed, start = words.withColumn("h", hashes_of(F.col("w"))), F.col("p") - F.col("off")
-    if fits(windows, BROADCAST_WINDOWS):
-        grams = all_grams(hashed, sorted({min(GRAM, n) for n in lengths}))
-        joined = grams.withColumn("n_words", F.size("w")).join(F.broadcast(windows), ["k", "fp"], "left")
-        extended = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
-    else:  # the words around a fingerprint go along, from where its window can start to where it can end
-        low = F.greatest(F.col("p") - (span - 1), F.lit(0))
-        near = F.slice("w", low + 1, F.when(F.col("p") < 0, 0).otherwise(2 * span))
-        around = winnowed(hashed, lengths).select("rid", "doc_id", F.size("w").alias("n_words"), "k", "p", "fp", low.alias("low"), near.alias("near"))
-        joined = around.join(windows, ["k", "fp"], "left")
-        extended = F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("len")) == F.col("win")
-    kept = joined.where((F.col("p") < 0) | ((start >= 0) & extended))
-    hit = F.when(F.col("p") >= 0, F.sequence(start, start + F.col("len") - 1))
-    return (
-        kept.select("rid", "doc_id", "n_words", hit.alias("hit"), "items")
-        .groupBy("rid")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").cast("long").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        .drop("rid")
-    )
+    rows = need(documents, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), words_of(F.col("text")).alias("w"))
+    every = rows.select("doc_id", "own", F.size("w").cast("long").alias("n_words"))
+    if not lengths:
+        return every.withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    found = materialize(matches(rows.withColumn("h", hashes_of(F.col("w"))), windows, lengths), "hits").withColumnsRenamed({"doc_id": "id", "own": "key"})
+    joined = every.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")), "left")
+    empty = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("hits", "array<int>"), ("items", "array<string>"))]
+    return joined.select("doc_id", "own", "n_words", *empty)
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:

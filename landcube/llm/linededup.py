@@ -48,16 +48,16 @@ def fingerprints(documents: DataFrame, span: int, long: int) -> DataFrame:
     """doc_id, own (the row's key), p (the line's place among those not blank), fp (its hash), wide, and what is around it:
     low (the first place that a window with p can have), near (hashes from there on) and lines (their places among all)."""
     full = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i"))), lambda e: e["x"] != "")
-    rows = need(documents, "doc_id", "text").select("doc_id", row_key(F.col("text")).alias("own"), full.alias("e"))
-    wide = F.transform("e", lambda e: (F.length(e["x"]) > 2 * long) & (F.regexp_count(e["x"], F.lit(r"[^\x20\x09-\x0d]+")) > long))
-    rows = rows.select("doc_id", "own", F.transform("e", lambda e: F.xxhash64(e["x"])).alias("h"), F.col("e.i").alias("at"), wide.alias("wide"))
-    minima = F.transform(upto(F.size("h") - span), lambda s: s + place_of_least(F.slice("h", s + 1, span)))
-    alone = F.filter(F.transform("wide", lambda w, i: F.when(w, i)), lambda i: i.isNotNull())
+    wide = lambda x: (F.length(x) > 2 * long) & (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0d]+")) > long)
+    lines = F.transform(full, lambda e: F.struct(F.xxhash64(e["x"]).alias("h"), e["i"].alias("at"), wide(e["x"]).alias("wide")))
+    rows = need(documents, "doc_id", "text").select("doc_id", row_key(F.col("text")).alias("own"), lines.alias("e"))
+    minima = F.transform(upto(F.size("e") - span), lambda s: s + place_of_least(F.slice("e", s + 1, span)["h"]))
+    alone = F.filter(F.transform("e", lambda e, i: F.when(e["wide"], i)), lambda i: i.isNotNull())
 
     def around(p: Column) -> Column:
-        low = F.greatest(p - (span - 1), F.lit(0))
-        n = F.least(F.size("h"), p + span) - low
-        return F.struct(p.alias("p"), F.get("h", p).alias("fp"), F.get("wide", p).alias("wide"), low.alias("low"), F.slice("h", low + 1, n).alias("near"), F.slice("at", low + 1, n).alias("lines"))
+        low, own = F.greatest(p - (span - 1), F.lit(0)), F.get("e", p)
+        near = F.slice("e", low + 1, F.least(F.size("e"), p + span) - low)
+        return F.struct(p.alias("p"), own["h"].alias("fp"), own["wide"].alias("wide"), low.alias("low"), near["h"].alias("near"), near["at"].alias("lines"))
 
     return rows.select("doc_id", "own", F.explode(F.transform(F.array_distinct(F.concat(minima, alone)), around)).alias("f")).select("doc_id", "own", "f.*")
 
@@ -71,7 +71,8 @@ def windows_of(marked: DataFrame, span: int) -> DataFrame:
 
     at = F.col("p") - F.col("low")
     single = F.struct(F.xxhash64(F.array("fp")).alias("around"), F.col("p").alias("s"), F.slice("lines", at + 1, 1).alias("at"), F.lit(True).alias("selected"))
-    all_windows = F.concat(F.filter(F.transform(upto(F.size("near") - span), window), lambda w: w["selected"]), F.when(F.col("wide"), F.array(single)).otherwise(F.filter(F.array(single), lambda w: F.lit(False))))
+    runs = F.filter(F.transform(upto(F.size("near") - span), window), lambda w: w["selected"])
+    all_windows = F.concat(runs, F.filter(F.array(single), lambda w: F.col("wide")))
     return marked.select("doc_id", "own", "fp", F.explode(all_windows).alias("w")).select("doc_id", "own", "fp", "w.around", "w.s", "w.at")
 
 

@@ -84,19 +84,19 @@ def spanning(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def marks(documents: DataFrame) -> DataFrame:
-    """doc_id, node (number of the row's shingle set) and keys (its bands)."""
+def marks(rows: DataFrame) -> DataFrame:
+    """rid, doc_id, node (number of the row's shingle set) and keys (its bands) of rows (rid, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, keys = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = shingles(text)
                 nodes.append(node_of(own))
                 keys.append(bands(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["rid", "doc_id", "node", "keys"])
 
-    return need(documents, "doc_id", "text").mapInArrow(run, "doc_id long, node long, keys array<long>")
+    return need(rows, "rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, node long, keys array<long>")
 
 
 def sets_of(documents: DataFrame) -> DataFrame:
@@ -110,8 +110,8 @@ def sets_of(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "node long, own binary")
 
 
-def links(documents: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes; their components are those of all verified candidates. points: node, first, keys."""
+def links(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes; their components are those of all verified candidates. points: node, first (row), keys."""
     keyed = points.select("node", F.explode("keys").alias("key"))
     members = [F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     buckets = keyed.groupBy("key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
@@ -120,9 +120,8 @@ def links(documents: DataFrame, points: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")
     dealt = keyed.join(buckets, "key").select("node", "key", own.alias("one"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = materialize(dealt.select("node", F.xxhash64("key", F.least("one", "other"), F.greatest("one", "other")).alias("task")), "dealt")
-    wanted = points.join(dealt.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("_first")).distinct()
-    texts = need(documents, "doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    sets = materialize(sets_of(texts).dropDuplicates(["node"]), "sets")
+    wanted = points.join(dealt.select("node").distinct(), "node", "left_semi").select(F.col("first.rid").alias("rid"))
+    sets = materialize(sets_of(need(rows, "rid", "text").join(wanted, "rid", "left_semi")), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(edges: list) -> pa.RecordBatch:
@@ -143,16 +142,28 @@ def links(documents: DataFrame, points: DataFrame) -> DataFrame:
     return both.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "a long, b long")
 
 
-def near_copies(documents: DataFrame) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable by links) of each row.
+def numbered(documents: DataFrame) -> DataFrame:
+    """All columns and rid, a number of its own for each row; written, so that it stays the same."""
+    return materialize(documents.withColumn("rid", F.monotonically_increasing_id()), "rows")
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """rid, doc_id, component_id (the smallest doc_id reachable by links) and stays (the first row of its component, by
+    doc_id and rid) of each of ``rows`` (rid, doc_id, text).
 
-    Texts without words are copies of each other. An empty table gives no rows; extra columns are ignored.
+    Texts without words are copies of each other. A null doc_id comes first; rows that share a doc_id are rows of their
+    own. An empty table gives no rows; extra columns are ignored.
     """
-    made = materialize(marks(documents), "marks")
-    points = materialize(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "points")
-    roots = connected_components(links(documents, points)).withColumnRenamed("node", "of")
+    made = materialize(marks(rows), "marks")
+    points = materialize(made.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.first("keys").alias("keys")), "points")
+    roots = connected_components(links(rows, points)).withColumnRenamed("node", "of")
     rooted = points.join(roots, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
-    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    whole = materialize(rooted.join(smallest, "root").select("node", "component_id"), "components")
-    return made.join(whole, "node").select("doc_id", "component_id")
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("least")), "smallest")
+    whole = materialize(rooted.join(smallest, "root").select("node", "least"), "components")
+    return made.join(whole, "node").select("rid", "doc_id", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("stays"))
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """doc_id and component_id of each row; see :func:`grouped`."""
+    return grouped(numbered(need(documents, "doc_id", "text"))).select("doc_id", "component_id")

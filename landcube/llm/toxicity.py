@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landcube.llm import nearcopies
 from landcube.llm.common import need, remainder
@@ -31,7 +32,7 @@ SAMPLE, BRIDGE, SIDE = 2500, 2, 10
 #: Least odds and share of a toxic key, lengths of beginnings and how many words must share one.
 ODDS, SHARE, BEGINS, FAMILY = 20.0, 0.03, (4, 5, 6, 7, 8), 5
 WORD = re.compile(r"[^\W\d_]+")
-SCHEMA = "doc_id long, score double, spans array<struct<start: int, end: int, p: double>>"
+SCORES = "_score double, _spans array<struct<start: int, end: int, p: double>>"
 
 
 def tokens(text: str) -> list[str]:
@@ -241,26 +242,33 @@ def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[str
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (1, 0)]
     # at most 2 x SAMPLE ids, whatever the labels' number
-    rows = documents.join(F.broadcast(picked[0].union(picked[1])), "doc_id").dropDuplicates(["doc_id"]).where("text is not null").orderBy("doc_id").select("toxic", "text").collect()
+    rows = documents.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.where("text is not null").orderBy("doc_id").select("toxic", "text").collect()
     return [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
 
 
-def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score and spans (start, end, p) of every document row.
+def scored(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every document row, with its _score and _spans (start, end, p).
 
     Null and empty texts get the score of a text without toxic words and no spans. Without usable labels every score is
-    low. Repeated rows are scored each for itself; extra columns are ignored; an empty table gives no rows.
+    low. Rows are scored each for itself, whether or not they share a doc_id or have one; an empty table gives no rows.
     """
-    documents = need(documents, "doc_id", "text")
-    model = Model(*sample(documents, need(labels, "doc_id", "toxic")))
+    model = Model(*sample(need(documents, "doc_id", "text"), need(labels, "doc_id", "toxic")))
+    own = documents.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*own.schema.fields[1:], *T.StructType.fromDDL(SCORES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
-            made = [model.read(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], kind)], names=["doc_id", "score", "spans"])
+            made = [model.read(t or "") for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], kind)], names=[*keep, "_score", "_spans"])
+
+    return own.mapInArrow(run, schema)
 
-    return documents.mapInArrow(run, SCHEMA)
+
+def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score and spans of every document row; see :func:`scored`."""
+    return scored(documents, labels, ["doc_id"]).withColumnsRenamed({"_score": "score", "_spans": "spans"})
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -304,7 +304,7 @@ def brute_contamination(text, items):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_contamination(documents, none, benchmark, small):
+def test_contamination(spark, documents, none, benchmark, small):
     items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
     old = decontamination.BROADCAST_WINDOWS
     decontamination.BROADCAST_WINDOWS = old if small else 1
@@ -316,10 +316,29 @@ def test_contamination(documents, none, benchmark, small):
     assert len(rows) == len(texts) + 1
     for r in rows:
         assert (r["n_words"], len(r["hits"]), ",".join(r["items"])) == brute_contamination(texts[r["doc_id"]], items)
+    shared = spark.createDataFrame([*SHARED_IDS, (7, texts[5]), (None, "pre " + texts[5]), (None, texts[5]), (7, texts[5])], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], len(r["hits"]), ",".join(r["items"])) for r in decontamination.contamination(shared, benchmark).collect())
+    assert got == Counter((r["doc_id"], *brute_contamination(r["text"], items)) for r in shared.collect())
     assert decontamination.contamination(none, benchmark).count() == 0
     assert all(not r["hits"] for r in decontamination.contamination(documents, benchmark.limit(0)).collect())
 
 
+@given(st.text("abc", min_size=0, max_size=60), st.integers(2, 6))
+@settings(max_examples=10, deadline=None)
+def test_winnowed_are_the_minima_of_windows(spark, text, n):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 1, list(text))], "doc_id long, own long, w array<string>").withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    old, decontamination.GRAM = decontamination.GRAM, 2
+    try:
+        got = {r["p"]: r["fp"] for r in decontamination.winnowed(rows, [n]).collect()}
+        grams = rows.select(decontamination.grams_of(F.col("h"), 2)).first()[0]
+    finally:
+        decontamination.GRAM = old
+    want = {p for s in range(len(grams) - n + 2) for p in range(s, s + n - 1) if grams[p] == min(grams[s : s + n - 1])}
+    assert set(got) == want and all(grams[p] == fp for p, fp in got.items())
+
+
 # 6
 
 
