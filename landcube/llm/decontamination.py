@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing (operator 5), with DataFrame functions only.
 
 A window is ``span`` consecutive words of a benchmark item, or the whole of a shorter item. Of the k-gram hashes in a
-window the smallest is its fingerprint; so overlapping windows share most of them. Documents are winnowed alike: a k-gram
-is kept if it is the smallest of some window, about two in seven. Fingerprints of both sides are joined, each match is
+window the smallest is its fingerprint; so overlapping windows share most of them. Documents are winnowed alike, window
+by window as they stream by, which keeps about two k-grams in seven. Fingerprints of both sides are joined, each match is
 extended to the whole window both ways, word by word, and the windows found are united. Equal windows have equal
 fingerprints at equal places, so every shared window is found.
 
@@ -12,9 +12,6 @@ shuffled without their words; only the documents of matching ones are read again
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,18 +45,6 @@ def grams_of(hashes: Column, k: int) -> Column:
     return F.transform(steps(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)]))
 
 
-def sliding(rows: DataFrame, made: str, source: Column, width: int, pick: Callable[[Column, Column], Column]) -> DataFrame:
-    """The column ``made``: ``pick`` (least or greatest) over each ``width`` consecutive numbers of an array, by doubling."""
-    def merged(step: int) -> Column:
-        return F.transform(steps(F.size(made) - step), lambda i: pick(F.element_at(made, i), F.element_at(made, i + step)))
-
-    rows, have = rows.withColumn(made, source), 1
-    while have < width:
-        step = min(have, width - have)
-        rows, have = rows.withColumn(made, merged(step)), have + step
-    return rows
-
-
 def benchmark_windows(benchmark: DataFrame, span: int) -> DataFrame:
     """Every different window once: its words, length, fingerprint with its place, and the items that hold it."""
     items = need(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
@@ -72,35 +57,34 @@ def benchmark_windows(benchmark: DataFrame, span: int) -> DataFrame:
     return marked.select(k.alias("k"), "len", F.array_min("g").alias("fp"), (F.array_position("g", F.array_min("g")) - 1).cast("int").alias("off"), "win", "items")
 
 
-FINGERPRINTS = "array<struct<k: int, p: int, fp: bigint>>"
-
-
-def selected(k: int, lengths: list[int]) -> Column:
-    """(k, p, fp) of each k-gram that is the smallest of a window of any of the lengths.
-
-    The arrays are zipped first: one named inside a function of another's elements would be made anew for each of them.
-    """
-    zipped = F.arrays_zip(F.col(f"g{k}").alias("g"), *[F.col(f"most{n}").alias(f"m{n}") for n in lengths])
-    placed = F.transform(zipped, lambda x, i: F.struct(x.alias("x"), i.alias("p")))
-    least = F.filter(placed, lambda y: reduce(Column.__or__, [y["x"]["g"].eqNullSafe(y["x"][f"m{n}"]) for n in lengths]) & y["x"]["g"].isNotNull())
-    return F.transform(least, lambda y: F.struct(F.lit(k).alias("k"), y["p"].alias("p"), y["x"]["g"].alias("fp"))).cast(FINGERPRINTS)
-
-
 def winnowed(words: DataFrame, lengths: list[int]) -> DataFrame:
     """A row for every k-gram that is the smallest of a window: doc_id, own, w, k, p (its place, from 0) and fp.
 
-    A k-gram is that of a window it is in if the largest of the minima of those windows is its own hash.
+    Windows of every length are numbered in one sequence. A window brings its smallest gram forth, leftmost on ties, unless
+    the window before it has the same smallest hash and did not begin with it: then that window, or one before, did.
     """
-    rows, found = words, []
-    for k in sorted({min(GRAM, n) for n in lengths}):
-        g, own = f"g{k}", [n for n in lengths if min(GRAM, n) == k]
-        rows = rows.withColumn(g, grams_of(F.col("h"), k))
-        for n in own:
-            edge = F.array_repeat(F.lit(-(2**63)), n - k)  # no window reaches over the text's ends
-            rows = sliding(rows, f"least{n}", F.col(g), n - k + 1, F.least)
-            rows = sliding(rows, f"most{n}", F.concat(edge, F.col(f"least{n}"), edge), n - k + 1, F.greatest)
-        found.append(selected(k, own))
-    return rows.select("doc_id", "own", "w", F.explode(F.concat(*found)).alias("f")).select("doc_id", "own", "w", "f.*")
+    upto = [F.lit(0)]
+    for n in lengths:
+        upto.append(upto[-1] + F.greatest(F.size(f"g{min(GRAM, n)}") - (n - min(GRAM, n)), F.lit(0)))
+    i, spans = F.col("i"), list(zip(lengths, upto, upto[1:], strict=False))
+    # the hashes of the grams are made as arrays, so that what is done for a window is small enough to be compiled
+    rows = words.withColumns({f"g{k}": grams_of(F.col("h"), k) for k in {min(GRAM, n) for n in lengths}}).drop("h")
+    rows = rows.withColumn("i", F.explode(steps(upto[-1])))
+    rows = rows.withColumns({"n": F.coalesce(*[F.when(i <= u, F.lit(n)) for n, _, u in spans]), "s": F.coalesce(*[F.when(i <= u, i - before - 1) for _, before, u in spans])})
+    made = []
+    for n in lengths:
+        k, width, mine = min(GRAM, n), n - min(GRAM, n) + 1, F.col("n") == n
+        gram = {f"g{n}_{t + 1}": F.get(f"g{k}", F.when(mine, F.col("s") + t)) for t in range(-1, width)}
+        rows = rows.withColumns(gram)
+        now, before = [F.col(g) for g in gram][1:], [F.col(g) for g in gram][:-1]
+        rows = rows.withColumns({f"m{n}": F.least(*now) if width > 1 else now[0], f"b{n}": F.least(*before) if width > 1 else before[0]})
+        least = F.col(f"m{n}")
+        place = F.coalesce(*[F.when(g == least, F.col("s") + t) for t, g in enumerate(now)])
+        new = (F.col("s") == 0) | (least != F.col(f"b{n}")) | (before[0] == least)
+        made.append(F.when(mine & new, F.array(F.struct(F.lit(k).alias("k"), place.alias("p"), least.alias("fp")))))
+    # an outer explode, as a plain condition would be pushed below all of this, with everything that it names made anew
+    rows = rows.select("doc_id", "own", "w", F.explode_outer(F.coalesce(*made) if len(made) > 1 else made[0]).alias("f"))
+    return rows.where("f is not null").select("doc_id", "own", "w", "f.*")
 
 
 def matches(hashed: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
