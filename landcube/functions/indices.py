@@ -57,6 +57,7 @@ def heat_alpha(p: Column) -> Column:
     return clamp((p - 0.45) / 0.45, 0.0, 1.0) * 230
 
 
+# Fixed values in the rules below: gains, thresholds and the darkening of invalid pixels.
 def frame_colour(index: Column, gain: int, offset: int, valid: Column) -> Column:
     """One channel of the false-colour frame, darkened where invalid."""
     bright = F.floor(clamp((index + 1) / 2 * gain + offset, 0, 255))
@@ -79,6 +80,11 @@ def is_urban(ndvi: Column, ndbi: Column, ndwi: Column) -> Column:
     return (ndbi > 0.05) & (ndvi < 0.25) & (ndwi < 0.2)
 
 
+def is_real_tile(std: Column) -> Column:
+    """Whether an image varies enough to be shown in place of the drawn frame."""
+    return std > 15
+
+
 def quality_label(std: Column) -> Column:
     return F.when(std >= 45, "Good").when(std >= 20, "Acceptable").otherwise("Poor")
 

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from landcube.functions import geo
 from landcube.functions import indices as ix
-from landcube.operators.composite import CHANNELS, median_fill
+from landcube.operators import components, morphology
+from landcube.operators.composite import CHANNELS
 
 
-def temporal_scores(cube: DataFrame) -> DataFrame:
-    """px, prior: from first and last filled values of each pixel; a pixel without valid years counts as unchanged."""
-    filled = median_fill(cube)
-    ends = filled.groupBy("px").agg(*[f(F.coalesce(F.col(f"{x}_filled"), F.lit(0.0)), "yr").alias(f"{x}_{n}") for x in CHANNELS for n, f in (("first", F.min_by), ("last", F.max_by))])
-    return ends.select("px", ix.temporal_prior(*[(F.col(f"{x}_first"), F.col(f"{x}_last")) for x in CHANNELS]).alias("prior"))
+def temporal_score() -> Column:
+    """From first and last filled values of composites; a pixel without valid years counts as unchanged."""
+    return ix.temporal_prior(*[(F.col(f"{x}_first"), F.col(f"{x}_last")) for x in CHANNELS])
 
 
 def with_prior(composites: DataFrame) -> DataFrame:
@@ -23,10 +22,10 @@ def with_prior(composites: DataFrame) -> DataFrame:
     return composites.withColumns(d).withColumn("period_prior", ix.period_prior(*[F.col(f"d_{x}") for x in CHANNELS]))
 
 
-def fused(composites: DataFrame, temporal: DataFrame, model: Column | None = None) -> DataFrame:
+def fused(composites: DataFrame, model: Column | None = None) -> DataFrame:
     """``prob`` from the model's probability (a column of ``composites``; 0.5 without a model) and both priors."""
-    joined = with_prior(composites).join(temporal, "px")
-    return joined.withColumn("prob", ix.fuse(F.lit(0.5) if model is None else model, F.col("prior"), F.col("period_prior")))
+    scored = with_prior(composites).withColumn("prior", temporal_score())
+    return scored.withColumn("prob", ix.fuse(F.lit(0.5) if model is None else model, F.col("prior"), F.col("period_prior")))
 
 
 def construction(scored: DataFrame, prob: str = "prob") -> DataFrame:
@@ -37,6 +36,18 @@ def construction(scored: DataFrame, prob: str = "prob") -> DataFrame:
     return scored.withColumn("tier", F.when(one, 1).when(two, 2).otherwise(0)).withColumn("class", F.when(c("tier") > 0, 3).otherwise(0))
 
 
+def smoothed(classified: DataFrame, columns: int, pixels: int, above: int = 50, tile: int = components.TILE) -> DataFrame:
+    """``class`` anew: regions of class 3, closed 5 x 5, blurred, cut at 0.4, of more than ``above`` pixels; else 0.
+
+    ``classified`` is read twice, so it should be a written table. Pixels that it doesn't have get no class.
+    """
+    found = classified.where("class = 3").select(F.floor(F.col("px") / columns).alias("r"), (F.col("px") % columns).alias("c"))
+    soft = morphology.smooth(found, columns, pixels)
+    kept = components.large_regions(components.regions(soft, columns, tile), above).select((F.col("r") * columns + F.col("c")).alias("_px"))
+    joined = classified.join(kept, F.col("px") == F.col("_px"), "left")
+    return joined.withColumn("class", F.when(F.col("_px").isNotNull(), 3).otherwise(0)).drop("_px")
+
+
 def trends(composites: DataFrame) -> DataFrame:
     """``trend``: 1 falling vegetation, 2 rising built-up index, which overrides; and a flag for each."""
     fall, rise = F.col("ndvi_slope") < ix.NDVI_FALL, F.col("ndbi_slope") > ix.NDBI_RISE
@@ -93,4 +104,5 @@ def percentile_normalize(images: DataFrame, key: str, value: str, low: float = 0
     counted = images.groupBy(key, value).agg(F.count("*").alias("_n"))
     ends = counted.groupBy(key).agg(F.percentile(value, F.lit(low), F.col("_n")).alias("low"), F.percentile(value, F.lit(high), F.col("_n")).alias("high"))
     spread = F.col("high") - F.col("low")
+    # one row per image, a broadcast only while Spark finds it small; else images are split by the skew join
     return images.join(ends, key).withColumn("stretched", F.when(spread > 0, ix.clamp((F.col(value) - F.col("low")) / spread, 0.0, 1.0)).otherwise(0.0))

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landcube.operators import morphology
 from landcube.sources.shared import written
 
 TILE = 512
 
 
 def _label(cells: pd.DataFrame) -> pd.DataFrame:
-    """Union-find within one tile; a component's label is its smallest pixel number."""
-    number = {(r, c): px for r, c, px in zip(cells["r"], cells["c"], cells["px"], strict=True)}
-    parent = {px: px for px in number.values()}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for (r, c), px in number.items():
-        for near in ((r, c - 1), (r - 1, c - 1), (r - 1, c), (r - 1, c + 1)):
-            if near in number:
-                a, b = root(px), root(number[near])
-                parent[max(a, b)] = min(a, b)
-    return cells.assign(label=[root(px) for px in cells["px"]])[["r", "c", "px", "label"]]
+    """Components within one tile, by hooking and pointer jumping over all pixels at once; the label is the smallest pixel number."""
+    cells = cells.sort_values("px").reset_index(drop=True)
+    r, c = cells["r"].to_numpy() - cells["r"].min() + 1, cells["c"].to_numpy() - cells["c"].min() + 1
+    grid = np.full((r.max() + 2, c.max() + 2), -1)
+    grid[r, c] = np.arange(len(cells))
+    near = np.concatenate([grid[r + i, c + j] for i, j in ((0, -1), (-1, -1), (-1, 0), (-1, 1))])
+    a, b = np.tile(np.arange(len(cells)), 4)[near >= 0], near[near >= 0]
+    root = np.arange(len(cells))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        least = np.minimum(x, y)
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        while (root[root] != root).any():
+            root = root[root]
+    return cells.assign(label=cells["px"].to_numpy()[root])[["r", "c", "px", "label"]]
 
 
 def regions(mask: DataFrame, columns: int, tile: int = TILE) -> DataFrame:
@@ -64,6 +68,18 @@ def large_regions(labelled: DataFrame, above: int) -> DataFrame:
     return labelled.join(sizes(labelled).where(F.col("pixels") > above).select("region"), "region", "left_semi")
 
 
+def solid_regions(mask: DataFrame, columns: int, pixels: int, size: int = 15, least: int = 500, tile: int = TILE) -> DataFrame:
+    """Gaps closed by a window of ``size``, holes filled, and regions of at least ``least`` pixels kept: r, c, region."""
+    closed = written(morphology.close(mask, columns, pixels, size), "closed")
+    whole = fill_holes(closed, -(-pixels // columns), columns, tile)
+    return large_regions(regions(whole.where(morphology.inside(F.col("r"), F.col("c"), columns, pixels)), columns, tile), least - 1)
+
+
+def roads(mask: DataFrame, columns: int, pixels: int, length: int = 13, least: int = 180, tile: int = TILE) -> DataFrame:
+    """Long thin parts of at least ``least`` pixels: r, c, region."""
+    return large_regions(regions(morphology.thin_lines(mask, columns, pixels, length), columns, tile), least - 1)
+
+
 def fill_holes(mask: DataFrame, rows: int, columns: int, tile: int = TILE) -> DataFrame:
     """The mask and those background regions that don't reach pixel (0, 0)'s. Only for images of stated size."""
     spark = mask.sparkSession

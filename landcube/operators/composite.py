@@ -24,16 +24,16 @@ def year_range(before: int, after: int, now: int, first: int = 2016) -> list[int
     return list(range(max(first, min(before, after) - 4), min(now, max(before, after) + 2) + 1))
 
 
-def period_years(cube: DataFrame, before: int, after: int, most: int = 2) -> DataFrame:
-    """side, yr: :func:`select_periods` over the years there are, as windows over that small table."""
-    years = cube.select("yr").distinct()
-    ranked = years.withColumns({
-        "o": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.when(F.col("yr") <= before, F.col("yr")).desc_nulls_last())),
-        "a": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.when(F.col("yr") >= after, F.col("yr")).asc_nulls_last())),
-    })
-    old = ranked.where((F.col("yr") <= before) & (F.col("o") <= most)).select(F.lit("before").alias("side"), "yr")
-    new = ranked.where((F.col("yr") >= after) & (F.col("a") <= most)).select(F.lit("after").alias("side"), "yr")
-    return old.union(new)
+def period_years(years: DataFrame, before: int, after: int, most: int = 2) -> DataFrame:
+    """side, yr: :func:`select_periods` over the years (yr) there are: a row for each year of the data, however large it is."""
+    ordered = F.array_sort(F.collect_set("yr"))
+    own = years.agg(ordered.alias("y"))
+    old, new = F.filter("y", lambda y: y <= before), F.filter("y", lambda y: y >= after)
+    between = F.filter("y", lambda y: (y >= before) & (y < after)), F.filter("y", lambda y: (y > before) & (y <= after))
+    old = F.when(F.size(old) > 0, F.slice(F.reverse(old), 1, most)).when(F.size(between[0]) > 0, F.slice(between[0], 1, most)).otherwise(F.slice("y", 1, 1))
+    new = F.when(F.size(new) > 0, F.slice(new, 1, most)).when(F.size(between[1]) > 0, F.slice(F.reverse(between[1]), 1, most)).otherwise(F.slice(F.reverse("y"), 1, 1))
+    sides = [own.select(F.lit(side).alias("side"), F.explode(ys).alias("yr")) for side, ys in (("before", old), ("after", new))]
+    return sides[0].union(sides[1])
 
 
 def median_fill(cube: DataFrame) -> DataFrame:
@@ -44,9 +44,8 @@ def median_fill(cube: DataFrame) -> DataFrame:
 
 
 def period_composites(cube: DataFrame, before: list[int], after: list[int]) -> DataFrame:
-    """One row per pixel: medians of both periods (else of all years, else 0) and whether a period has a valid year.
-
-    All medians, flags and the aggregates of :mod:`landcube.operators.trend` come from one grouping, so one shuffle.
+    """One row per pixel: medians of both periods (else of all years, else 0), whether a period has a valid year, slopes, and
+    the first and last filled values, all from one grouping, so from one shuffle.
     """
     aggregates = []
     for side, years in (("before", before), ("after", after)):
@@ -55,7 +54,18 @@ def period_composites(cube: DataFrame, before: list[int], after: list[int]) -> D
             own, ever = F.median(F.when(inside, F.col(x))), F.median(F.when(F.col("valid"), F.col(x)))
             aggregates.append(F.coalesce(own, ever, F.lit(0.0)).alias(f"{x}_{side}"))
         aggregates.append(F.coalesce(F.bool_or(inside), F.lit(False)).alias(f"valid_{side}"))
-    return cube.groupBy("px").agg(*aggregates, *slopes())
+    return cube.groupBy("px").agg(*aggregates, *slopes(), *ends())
+
+
+def ends() -> list:
+    """First and last values of each channel by year; an invalid one is the pixel's median over valid years, else 0."""
+    made = []
+    for n, by in (("first", F.min_by), ("last", F.max_by)):
+        at = by(F.struct("valid", *CHANNELS), "yr")
+        for x in CHANNELS:
+            filled = F.when(at["valid"], at[x]).otherwise(F.median(F.when(F.col("valid"), F.col(x))))
+            made.append(F.coalesce(filled, F.lit(0.0)).alias(f"{x}_{n}"))
+    return made
 
 
 def slopes() -> list:

@@ -75,7 +75,8 @@ def blur(mask: DataFrame, rows: int, columns: int) -> DataFrame:
     return both.groupBy(F.col("y.p").alias("r"), F.col("x.p").alias("c")).agg((F.sum(F.col("y.w") * F.col("x.w")) / 256).alias("v"))
 
 
-def smooth(mask: DataFrame, rows: int, columns: int, threshold: float = 0.4) -> DataFrame:
-    """Close 5 x 5, blur, and keep what is above the threshold."""
-    closed = close(mask, columns, rows * columns, 5)
-    return blur(closed, rows, columns).where(F.col("v") > threshold).select("r", "c")
+def smooth(mask: DataFrame, columns: int, pixels: int, threshold: float = 0.4) -> DataFrame:
+    """Close 5 x 5, blur, and keep what is above the threshold, within the image (its last row may be partial)."""
+    closed = close(mask, columns, pixels, 5)
+    soft = blur(closed, -(-pixels // columns), columns).where(F.col("v") > threshold)
+    return soft.where(inside(F.col("r"), F.col("c"), columns, pixels)).select(F.col("r").cast("long"), F.col("c").cast("long"))

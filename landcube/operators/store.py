@@ -32,8 +32,10 @@ def search_products(products: DataFrame, areas: DataFrame, days: int, cloud: flo
     return p.join(a, ["cx", "cy"]).where(meets & when & once).select("aoi", "id")
 
 
-def best_product(products: DataFrame, keys: list[str]) -> DataFrame:
-    """The clearest product of each key (unknown cloud counts as 100), the latest on ties, then the smaller id."""
+def best_product(products: DataFrame, keys: list[str], cloudiest: float = 100.0) -> DataFrame:
+    """The clearest product of each key (unknown cloud counts as 100), the latest on ties, then the smaller id; none above
+    ``cloudiest``."""
+    products = products.where(F.coalesce("cloud", F.lit(100.0)) <= cloudiest)
     return first_by(products, keys, F.coalesce("cloud", F.lit(100.0)), F.desc("start"), F.col("id"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landcube.functions.geo import area_units, pixel_area
-from landcube.sources.dimensions import BATCH_CLASSES, CHANGES, GREY, STREAM_CLASSES, change_classes, change_pairs
+from landcube.sources.dimensions import BATCH_CLASSES, CHANGES, GREY, STREAM_CLASSES, change_classes, change_pairs, cities
 
 
 def batch_class(model_class: Column) -> Column:
@@ -29,6 +29,20 @@ def paired(cube: DataFrame, before: int, after: int, cls: Column) -> DataFrame:
     return made.where("cls_before is not null and cls_after is not null")
 
 
+def tile_shapes(cells: DataFrame) -> DataFrame:
+    """Rows and columns of each tile (tile_row, tile_col) of each year."""
+    high, wide = F.max("r") - F.min("r") + 1, F.max("c") - F.min("c") + 1
+    return cells.groupBy("yr", "tile_row", "tile_col").agg(high.alias("rows"), wide.alias("columns"))
+
+
+def comparable_tiles(cells: DataFrame, before: int, after: int) -> DataFrame:
+    """tile_row, tile_col of the tiles that both years have in one shape; tiles of unlike shapes are not compared."""
+    shape = F.struct("rows", "columns")
+    both = tile_shapes(cells.where(F.col("yr").isin(before, after))).groupBy("tile_row", "tile_col")
+    made = both.agg(F.max(F.when(F.col("yr") == before, shape)).alias("b"), F.max(F.when(F.col("yr") == after, shape)).alias("a"))
+    return made.where("a = b").select("tile_row", "tile_col", "b.rows", "b.columns")
+
+
 def transition_pixels(pairs: DataFrame) -> DataFrame:
     """A row for each pixel and change type; types overlap, so a pixel may be in several."""
     return pairs.join(F.broadcast(change_pairs(pairs.sparkSession)), ["cls_before", "cls_after"])  # 11 rows
@@ -86,6 +100,13 @@ def merge_statistics(*parts: DataFrame) -> DataFrame:
     return whole.groupBy("change_type").agg(F.sum("pixels").alias("pixels"), F.round(F.sum("area_hectares"), 6).alias("area_hectares"))
 
 
+def with_city(results: DataFrame, city: str) -> DataFrame:
+    """name and country of the column ``city``, whatever its case; an unknown city is named by itself, its country Unknown."""
+    known = cities(results.sparkSession).select(F.col("city").alias("_city"), "name", "country")
+    joined = results.join(F.broadcast(known), F.lower(city) == F.col("_city"), "left").drop("_city")  # 4 rows
+    return joined.withColumns({"name": F.coalesce("name", city), "country": F.coalesce("country", F.lit("Unknown"))})
+
+
 def report(stats: DataFrame) -> DataFrame:
     """Types with an area, with names and colours; an unknown type is named by its key and grey."""
     known = change_classes(stats.sparkSession).select("change_type", "name", "color")

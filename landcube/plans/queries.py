@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,14 @@ from landcube.functions import indices as ix
 from landcube.operators import change, composite, morphology, store, tiles, transitions
 from landcube.operators import components as regions_of
 from landcube.sources import cube as cubes
+from landcube.sources import raster, sinks
 from landcube.sources.cube import table
 from landcube.sources.dimensions import change_classes
-from landcube.sources.shared import shared_path
+from landcube.sources.shared import shared_path, written
 from landcube.streaming import totals as streaming
 
-BEFORE, AFTER = [1996, 1997], [2000, 2001]
+#: Dates of the two periods; which years stand for them is chosen from those there are.
+BEFORE, AFTER = 1997, 2000
 #: west, south, east, north of the area that the grid stands for; tile size; year of masks.
 BOX, TILE, MASK_YEAR = (77.37, 12.734, 77.88, 13.173), 16, 2001
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,23 +38,28 @@ def r6(*names: str) -> list:
 
 
 def _composites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composite.period_composites(cubes.index_cube(spark, sf_dir), BEFORE, AFTER)
+    found = [r["yr"] for r in cubes.years(spark, sf_dir).collect()]  # a row for each year
+    return composite.period_composites(cubes.index_cube(spark, sf_dir), *composite.select_periods(found, BEFORE, AFTER))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = cubes.index_cube(spark, sf_dir)
-    scored = change.fused(composite.period_composites(cube, BEFORE, AFTER), change.temporal_scores(cube))
-    return change.trends(change.construction(scored, "period_prior"))
+    return change.trends(change.construction(change.fused(_composites(spark, sf_dir))))
+
+
+def _smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classified pixels, with regions in place of single pixels."""
+    made = written(_classified(spark, sf_dir).select("px", "class", "trend", "falling", "rising"), "classified")
+    return change.smoothed(made, *cubes.grid_width(spark, sf_dir))
 
 
 def _pairs(spark: SparkSession, sf_dir: str, cls: Column | None = None) -> DataFrame:
-    pairs = transitions.paired(cubes.pixel_cube(spark, sf_dir), 1996, 2001, F.col("cls") if cls is None else cls)
+    pairs = transitions.paired(cubes.pixel_cube(spark, sf_dir, [1996, 2001]), 1996, 2001, F.col("cls") if cls is None else cls)
     return pairs.withColumn("tile", F.floor(F.col("r") / TILE) * 1000 + F.floor(F.col("c") / TILE))
 
 
 def _mask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
     width, n = cubes.grid_width(spark, sf_dir)
-    return cubes.pixel_cube(spark, sf_dir).where((F.col("yr") == MASK_YEAR) & (F.col("cls") == 1)).select("r", "c"), width, n
+    return cubes.pixel_cube(spark, sf_dir, [MASK_YEAR]).where("cls = 1").select("r", "c"), width, n
 
 
 def _key() -> Column:
@@ -87,7 +95,10 @@ def temporal_median_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def period_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composite.period_years(cubes.pixel_cube(spark, sf_dir), 1997, 2000)
+    """The years that stand for two dates, and for dates where only years between them, or the first and last, are left."""
+    cases = [(1, BEFORE, AFTER), (2, 1980, 1993), (3, 1996, 2030), (4, 1985, 1990), (5, 2010, 2020)]
+    made = [composite.period_years(cubes.years(spark, sf_dir), b, a).select(F.lit(k).alias("case"), "side", "yr") for k, b, a in cases]
+    return reduce(DataFrame.union, made)
 
 
 @query
@@ -103,13 +114,12 @@ def change_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def temporal_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return change.temporal_scores(cubes.index_cube(spark, sf_dir)).select("px", *r6("prior"))
+    return _composites(spark, sf_dir).withColumn("prior", change.temporal_score()).select("px", *r6("prior"))
 
 
 @query
 def change_score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = cubes.index_cube(spark, sf_dir)
-    return change.fused(composite.period_composites(cube, BEFORE, AFTER), change.temporal_scores(cube)).select("px", *r6("prob"), F.round(ix.heat_alpha(F.col("prob")), 4).alias("alpha"))
+    return change.fused(_composites(spark, sf_dir)).select("px", *r6("prob"), F.round(ix.heat_alpha(F.col("prob")), 4).alias("alpha"))
 
 
 @query
@@ -117,6 +127,25 @@ def construction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).where("tier > 0").select("px", "tier", "class")
 
 
+@query
+def construction_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of class 3 after smoothing."""
+    return _smoothed(spark, sf_dir).where("class = 3").select("px", "class", "trend")
+
+
+@query
+def mask_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask, w, n = _mask(spark, sf_dir)
+    return morphology.smooth(mask, w, n)
+
+
+@query
+def solid_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With windows and sizes for this small grid."""
+    mask, w, n = _mask(spark, sf_dir)
+    return regions_of.solid_regions(mask, w, n, size=3, least=8, tile=16)
+
+
 @query
 def trend_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.trends(_composites(spark, sf_dir)).select("px", *r6("ndvi_slope", "ndbi_slope"), "trend")
@@ -130,13 +159,14 @@ def trend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return change.summary(_classified(spark, sf_dir), BOX)
+    """What changed between the two periods: fused score, tiers, smoothed regions and trends, counted over the grid."""
+    return change.summary(_smoothed(spark, sf_dir), BOX)
 
 
 @query
 def change_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatting of the answer: whether there is change, square kilometres and confidence."""
-    s, p = change.summary(_classified(spark, sf_dir), BOX), F.col("change_percent")
+    s, p = change.summary(_smoothed(spark, sf_dir), BOX), F.col("change_percent")
     return s.select((p > 1).alias("change_detected"), F.round(F.col("change_hectares") / 100, 4).alias("area_km2"), F.when(p > 2, "High").otherwise("Medium").alias("confidence"))
 
 
@@ -232,38 +262,40 @@ def change_class_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every nation as a box, split 4 x 4."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", *_boxes("n_nationkey"))
-    return tiles.split_box(n, 4).select("n_nationkey", "i", "j", "tile_west", "tile_south", "tile_east", "tile_north")
+    """Every customer as a box, split 4 x 4."""
+    n = table(spark, sf_dir, "customer").select("c_custkey", *_boxes("c_custkey"))
+    return tiles.split_box(n, 4).select("c_custkey", "i", "j", "tile_west", "tile_south", "tile_east", "tile_north")
 
 
 def _boxes(key: str) -> list:
-    k = F.col(key).cast("double")
+    """A box for each number; every fourth is empty, and some lie beyond the globe."""
+    k = (F.col(key) % 50).cast("double")
     return [(k * 5 - 60).alias("west"), (k * 3 - 40).alias("south"), (k * 5 - 60 + (F.col(key) % 4) * 0.5).alias("east"), (k * 3 - 40 + 1.25).alias("north")]
 
 
 @query
 def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     width, n = cubes.grid_width(spark, sf_dir)
-    cells = cubes.pixel_cube(spark, sf_dir).where(F.col("yr") == MASK_YEAR)
+    cells = cubes.pixel_cube(spark, sf_dir, [MASK_YEAR])
     made = tiles.assign_tiles(cells, 8, -(-n // width), width, overlap=2)
     return made.groupBy("tile_row", "tile_col").agg(F.count("*").alias("pixels"), F.sum("px").alias("sum_px"))
 
 
 @query
 def tile_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of each nation's box with the box of the next number."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", *_boxes("n_nationkey"))
+    """Overlap of each customer's box with the same box moved by 0.3 degrees."""
+    n = table(spark, sf_dir, "customer").select("c_custkey", *_boxes("c_custkey"))
     box = lambda d: tuple(F.col(x) + d for x in ("west", "south", "east", "north"))
-    return n.select("n_nationkey", F.round(geo.overlap_percent(box(0), box(0.3)), 6).alias("overlap_pct"))
+    return n.select("c_custkey", F.round(geo.overlap_percent(box(0), box(0.3)), 6).alias("overlap_pct"))
 
 
 @query
 def bbox_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select("n_nationkey", *_boxes("n_nationkey"))
+    n = table(spark, sf_dir, "customer").select("c_custkey", *_boxes("c_custkey"))
     box = [F.col(x) for x in ("west", "south", "east", "north")]
     area = F.round(geo.ground_area(*box) / 10000, 4)
-    return n.select("n_nationkey", geo.is_box(*box).alias("valid_box"), geo.box_key(*box, F.lit("2024-01-01"), F.lit("512")).alias("box_key"), geo.box_wkt(*box).alias("wkt"), area.alias("ground_ha"))
+    area = area + F.lit(0.0)  # no negative zero
+    return n.select("c_custkey", geo.is_box(*box).alias("valid_box"), geo.box_key(*box, F.lit("2024-01-01"), F.lit("512")).alias("box_key"), geo.box_wkt(*box).alias("wkt"), area.alias("ground_ha"))
 
 
 @query
@@ -317,16 +349,67 @@ def holes_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     width, n = cubes.grid_width(spark, sf_dir)
-    cells = cubes.pixel_cube(spark, sf_dir).where(F.col("yr") == MASK_YEAR).select("r", "c", "nir")
+    cells = cubes.pixel_cube(spark, sf_dir, [MASK_YEAR]).select("r", "c", "nir")
     return tiles.bilinear_double(cells, "nir", -(-n // width), width).select(F.col("r").cast("long"), F.col("c").cast("long"), F.round("nir", 9).alias("nir"))
 
 
 @query
 def shrink_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = cubes.pixel_cube(spark, sf_dir).where(F.col("yr") == MASK_YEAR).select("r", "c", "nir")
+    cells = cubes.pixel_cube(spark, sf_dir, [MASK_YEAR]).select("r", "c", "nir")
     return tiles.shrink(cells, "nir", 2).select("r", "c", *r6("nir"))
 
 
+@query
+def road_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With lengths and sizes for this small grid."""
+    mask, w, n = _mask(spark, sf_dir)
+    return regions_of.roads(mask, w, n, length=2, least=6, tile=16)
+
+
+@query
+def real_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cubes.index_cube(spark, sf_dir).withColumn("grey", ix.quantize(F.round("ndvi", 9)))
+    return c.groupBy("yr").agg(ix.is_real_tile(F.stddev_pop("grey")).alias("is_real_tile"))
+
+
+@query
+def true_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = ix.rgb(F.round(F.col("red"), 9), F.round(F.col("green"), 9), F.round(F.col("swir"), 9))
+    return cubes.pixel_cube(spark, sf_dir).select("yr", "px", F.concat_ws(",", made.cast("array<string>")).alias("rgb"))
+
+
+@query
+def category_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = cubes.pixel_cube(spark, sf_dir).groupBy("yr", "cls").agg(F.count("*").alias("n"))
+    return counted.select("yr", "cls", F.round(geo.category_hectares(F.col("n"), F.lit(100.0)), 6).alias("hectares"))
+
+
+@query
+def comparable_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = tiles.inference_tiles(cubes.pixel_cube(spark, sf_dir, [1996, 2001]), 8)
+    return transitions.comparable_tiles(cells, 1996, 2001)
+
+
+@query
+def city_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers dealt to cities, known and unknown, with the cities' names and countries."""
+    names = F.array(*[F.lit(x) for x in ("bangalore", "Delhi", "mumbai", "HYDERABAD", "pune")])
+    c = table(spark, sf_dir, "customer").select(F.get(names, (F.col("c_custkey") % 5).cast("int")).alias("city"))
+    return transitions.with_city(c.groupBy("city").agg(F.count("*").alias("n")), "city").select("city", "name", "country", "n")
+
+
+@query
+def history_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    made = sinks.history_rows(events, F.col("user_id"), F.col("ts"), "event_id", "event_type")
+    return made.select("user_id", "status", "result_json")
+
+
+@query
+def year_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.year_sources(_products(spark, sf_dir)).select("aoi", "yr", "id", "cloud")
+
+
 @query
 def best_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.best_product(_products(spark, sf_dir), ["aoi", "yr"]).select("aoi", "yr", "id", "cloud")

@@ -28,14 +28,18 @@ comp AS (SELECT px, {_SIDE}, coalesce(bool_or(valid AND yr IN (1996, 1997)), fal
 pri AS (SELECT *, ndvi_after - ndvi_before AS d_ndvi, ndbi_after - ndbi_before AS d_ndbi,
   1 / (1 + exp(-(10 * (0.5 * abs(ndvi_after - ndvi_before) + 0.35 * abs(ndbi_after - ndbi_before) + 0.15 * abs(ndwi_after - ndwi_before) - 0.1)))) AS period_prior,
   ndvi_slope < -0.02 AS falling, ndbi_slope > 0.015 AS rising FROM comp),
-cls AS (SELECT *, CASE WHEN rising THEN 2 WHEN falling THEN 1 ELSE 0 END AS trend,
-  CASE WHEN NOT (valid_before AND valid_after) THEN 0
-    WHEN period_prior > 0.7 AND ndbi_after > 0.15 AND ndvi_after < 0.25 AND ndwi_after < 0.25 AND d_ndbi > 0.05 THEN 1
-    WHEN period_prior > 0.55 AND ndbi_after > 0.1 AND ndvi_after < 0.25 AND ndwi_after < 0.25 AND d_ndbi > 0.12 AND d_ndvi < -0.1 THEN 2 ELSE 0 END AS tier FROM pri)"""
+trd AS (SELECT *, CASE WHEN rising THEN 2 WHEN falling THEN 1 ELSE 0 END AS trend FROM pri)"""
 FILL = f"""{CUBE},
 med AS (SELECT px, {", ".join(f"median({x}) FILTER (WHERE valid) AS m_{x}" for x in ("ndvi", "ndbi", "ndwi"))} FROM cube GROUP BY px),
 fill AS (SELECT yr, px, {", ".join(f"CASE WHEN valid THEN {x} ELSE m_{x} END AS {x}_filled" for x in ("ndvi", "ndbi", "ndwi"))} FROM cube JOIN med USING (px)),
 tp AS (SELECT px, 1 / (1 + exp(-(14 * (({" + ".join(f"abs(arg_max(coalesce({x}_filled, 0), yr) - arg_min(coalesce({x}_filled, 0), yr))" for x in ("ndvi", "ndbi", "ndwi"))}) / 3 - 0.08)))) AS prior FROM fill GROUP BY px)"""
+# what the rules say of a pixel: the model's 0.5 and both priors fused, then two tiers by the fused score
+TIERS = f"""{COMP}{FILL.removeprefix(CUBE)},
+fus AS (SELECT trd.*, greatest(0, least(1, 0.55::DOUBLE * greatest(0, least(1, 0.2::DOUBLE * 0.5::DOUBLE + 0.8::DOUBLE * prior))
+  + 0.45::DOUBLE * period_prior)) AS prob FROM trd JOIN tp USING (px)),
+tiers AS (SELECT *, CASE WHEN NOT (valid_before AND valid_after) THEN 0
+    WHEN prob > 0.7 AND ndbi_after > 0.15 AND d_ndbi > 0.05 AND ndvi_after < 0.25 AND ndwi_after < 0.25 THEN 1
+    WHEN prob > 0.55 AND ndbi_after > 0.1 AND d_ndbi > 0.12 AND d_ndvi < -0.1 AND ndvi_after < 0.25 AND ndwi_after < 0.25 THEN 2 ELSE 0 END AS tier FROM fus)"""
 _STREAM = "CASE ade WHEN 3 THEN 1 WHEN 9 THEN 2 WHEN 13 THEN 2 WHEN 11 THEN 3 WHEN 17 THEN 5 ELSE 0 END"
 PAIRS = f"""{CUBE},
 two AS (SELECT px, r, c, max(cls) FILTER (WHERE yr = 1996) AS b, max(cls) FILTER (WHERE yr = 2001) AS a,
@@ -68,8 +72,8 @@ def _r(*names: str) -> str:
 
 
 _GROUND = "(13.173 - 12.734) * 111000.0 * (77.88 - 77.37) * 111000.0 * cos(radians((13.173 + 12.734) / 2))".replace("13.173", "13.173::DOUBLE").replace("77.88", "77.88::DOUBLE")
-_SUMMARY = f"""SELECT count(*) AS total_pixels, count(*) FILTER (WHERE tier > 0) AS construction_pixels, count(*) FILTER (WHERE falling) AS deforestation_trend_pixels,
-  count(*) FILTER (WHERE rising) AS urban_trend_pixels, count(*) FILTER (WHERE tier > 0 OR trend <> 0) AS changed_pixels FROM cls"""
+_SUMMARY = f"""SELECT count(*) AS total_pixels, count(*) FILTER (WHERE class = 3) AS construction_pixels, count(*) FILTER (WHERE falling) AS deforestation_trend_pixels,
+  count(*) FILTER (WHERE rising) AS urban_trend_pixels, count(*) FILTER (WHERE class <> 0 OR trend <> 0) AS changed_pixels FROM cls"""
 _WHOLE = f"""SELECT *, round(changed_pixels / greatest(1, total_pixels) * 100, 2) AS change_percent,
   least(round(changed_pixels * ({_GROUND} / greatest(1, total_pixels)) / 10000, 2), round({_GROUND} / 10000, 2)) AS change_hectares, round({_GROUND} / 10000, 2) AS total_hectares FROM ({_SUMMARY})"""
 _U8 = "CAST(greatest(0, least(255, floor((round(ndvi, 9) + 1) * 127.5 + 0.5))) AS INTEGER)"
@@ -80,8 +84,12 @@ def _colour(x: str, gain: int, offset: int) -> str:
     return f"CAST(CASE WHEN valid THEN {v} ELSE floor({v} * 0.3::DOUBLE) END AS INTEGER)"
 
 
-_BOX = """box AS (SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) * 5 - 60 AS west, CAST(n_nationkey AS DOUBLE) * 3 - 40 AS south,
-  CAST(n_nationkey AS DOUBLE) * 5 - 60 + (n_nationkey % 4) * 0.5::DOUBLE AS east, CAST(n_nationkey AS DOUBLE) * 3 - 40 + 1.25::DOUBLE AS north FROM nation)"""
+def _boxes(key: str, source: str) -> str:
+    k = f"CAST({key} % 50 AS DOUBLE)"
+    return f"box AS (SELECT {key}, {k} * 5 - 60 AS west, {k} * 3 - 40 AS south, {k} * 5 - 60 + ({key} % 4) * 0.5::DOUBLE AS east, {k} * 3 - 40 + 1.25::DOUBLE AS north FROM {source})"
+
+
+_BOX, _NATIONS = _boxes("c_custkey", "customer"), _boxes("n_nationkey", "nation")
 _P = "prod AS (SELECT o_orderkey AS id, o_custkey % 100 AS aoi, CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderdate AS start, CASE WHEN o_orderstatus <> 'P' THEN (CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) % 10001) / 100 END AS cloud FROM orders)"
 _CACHE = """ev AS (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS key FROM events),
 entry AS (SELECT key, event_id AS id, ts AS created FROM ev WHERE event_type = 'purchase'), req AS (SELECT event_id, key FROM ev WHERE event_type = 'view')"""
@@ -91,9 +99,48 @@ def _live(days: int) -> str:
     return f"live AS (SELECT * FROM entry WHERE created + INTERVAL {days} DAY > TIMESTAMP '2024-01-25' QUALIFY row_number() OVER (PARTITION BY key ORDER BY created DESC, id DESC) = 1)"
 
 
-_LABEL = """mk AS (SELECT r, c, r * (SELECT w FROM g) + c AS px FROM mask),
-reach(px, root) AS (SELECT px, px FROM mk UNION SELECT n.px, reach.root FROM reach JOIN mk m USING (px) JOIN mk n ON abs(n.r - m.r) <= 1 AND abs(n.c - m.c) <= 1 AND n.px <> m.px WHERE n.px > reach.root OR true),
-lab AS (SELECT px, min(root) AS region FROM reach GROUP BY px), labelled AS (SELECT r, c, region FROM mk JOIN lab USING (px))"""
+def _blur(source: str, name: str) -> str:
+    """v of every pixel that the 5 x 5 binomial kernel, mirrored at the edges, gives more than 0."""
+    return f"""{name} AS (SELECT y AS r, x AS c, sum(ki * kj) / 256 AS v FROM (SELECT y, x, h, w, i, j, [1, 4, 6, 4, 1][i + 3] AS ki, [1, 4, 6, 4, 1][j + 3] AS kj,
+  CASE WHEN y + i < 0 THEN -(y + i) WHEN y + i >= h THEN 2 * (h - 1) - (y + i) ELSE y + i END AS sr,
+  CASE WHEN x + j < 0 THEN -(x + j) WHEN x + j >= w THEN 2 * (w - 1) - (x + j) ELSE x + j END AS sc
+  FROM (SELECT unnest(range(h * w)) // w AS y, unnest(range(h * w)) % w AS x, h, w FROM grid), (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)) k
+JOIN {source} s ON s.r = sr AND s.c = sc GROUP BY 1, 2)"""
+
+
+def _regions(source: str, name: str, steps: int = 8) -> str:
+    """(r, c, region) of connected pixels: a region's smallest pixel reaches all of it. Only pixels without a smaller neighbour begin."""
+    near = "abs(a.r - b.r) + abs(a.c - b.c) = 1" if steps == 4 else "true"
+    return f"""{name}_p AS (SELECT r, c, r * w + c AS px FROM {source}, g),
+{name}_n AS (SELECT a.px, b.px AS other FROM (SELECT r, c, px, r + i AS rr, c + j AS cc FROM {name}_p, (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j)) a
+  JOIN {name}_p b ON b.r = rr AND b.c = cc WHERE a.px <> b.px AND {near}),
+{name}_s(px, root) AS (SELECT px, px FROM {name}_p WHERE px NOT IN (SELECT px FROM {name}_n WHERE other < px)
+  UNION SELECT n.other, s.root FROM {name}_s s JOIN {name}_n n USING (px) WHERE n.other > s.root),
+{name} AS (SELECT r, c, min(root) AS region FROM {name}_p JOIN {name}_s USING (px) GROUP BY 1, 2)"""
+
+
+def _closed(source: str, name: str, reach: str) -> str:
+    return _dilate(source, f"{name}_d", reach, reach) + ", " + _erode(f"{name}_d", name, reach, reach)
+
+
+_GRID = "grid AS (SELECT w, npx, (npx + w - 1) // w AS h FROM g)"
+
+
+def _soft(source: str, name: str) -> str:
+    """Closed 5 x 5, blurred, cut at 0.4."""
+    return f"{_closed(source, name + '_c', '-2, 3')}, {_blur(name + '_c', name + '_b')}, {name} AS (SELECT {name}_b.r, {name}_b.c FROM {name}_b, g WHERE v > 0.4::DOUBLE AND r * w + c < npx)"
+
+
+# the pixel classes after smoothing: regions of more than 50 pixels
+CLASSES = f"""{TIERS}, {_GRID}, cand AS (SELECT px // w AS r, px % w AS c FROM tiers, g WHERE tier > 0), {_soft("cand", "soft")}, {_regions("soft", "reg")},
+big AS (SELECT r * w + c AS px FROM reg, g WHERE region IN (SELECT region FROM reg GROUP BY 1 HAVING count(*) > 50)),
+cls AS (SELECT tiers.*, CASE WHEN big.px IS NULL THEN 0 ELSE 3 END AS class FROM tiers LEFT JOIN big USING (px))"""
+# a closed mask with the holes filled: background that does not touch the region of pixel (0, 0)
+_HOLES = """bg AS (SELECT y AS r, x AS c FROM (SELECT unnest(range(h * w)) // w AS y, unnest(range(h * w)) % w AS x FROM grid) WHERE (y, x) NOT IN (SELECT (r, c) FROM {0})), """
+_THIN = ", ".join([
+    _erode("mask", "e1", "0, 1", "-1, 1"), _dilate("e1", "o1", "0, 1", "-1, 1"), _erode("mask", "e2", "-1, 1", "0, 1"), _dilate("e2", "o2", "-1, 1", "0, 1"),
+    "al AS (SELECT r, c FROM o1 UNION SELECT r, c FROM o2)", _dilate("al", "d3", "-1, 2", "-1, 2"), _erode("d3", "e3", "-1, 2", "-1, 2"),
+])
 _SRULE = {"deforestation": "sb = 2 AND sa <> 2", "construction": "sb <> 1 AND sa = 1", "water_loss": "sb = 3 AND sa <> 3", "urbanization": "sb = 0 AND sa IN (1, 4)"}
 _SSUM = ", ".join(f"round(count(*) FILTER (WHERE {v}) * 100.0::DOUBLE / 10000, 6) AS {k}_hectares" for k, v in _SRULE.items())
 _TYPES = (("deforestation", "b = 2 AND a IN (1, 4, 5)", "255,0,0"), ("construction", "b IN (2, 4) AND a = 1", "0,0,255"), ("new_roads", "b IN (2, 4) AND a = 5", "255,255,0"), ("water_loss", "b = 3 AND a IN (1, 2, 4)", "128,0,128"), ("vegetation_gain", "b = 4 AND a = 2", "0,255,0"))
@@ -103,17 +150,24 @@ SQL: dict[str, str] = {
     "index_quantize_roundtrip": _q(CUBE, f"SELECT yr, px, {_U8} AS u8, round({_U8} / 127.5::DOUBLE - 1, 6) AS ndvi_back FROM cube"),
     "cloud_percent_by_year": _q(CUBE, "SELECT yr, round(100 * (1 - count(*) FILTER (WHERE valid) / count(*)), 4) AS cloud_percent FROM cube GROUP BY yr"),
     "temporal_median_fill": _q(FILL, f"SELECT yr, px, {_r('ndvi_filled', 'ndbi_filled', 'ndwi_filled')} FROM fill"),
-    "period_years": _q(CUBE, "SELECT * FROM (SELECT 'before' AS side, yr FROM (SELECT DISTINCT yr FROM cube WHERE yr <= 1997 ORDER BY yr DESC LIMIT 2) UNION ALL SELECT 'after', yr FROM (SELECT DISTINCT yr FROM cube WHERE yr >= 2000 ORDER BY yr LIMIT 2))"),
+    "period_years": _q("""ys AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS yr FROM lineitem),
+asked(k, b, a) AS (VALUES (1, 1997, 2000), (2, 1980, 1993), (3, 1996, 2030), (4, 1985, 1990), (5, 2010, 2020)),
+lists AS (SELECT k, b, a, (SELECT list(yr ORDER BY yr) FROM ys) AS y FROM asked),
+cut AS (SELECT k, y, list_filter(y, lambda x: x <= b) AS o, list_filter(y, lambda x: x >= a) AS n, list_filter(y, lambda x: x >= b AND x < a) AS ob, list_filter(y, lambda x: x > b AND x <= a) AS nb FROM lists)""", """
+SELECT k AS "case", 'before' AS side, unnest(CASE WHEN len(o) > 0 THEN o[-2:] WHEN len(ob) > 0 THEN ob[1:2] ELSE y[1:1] END) AS yr FROM cut
+UNION ALL SELECT k, 'after', unnest(CASE WHEN len(n) > 0 THEN n[1:2] WHEN len(nb) > 0 THEN nb[-2:] ELSE y[-1:] END) FROM cut"""),
     "period_composite": _q(COMP, f"SELECT px, {_r(*[f'{x}_{s}' for s in ('before', 'after') for x in ('ndvi', 'ndbi', 'ndwi')])}, valid_before, valid_after FROM comp"),
     "change_prior": _q(COMP, f"SELECT px, {_r('period_prior')} FROM pri"),
     "temporal_prior": _q(FILL, f"SELECT px, {_r('prior')} FROM tp"),
-    "change_score_fusion": _q(COMP + FILL.removeprefix(CUBE), """SELECT px, round(p, 6) AS prob, round(greatest(0, least(1, (p - 0.45) / 0.45::DOUBLE)) * 230, 4) AS alpha
-FROM (SELECT px, greatest(0, least(1, 0.55::DOUBLE * greatest(0, least(1, 0.2::DOUBLE * 0.5::DOUBLE + 0.8::DOUBLE * prior)) + 0.45::DOUBLE * period_prior)) AS p FROM pri JOIN tp USING (px))"""),
-    "construction_candidates": _q(COMP, "SELECT px, tier, 3 AS class FROM cls WHERE tier > 0"),
-    "trend_map": _q(COMP, f"SELECT px, {_r('ndvi_slope', 'ndbi_slope')}, trend FROM cls"),
-    "trend_summary": _q(COMP, "SELECT count(*) FILTER (WHERE falling) AS falling, count(*) FILTER (WHERE rising) AS rising, count(*) FILTER (WHERE trend = 1) AS shown_falling, count(*) FILTER (WHERE trend = 2) AS shown_rising FROM cls"),
-    "change_summary": _q(COMP, _WHOLE),
-    "change_response": _q(COMP, f"SELECT change_percent > 1 AS change_detected, round(change_hectares / 100, 4) AS area_km2, CASE WHEN change_percent > 2 THEN 'High' ELSE 'Medium' END AS confidence FROM ({_WHOLE})"),
+    "change_score_fusion": _q(TIERS, "SELECT px, round(prob, 6) AS prob, round(greatest(0, least(1, (prob - 0.45) / 0.45::DOUBLE)) * 230, 4) AS alpha FROM tiers"),
+    "construction_candidates": _q(TIERS, "SELECT px, tier, 3 AS class FROM tiers WHERE tier > 0"),
+    "construction_regions": _q(CLASSES, "SELECT px, class, trend FROM cls WHERE class = 3", True),
+    "trend_map": _q(COMP, f"SELECT px, {_r('ndvi_slope', 'ndbi_slope')}, trend FROM trd"),
+    "trend_summary": _q(COMP, """SELECT count(*) FILTER (WHERE falling) AS falling, count(*) FILTER (WHERE rising) AS rising,
+  count(*) FILTER (WHERE trend = 1) AS shown_falling, count(*) FILTER (WHERE trend = 2) AS shown_rising FROM trd"""),
+    "change_summary": _q(CLASSES, _WHOLE, True),
+    "change_response": _q(CLASSES, f"""SELECT change_percent > 1 AS change_detected, round(change_hectares / 100, 4) AS area_km2,
+  CASE WHEN change_percent > 2 THEN 'High' ELSE 'Medium' END AS confidence FROM ({_WHOLE})""", True),
     "yearly_frames": _q(CUBE, f"""SELECT yr, round(coalesce(avg(ndvi) FILTER (WHERE valid), avg(ndvi)), 4) AS ndvi_mean, round(coalesce(avg(ndbi) FILTER (WHERE valid), avg(ndbi)), 4) AS ndbi_mean,
   round(count(*) FILTER (WHERE ndvi > 0.3 AND ndwi < 0.2 AND valid) / greatest(1, count(*) FILTER (WHERE valid)) * 100, 1) AS vegetation_pct,
   round(count(*) FILTER (WHERE ndbi > 0.05 AND ndvi < 0.25 AND ndwi < 0.2 AND valid) / greatest(1, count(*) FILTER (WHERE valid)) * 100, 1) AS urban_pct,
@@ -139,27 +193,29 @@ FROM (SELECT yr, px, floor(nir * 1000) AS dn FROM cube) JOIN (SELECT yr, quantil
     "report_with_defaults": _q(PAIRS, """SELECT change_type, name, color, pixels, area_hectares FROM stats JOIN rule USING (change_type) WHERE area_hectares > 0
 UNION ALL SELECT change_type || '_new', change_type || '_new', '128,128,128', pixels, area_hectares FROM stats WHERE area_hectares > 0"""),
     "change_class_dimension": _q(PAIRS, "SELECT change_type, cls, pixels FROM (SELECT change_type, CAST(unnest(f) AS INTEGER) AS cls FROM rule) JOIN (SELECT cls, count(*) AS pixels FROM cube GROUP BY cls) USING (cls)"),
-    "tile_grid": _q(_BOX, """SELECT n_nationkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(west + j * ((east - west) / 4), 6) AS tile_west, round(south + i * ((north - south) / 4), 6) AS tile_south,
+    "tile_grid": _q(_BOX, """SELECT c_custkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(west + j * ((east - west) / 4), 6) AS tile_west, round(south + i * ((north - south) / 4), 6) AS tile_south,
   round(west + (j + 1) * ((east - west) / 4), 6) AS tile_east, round(south + (i + 1) * ((north - south) / 4), 6) AS tile_north FROM box, range(4) a(i), range(4) b(j)"""),
     "tile_assign": _q(MASK, """SELECT CAST(y AS INTEGER) AS tile_row, CAST(x AS INTEGER) AS tile_col, count(*) AS pixels, CAST(sum(px) AS BIGINT) AS sum_px FROM cube, grid,
   (SELECT unnest(range(1000)) AS y), (SELECT unnest(range(1000)) AS x) WHERE yr = 2001 AND y * 6 + 8 <= h AND x * 6 + 8 <= w AND r >= y * 6 AND r < y * 6 + 8 AND c >= x * 6 AND c < x * 6 + 8 GROUP BY 1, 2"""),
-    "tile_overlap": _q(_BOX, """SELECT n_nationkey, round(CASE WHEN (east - west) * (north - south) > 0 THEN 100 * greatest(0, least(east, east + 0.3::DOUBLE) - greatest(west, west + 0.3::DOUBLE)) *
+    "tile_overlap": _q(_BOX, """SELECT c_custkey, round(CASE WHEN (east - west) * (north - south) > 0 THEN 100 * greatest(0, least(east, east + 0.3::DOUBLE) - greatest(west, west + 0.3::DOUBLE)) *
   greatest(0, least(north, north + 0.3::DOUBLE) - greatest(south, south + 0.3::DOUBLE)) / ((east - west) * (north - south)) ELSE 0 END, 6) AS overlap_pct FROM box"""),
-    "bbox_keys": _q(_BOX, """SELECT n_nationkey, north > south AND east > west AND south BETWEEN -90 AND 90 AND north BETWEEN -90 AND 90 AND west BETWEEN -180 AND 180 AND east BETWEEN -180 AND 180 AS valid_box,
+    "bbox_keys": _q(_BOX, """SELECT c_custkey, north > south AND east > west AND south BETWEEN -90 AND 90 AND north BETWEEN -90 AND 90 AND west BETWEEN -180 AND 180 AND east BETWEEN -180 AND 180 AS valid_box,
   md5(printf('%.6f_%.6f_%.6f_%.6f', west, south, east, north) || '_2024-01-01_512') AS box_key,
   printf('POLYGON((%.6f %.6f, %.6f %.6f, %.6f %.6f, %.6f %.6f, %.6f %.6f))', west, south, east, south, east, north, west, north, west, south) AS wkt,
-  round((north - south) * 111000.0::DOUBLE * (east - west) * 111000.0::DOUBLE * cos(radians((north + south) / 2)) / 10000, 4) AS ground_ha FROM box"""),
+  round((north - south) * 111000.0::DOUBLE * (east - west) * 111000.0::DOUBLE * cos(radians((north + south) / 2)) / 10000, 4) + 0.0::DOUBLE AS ground_ha FROM box"""),
     "mask_dilate": _q(MASK + ", " + _dilate("mask", "o", "-1, 2", "-1, 2"), "SELECT r, c FROM o"),
     "mask_close": _q(MASK + ", " + _dilate("mask", "o", "-1, 2", "-1, 2") + ", " + _erode("o", "e", "-1, 2", "-1, 2"), "SELECT r, c FROM e"),
     "mask_border": _q(MASK + ", " + _dilate("mask", "o", "-2, 2", "-2, 2"), "SELECT r, c FROM o EXCEPT SELECT r, c FROM mask"),
-    "mask_blur": _q(MASK, """SELECT y AS r, x AS c, sum(ki * kj) / 256 AS v FROM (SELECT y, x, h, w, i, j, [1, 4, 6, 4, 1][i + 3] AS ki, [1, 4, 6, 4, 1][j + 3] AS kj,
-  CASE WHEN y + i < 0 THEN -(y + i) WHEN y + i >= h THEN 2 * (h - 1) - (y + i) ELSE y + i END AS sr, CASE WHEN x + j < 0 THEN -(x + j) WHEN x + j >= w THEN 2 * (w - 1) - (x + j) ELSE x + j END AS sc
-  FROM (SELECT unnest(range(h * w)) // w AS y, unnest(range(h * w)) % w AS x, h, w FROM grid), (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j))
-JOIN mask ON mask.r = sr AND mask.c = sc GROUP BY 1, 2"""),
-    "thin_lines": _q(", ".join([MASK, _erode("mask", "e1", "0, 1", "-1, 1"), _dilate("e1", "o1", "0, 1", "-1, 1"), _erode("mask", "e2", "-1, 1", "0, 1"), _dilate("e2", "o2", "-1, 1", "0, 1"),
-        "al AS (SELECT r, c FROM o1 UNION SELECT r, c FROM o2)", _dilate("al", "d3", "-1, 2", "-1, 2"), _erode("d3", "e3", "-1, 2", "-1, 2")]), "SELECT r, c FROM e3"),
-    "regions": _q(MASK + ", " + _LABEL, "SELECT r, c, region FROM labelled", True),
-    "regions_filtered": _q(MASK + ", " + _LABEL, "SELECT r, c, region FROM labelled WHERE region IN (SELECT region FROM labelled GROUP BY 1 HAVING count(*) > 3)", True),
+    "mask_blur": _q(MASK + ", " + _blur("mask", "b"), "SELECT r, c, v FROM b"),
+    "mask_smooth": _q(MASK + ", " + _soft("mask", "soft"), "SELECT r, c FROM soft"),
+    "thin_lines": _q(f"{MASK}, {_THIN}", "SELECT r, c FROM e3"),
+    "regions": _q(MASK + ", " + _regions("mask", "lab"), "SELECT r, c, region FROM lab", True),
+    "regions_filtered": _q(MASK + ", " + _regions("mask", "lab"), "SELECT r, c, region FROM lab WHERE region IN (SELECT region FROM lab GROUP BY 1 HAVING count(*) > 3)", True),
+    "holes_filled": _q(f"{MASK}, {_HOLES.format('mask')}{_regions('bg', 'out')}", """SELECT r, c FROM mask
+UNION ALL SELECT r, c FROM out WHERE region NOT IN (SELECT region FROM out WHERE r = 0 AND c = 0)""", True),
+    "solid_regions": _q(f"""{MASK}, {_closed("mask", "cl", "-1, 2")}, {_HOLES.format("cl")}{_regions("bg", "out")},
+whole AS (SELECT r, c FROM cl UNION ALL SELECT o.r, o.c FROM out o, g WHERE region NOT IN (SELECT region FROM out WHERE r = 0 AND c = 0) AND o.r * w + o.c < npx), {_regions("whole", "lab")}""",
+        "SELECT r, c, region FROM lab WHERE region IN (SELECT region FROM lab GROUP BY 1 HAVING count(*) >= 8)", True),
     "resample_bilinear": _q(MASK, """SELECT y AS r, x AS c, round(sum(wy * wx * nir) / sum(wy * wx), 9) AS nir FROM
   (SELECT y, x, a.sr, b.sc, a.wy, b.wx FROM (SELECT y, unnest([greatest(0, least(h - 1, (y + 1) // 2 - 1)), greatest(0, least(h - 1, (y + 1) // 2))]) AS sr, unnest(CASE WHEN y % 2 = 0 THEN [0.25::DOUBLE, 0.75] ELSE [0.75::DOUBLE, 0.25] END) AS wy FROM (SELECT unnest(range(2 * h)) AS y, h FROM grid)) a,
    (SELECT x, unnest([greatest(0, least(w - 1, (x + 1) // 2 - 1)), greatest(0, least(w - 1, (x + 1) // 2))]) AS sc, unnest(CASE WHEN x % 2 = 0 THEN [0.25::DOUBLE, 0.75] ELSE [0.75::DOUBLE, 0.25] END) AS wx FROM (SELECT unnest(range(2 * w)) AS x, w FROM grid)) b)
@@ -167,7 +223,7 @@ JOIN (SELECT r, c, nir FROM cube WHERE yr = 2001) p ON p.r = sr AND p.c = sc GRO
     "shrink_area": _q(CUBE, "SELECT r // 2 AS r, c // 2 AS c, round(avg(nir), 6) AS nir FROM cube WHERE yr = 2001 GROUP BY 1, 2"),
     "best_product": _q(_P, "SELECT aoi, yr, id, cloud FROM prod QUALIFY row_number() OVER (PARTITION BY aoi, yr ORDER BY coalesce(cloud, 100), start DESC, id) = 1"),
     "catalogue_search": _q(_P, "SELECT aoi, id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY start, id) AS k FROM prod WHERE cloud < 20 AND start > TIMESTAMP '1997-06-01' AND start < TIMESTAMP '1997-07-31') WHERE k <= 10"),
-    "catalogue_areas": _q(_P + ", " + _BOX, """SELECT n_nationkey AS aoi, id FROM (SELECT id, cloud, start, CAST((aoi % 25) * 5 - 61 AS DOUBLE) AS w, CAST((aoi % 25) * 3 - 41 AS DOUBLE) AS s FROM prod) p
+    "catalogue_areas": _q(_P + ", " + _NATIONS, """SELECT n_nationkey AS aoi, id FROM (SELECT id, cloud, start, CAST((aoi % 25) * 5 - 61 AS DOUBLE) AS w, CAST((aoi % 25) * 3 - 41 AS DOUBLE) AS s FROM prod) p
 JOIN box ON w < east AND w + 2 > west AND s < north AND s + 2 > south AND east > west WHERE cloud < 30 AND start > TIMESTAMP '1997-05-02' AND start < TIMESTAMP '1997-08-30'"""),
     "total_area": _q(PAIRS, "SELECT (SELECT round(sum(area_hectares), 6) FROM stats WHERE area_hectares > 0) AS type_hectares, (SELECT count(DISTINCT px) FROM hit) / 100 AS changed_hectares"),
     "history_topk": "SELECT user_id, event_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 20",
@@ -177,5 +233,18 @@ JOIN box ON w < east AND w + 2 > west AND s < north AND s + 2 > south AND east >
     "cache_expired": _q(_CACHE, "SELECT id, key FROM entry WHERE created + INTERVAL 3 DAY <= TIMESTAMP '2024-01-25'"),
     "areas_with_results": "SELECT c_custkey AS o_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS has_results FROM customer",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
-    "streaming_totals": _q(PAIRS, f"SELECT tile % 7 AS city, {_SSUM}, count(*) AS pixels_processed FROM pairs GROUP BY 1"),
+    "streaming_totals": _q(PAIRS, f"SELECT tile % 7 AS city, {_SSUM}, count(*) AS pixels_processed, count(DISTINCT tile) AS tiles_processed FROM pairs GROUP BY 1"),
+    "road_regions": _q(", ".join([MASK, _THIN, _regions("e3", "lab")]), "SELECT r, c, region FROM lab WHERE region IN (SELECT region FROM lab GROUP BY 1 HAVING count(*) >= 6)", True),
+    "real_tiles": _q(CUBE, f"SELECT yr, stddev_pop({_U8}) > 15 AS is_real_tile FROM cube GROUP BY yr"),
+    "true_colour": _q(CUBE, "SELECT yr, px, concat_ws(',', " + ", ".join(f"CAST(floor(greatest(0, least(255, round({x}, 9) * 255))) AS INTEGER)" for x in ("red", "green", "swir")) + ") AS rgb FROM cube"),
+    "category_areas": _q(CUBE, "SELECT yr, cls, round(count(*) * 100.0::DOUBLE / 10000, 6) AS hectares FROM cube GROUP BY 1, 2"),
+    "comparable_tiles": _q(CUBE, """SELECT tr AS tile_row, tc AS tile_col, b.h AS "rows", b.w AS "columns" FROM
+  (SELECT yr, CAST(r // 8 AS INTEGER) AS tr, CAST(c // 8 AS INTEGER) AS tc, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM cube WHERE yr = 1996 GROUP BY 1, 2, 3) b JOIN
+  (SELECT yr, CAST(r // 8 AS INTEGER) AS tr, CAST(c // 8 AS INTEGER) AS tc, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM cube WHERE yr = 2001 GROUP BY 1, 2, 3) a USING (tr, tc, h, w)"""),
+    "city_report": """WITH city(k, name) AS (VALUES ('bangalore', 'Bangalore'), ('delhi', 'Delhi'), ('mumbai', 'Mumbai'), ('hyderabad', 'Hyderabad')),
+c AS (SELECT ['bangalore', 'Delhi', 'mumbai', 'HYDERABAD', 'pune'][c_custkey % 5 + 1] AS city, count(*) AS n FROM customer GROUP BY 1)
+SELECT city, coalesce(name, city) AS name, CASE WHEN name IS NULL THEN 'Unknown' ELSE 'India' END AS country, n FROM c LEFT JOIN city ON lower(city) = k""",
+    "history_json": """SELECT user_id, 'completed' AS status, CAST(to_json({'event_id': event_id, 'event_type': event_type}) AS VARCHAR) AS result_json
+FROM events WHERE event_type = 'purchase'""",
+    "year_sources": _q(_P, "SELECT aoi, yr, id, cloud FROM prod WHERE cloud <= 95 QUALIFY row_number() OVER (PARTITION BY aoi, yr ORDER BY cloud, start DESC, id) = 1"),
 }

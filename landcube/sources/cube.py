@@ -22,14 +22,30 @@ def grid_width(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return width, n + 1
 
 
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """yr: the years there are."""
+    return table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("yr")).distinct()
+
+
+def of_year(cube: DataFrame, year: int) -> DataFrame:
+    return cube.where(F.col("yr") == year)
+
+
 def _units(name: str, scale: int = 1) -> Column:
     return F.floor(F.col(name) * scale + 0.5).cast("long")
 
 
-def pixel_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """yr, px, r, c, n, nir, red, green, swir, valid, ade, cls. Whole numbers are summed and divided once."""
+def pixel_cube(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
+    """yr, px, r, c, n, nir, red, green, swir, valid, ade, cls. Whole numbers are summed and divided once.
+
+    Years asked for with ``only`` are also a range of dates, which the scan can skip row groups by.
+    """
     width, _ = grid_width(spark, sf_dir)
-    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("yr"), F.col("l_partkey").alias("px"), "l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_linenumber", "l_suppkey")
+    source = table(spark, sf_dir, "lineitem")
+    if only:
+        day = F.col("l_shipdate")
+        source = source.where((day >= F.lit(f"{min(only)}-01-01").cast("timestamp_ntz")) & (day < F.lit(f"{max(only) + 1}-01-01").cast("timestamp_ntz")) & F.year(day).isin(*only))
+    rows = source.select(F.year("l_shipdate").alias("yr"), F.col("l_partkey").alias("px"), "l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_linenumber", "l_suppkey")
     sums = rows.groupBy("yr", "px").agg(
         F.count("*").alias("n"), F.sum(_units("l_quantity")).alias("q"), F.sum(_units("l_extendedprice", 100)).alias("e"), F.sum(_units("l_tax", 100)).alias("t"),
         F.sum(_units("l_discount", 100)).alias("d"), F.bool_or(F.col("l_linenumber").isin(2, 4, 5, 6, 7)).alias("valid"), F.sum("l_suppkey").alias("s"),

@@ -14,13 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landcube.functions.indices import dequantize, is_clear
+from landcube.operators import store
 
 
-def listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """path, name, mb, tile_row and tile_col (from ``_row_col`` in the name) of the files that match."""
+#: Endings that a band's file can have, in the order in which they are tried (fixed values).
+BAND_ENDINGS = (".jp2", ".tif", ".tiff", ".JP2", ".TIF")
+
+
+def band_file(spark: SparkSession, folder: str, band: str) -> str:
+    """The path of a band's file, by the first ending that there is; FileNotFoundError without any."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{band}.*").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    rank = F.array_position(F.array(*[F.lit(band + e) for e in BAND_ENDINGS]), name)
+    found = files.where(rank > 0).orderBy(rank).first()  # at most one file for each ending
+    if found is None:
+        raise FileNotFoundError(f"Band {band} not found in {folder}")
+    return found["path"]
+
+
+def listing(spark: SparkSession, folder: str, pattern: str, contains: str | None = None) -> DataFrame:
+    """path, name, mb, tile_row and tile_col (from ``_row_col`` in the name) of the files that match, and whose name
+    contains a text (a date, say)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     place = [F.try_to_number(F.nullif(F.regexp_extract(name, r"_(\d+)_(\d+)(?:_mask)?\.", i), F.lit("")), F.lit("999999")).cast("int") for i in (1, 2)]
+    files = files if contains is None else files.where(F.contains(name, F.lit(contains)))
     return files.select("path", name.alias("name"), (F.col("length") / 1e6).alias("mb"), place[0].alias("tile_row"), place[1].alias("tile_col"))
 
 
@@ -69,19 +87,30 @@ def decoded(encoded: DataFrame) -> DataFrame:
     return encoded.select("*", *[dequantize(F.col(f"{x}_u8")).alias(x) for x in ("ndvi", "ndbi", "ndwi")], is_clear(F.col("scl")).alias("valid"))
 
 
+#: What a year's scene is stored under: area, grid size and year.
+YEAR_KEY = ["aoi_id", "size", "year"]
+#: Scenes with more cloud than this are not used for a year (fixed value).
+CLOUDIEST = 95.0
+
+
 def write_years(cube: DataFrame, path: str) -> None:
-    """Store a cube by area and year; only the years written are replaced."""
-    cube.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("aoi_id", "year").parquet(path)
+    """Store a cube by area, size and year; only what is written is replaced."""
+    cube.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*YEAR_KEY).parquet(path)
 
 
-def read_years(spark: SparkSession, path: str, aoi: str, years: list[int]) -> DataFrame:
+def read_years(spark: SparkSession, path: str, aoi: str, size: int, years: list[int]) -> DataFrame:
     """Only the partitions asked for are read."""
-    return spark.read.parquet(path).where((F.col("aoi_id") == aoi) & F.col("year").isin(*years))
+    return spark.read.parquet(path).where((F.col("aoi_id") == aoi) & (F.col("size") == size) & F.col("year").isin(*years))
 
 
 def missing_years(requested: DataFrame, stored: DataFrame) -> DataFrame:
-    """Requested (aoi_id, year) that the store doesn't have."""
-    return requested.join(stored.select("aoi_id", "year").distinct(), ["aoi_id", "year"], "left_anti")
+    """Requested (aoi_id, size, year) that the store doesn't have."""
+    return requested.join(stored.select(*YEAR_KEY).distinct(), YEAR_KEY, "left_anti")
+
+
+def year_sources(products: DataFrame) -> DataFrame:
+    """The scene that stands for each (aoi, yr): the one with the least cloud, none above ``CLOUDIEST``."""
+    return store.best_product(products, ["aoi", "yr"], CLOUDIEST)
 
 
 def write_tiles(cells: DataFrame, path: str) -> None:
@@ -93,11 +122,11 @@ def tile_index(cells: DataFrame) -> DataFrame:
     return cells.groupBy("scene", "tile_row", "tile_col").agg((F.max("r") - F.min("r") + 1).alias("rows"), (F.max("c") - F.min("c") + 1).alias("columns"))
 
 
-def json_results(spark: SparkSession, *paths: str, schema: str) -> DataFrame:
-    """The first of the paths that can be read; none gives an empty table."""
+def json_results(spark: SparkSession, *paths: str, schema: str, lines: bool = False) -> DataFrame:
+    """The first of the paths that can be read; none gives an empty table. ``lines``: an object in each line, as the sink writes."""
     for path in paths:
         try:
-            return spark.read.schema(schema).option("multiLine", "true").json(path)
+            return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
         except AnalysisException:
             continue
     return spark.createDataFrame([], schema)

@@ -12,11 +12,14 @@ SCHEMA = "city long, tile long, px long, cls_before int, cls_after int"
 
 
 def totals(pairs: DataFrame, resolution: float = 10.0) -> DataFrame:
-    """Hectares under each rule and pixels processed, by city; pixels without both classes are skipped and not counted."""
+    """Hectares under each rule, pixels and tiles processed, by city; pixels without both classes are skipped and not counted.
+
+    Tiles are counted as a set, which a city has a few of.
+    """
     ok = F.col("cls_before").isNotNull() & F.col("cls_after").isNotNull()
     area = resolution * resolution / 10000
     sums = [F.round(F.count_if(v & ok) * area, 6).alias(f"{k}_hectares") for k, v in stream_rules(F.col("cls_before"), F.col("cls_after")).items()]
-    return pairs.groupBy("city").agg(*sums, F.count_if(ok).alias("pixels_processed"))
+    return pairs.groupBy("city").agg(*sums, F.count_if(ok).alias("pixels_processed"), F.size(F.collect_set(F.when(ok, F.col("tile")))).cast("long").alias("tiles_processed"))
 
 
 def stream_totals(spark: SparkSession, folder: str) -> DataFrame:

@@ -171,13 +171,14 @@ def test_files(spark, tmp_path):
 
 def test_year_store(spark, tmp_path):
     path = str(tmp_path / "years")
-    scene = raster.synthetic_year(spark, 2018, 8).withColumn("aoi_id", F.lit("a"))
+    scene = raster.synthetic_year(spark, 2018, 8).withColumns({"aoi_id": F.lit("a"), "size": F.lit(8)})
     raster.write_years(scene, path)
-    raster.write_years(raster.synthetic_year(spark, 2019, 8).withColumn("aoi_id", F.lit("a")), path)
-    found = raster.read_years(spark, path, "a", [2018])
+    raster.write_years(raster.synthetic_year(spark, 2019, 8).withColumns({"aoi_id": F.lit("a"), "size": F.lit(8)}), path)
+    raster.write_years(raster.synthetic_year(spark, 2018, 16).withColumns({"aoi_id": F.lit("a"), "size": F.lit(16)}), path)
+    found = raster.read_years(spark, path, "a", 8, [2018])
     assert found.count() == 64 and "PartitionFilters: [isnotnull(aoi_id" in found._jdf.queryExecution().executedPlan().toString()
-    asked = spark.createDataFrame([("a", 2018), ("a", 2020)], "aoi_id string, year int")
-    assert [r["year"] for r in raster.missing_years(asked, spark.read.parquet(path)).collect()] == [2020]
+    asked = spark.createDataFrame([("a", 8, 2018), ("a", 8, 2020), ("a", 16, 2019)], "aoi_id string, size int, year int")
+    assert sorted(r["year"] for r in raster.missing_years(asked, spark.read.parquet(path)).collect()) == [2019, 2020]
 
 
 def test_results_fall_back(spark, tmp_path):
@@ -204,3 +205,63 @@ def test_probability_plug_in(spark):
     frame = spark.createDataFrame([(1, None), (2, 3.0)], "px int, m double")
     assert [r["model_prob"] for r in with_probability(frame, F.col("m")).orderBy("px").collect()] == [0.5, 1.0]
     assert segmented(frame, lambda: lambda pdf: pdf.assign(cls=pdf["px"] * 2)[["px", "cls"]], "px int, cls int").count() == 2
+
+
+def test_band_files(spark, tmp_path):
+    for name in ("B04.tiff", "B04.JP2", "B03.TIF", "B03.jp2.aux", "B02.xml"):
+        (tmp_path / name).write_bytes(b"x")
+    assert raster.band_file(spark, str(tmp_path), "B04").endswith("/B04.tiff") and raster.band_file(spark, str(tmp_path), "B03").endswith("/B03.TIF")
+    with pytest.raises(FileNotFoundError):
+        raster.band_file(spark, str(tmp_path), "B02")
+    assert [r["name"] for r in raster.listing(spark, str(tmp_path), "*", contains="B02").collect()] == ["B02.xml"]
+
+
+def test_smoothing_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    image = rng.random((14, 13)) < 0.25
+    around = lambda x, k, edge: np.lib.stride_tricks.sliding_window_view(np.pad(x, k, constant_values=edge), (2 * k + 1, 2 * k + 1))
+    closed = around(around(image, 2, False).any(axis=(2, 3)), 2, True).all(axis=(2, 3)).astype(float)
+    kernel = np.outer([1, 4, 6, 4, 1], [1, 4, 6, 4, 1]) / 256
+    soft = np.einsum("rcij,ij->rc", np.lib.stride_tricks.sliding_window_view(np.pad(closed, 2, mode="reflect"), (5, 5)), kernel) > 0.4
+    assert cells_of(morphology.smooth(mask(spark, np.argwhere(image)), 13, 14 * 13)) == {tuple(map(int, x)) for x in np.argwhere(soft)}
+
+
+def test_small_regions_are_no_construction(spark):
+    spots = [(r, c) for r in range(2, 6) for c in range(2, 6)] + [(r, c) for r in range(2, 14) for c in range(20, 30)]
+    rows = [(r * 40 + c, 3 if (r, c) in spots else 0) for r in range(20) for c in range(40)]
+    made = change.smoothed(spark.createDataFrame(rows, "px long, class int"), 40, 800, above=50, tile=16)
+    found = {(r["px"] // 40, r["px"] % 40) for r in made.where("class = 3").collect()}
+    assert made.count() == 800 and found and all(c >= 18 for _, c in found) and {(r, c) for r in range(3, 13) for c in range(21, 29)} <= found
+
+
+def test_unlike_shapes_are_not_compared(spark):
+    cells = [(y, 0, t, r, c) for y in (1, 2) for t in (0, 1) for r in range(3) for c in range(4 - (t == 1 and y == 2))]
+    frame = spark.createDataFrame(cells, "yr int, tile_row int, tile_col int, r int, c int")
+    assert [tuple(r) for r in transitions.comparable_tiles(frame, 1, 2).collect()] == [(0, 0, 3, 4)]
+
+
+def test_sinks(spark, tmp_path):
+    from landcube.sources import sinks
+
+    cells = spark.createDataFrame([("s", 0, 1, r, c, "x" if r else "y") for r in range(2) for c in range(3)], "scene string, tile_row int, tile_col int, r int, c int, change_type string")
+    raster.write_tiles(cells, str(tmp_path / "tiles"))
+    assert tuple(only(raster.tile_index(spark.read.parquet(str(tmp_path / "tiles"))).select("tile_row", "tile_col", "rows", "columns"))) == (0, 1, 2, 3)
+    sinks.write_masks(cells, str(tmp_path / "masks"))
+    assert spark.read.parquet(str(tmp_path / "masks")).where("change_type = 'x'").count() == 3
+    sinks.write_json(cells, str(tmp_path / "json"))
+    assert raster.json_results(spark, str(tmp_path / "none"), str(tmp_path / "json"), schema="r int, c int", lines=True).count() == 6
+    rows = sinks.history_rows(cells.limit(1), F.lit("u"), F.lit("2024-01-01"), "r", "c")
+    for _ in range(2):
+        sinks.append(rows, str(tmp_path / "history"))
+    assert [r["result_json"] for r in spark.read.parquet(str(tmp_path / "history")).collect()] == [only(rows)["result_json"]] * 2
+    now = F.lit("2024-01-10").cast("timestamp_ntz")
+    cache = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-09")], "id int, created string").withColumn("created", F.col("created").cast("timestamp_ntz"))
+    sinks.replace_live(cache, now, 3, str(tmp_path / "live"))
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "live")).collect()] == [2]
+
+
+def test_mosaic_and_bands(spark):
+    cells = spark.createDataFrame([(1, 2, 3, 4)], "tile_row int, tile_col int, r int, c int")
+    assert tuple(only(tiles.mosaic(cells, 10, 20).select("mosaic_r", "mosaic_c"))) == (13, 44)
+    a, b = (spark.createDataFrame(x, "r int, c int, value double") for x in ([(0, 0, 1.0)], [(0, 0, 2.0), (0, 1, 3.0)]))
+    assert {tuple(r) for r in raster.composite({"x": a, "y": b}).collect()} == {(0, 0, 1.0, 2.0), (0, 1, None, 3.0)}
