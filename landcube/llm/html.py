@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
 
@@ -30,8 +31,7 @@ from landcube.llm.common import need
 #: Training pages at most, and steps of gradient ascent.
 SAMPLE, STEPS = 120, 60
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+NAME, EDGE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)"), re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 # HTML's own names.
@@ -58,11 +58,38 @@ class Node:
         self.main = tag in MAIN_TAGS or (not self.aside and bool(hints & MAIN_WORDS))
 
 
+class Tags:
+    """Ends of a page's tags. Every quote is followed once at most, so a page of unclosed quotes takes linear time too."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.astray = page, page.rfind(">"), set()
+
+    def end(self, start: int, at: int) -> int:
+        """Where the tag that begins at ``start`` ends: its first > outside quotes, read from ``at``; if there is none, its
+        first > at all, which there must be."""
+        followed = []
+        while m := EDGE.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.astray:
+                break
+            followed.append(m.start())
+            closed = self.page.find(m[0], m.end())
+            if closed < 0:
+                break
+            at = closed + 1
+        self.astray.update(followed)
+        return self.page.find(">", start)
+
+
+RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The page's elements, parents first, and its blocks of text: (node, text) in page order."""
     nodes, blocks = [Node(-1, "html", set())], []
     stack, text, linked, at, in_link = [0], [], 0, 0, 0
-    low = None
+    tags, open_tags = Tags(page), Counter()
 
     def flush() -> None:
         nonlocal text, linked
@@ -88,20 +115,26 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             break
         if start > at:
             add(page[at:start])
-        m = TOKEN.match(page, start) or LOOSE.match(page, start)
-        if not m:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        m = NAME.match(page, start) if start < tags.last else None
+        end = tags.end(start, m.end()) if m else -1
+        if start < tags.last and page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+        if end < 0:
             add("<")
             at = start + 1
             continue
-        at = m.end()
-        if not m[2]:
+        at = end + 1
+        if not m:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing, inner = m[2].lower(), bool(m[1]), page[m.end() : end]
         if tag in RAW and not closing:
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{tag}", at)
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
-                at = len(page) if end < 0 else end
+            if not inner.endswith("/") or tag not in ("svg", "math"):
+                found = RAW_ENDS[tag].search(page, at)
+                at = found.start() if found else len(page)
             continue
         if tag == "br" or tag == "hr":
             text.append(" ")
@@ -112,15 +145,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
+            while open_tags[tag]:  # up to the nearest open one, each popped once
+                open_tags[last := nodes[stack.pop()].tag] -= 1
+                if last == tag:
                     break
             continue
         while len(stack) > 1 and tag in CLOSED_BY.get(nodes[stack[-1]].tag, ()):
-            stack.pop()
+            open_tags[nodes[stack.pop()].tag] -= 1
         hints: set[str] = set()
-        for a in ATTRIBUTE.finditer(m[3]):
+        for a in ATTRIBUTE.finditer(inner):
             name, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
             if name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 hints.add("hidden")
@@ -128,6 +161,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 hints.update(re.split(r"[^a-z]+", value))
         nodes.append(Node(stack[-1], tag, hints))
         stack.append(len(nodes) - 1)
+        open_tags[tag] += 1
     flush()
     return nodes, blocks
 

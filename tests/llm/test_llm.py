@@ -530,6 +530,26 @@ def test_extraction(spark):
     assert html.extract(frame).count() == len(rows) and html.extract(frame.limit(0)).count() == 0
 
 
+def test_letters_whose_lower_case_is_longer():
+    page = "<body>" + "İ" * 6 + "<p>one paragraph<SCRIPT>var x = '<p>no</p>'</ſcript></Script><p>another</body>"
+    assert [b for _, b in html.parse(page)[1]] == ["İ" * 6, "one paragraph", "another"]
+
+
+@pytest.mark.parametrize("piece", ['<i title="x ', "<i title='x \" ", "<a ", "<!", "<p>", "</p>", "<svg/>", "<div", '<b "> ', "&amp", "<script>", "<p a='\">", "<!-- "])
+def test_odd_markup_takes_linear_time(piece):
+    import time
+
+    for page in (piece * (600_000 // len(piece)), "<p>" + piece * 30_000 + "</p>>\"'", "<div>" * 20_000 + "</p>" * 20_000):
+        start = time.process_time()
+        html.parse(page)
+        assert time.process_time() - start < 8
+
+
+def test_tags_end_outside_quotes():
+    page = """<p title="a > b" x='c > "d'>one</p><p title="never closed>two</p><p>three"""
+    assert [b for _, b in html.parse(page)[1]] == ["one", "two", "three"]
+
+
 def test_extraction_of_the_given_pages(spark):
     from html import unescape
 
