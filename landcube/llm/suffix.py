@@ -6,8 +6,10 @@ stretches with one anchor form a segment (at most ``LENGTH - GRAM + 1`` starts),
 
 1. Every task cuts its texts into segments; of equal ones in a batch it keeps the first and marks the others' starts.
 2. Under each anchor, segments without a partner drop out, and of equal ones again all but the first are marked.
+   Rows arrive sorted, so a task holds a batch of them and one row more, however many share an anchor.
 3. Where different segments share an anchor, their bytes are fetched, and a suffix order cut off at ``LENGTH`` bytes tells
-   which of their stretches are equal, and which of those is the earliest.
+   which of their stretches are equal, and which of those is the earliest. Under an anchor with more than ``CROWD``
+   different segments the stretches are hashed one by one instead, and the earliest of equal ones is an aggregate.
 4. The marked starts of a document are united to removed runs.
 
 An anchor may be in a third of all documents, in as many surroundings: a licence line, say. Anchors with a share of
@@ -15,7 +17,8 @@ An anchor may be in a third of all documents, in as many surroundings: a licence
 shuffled one by one, each under two hashes of its own bytes, so that such an anchor is dealt over all tasks. Which anchors
 those are changes the way of their stretches and not the result.
 
-What counts as earlier is decided by (doc_id, start) everywhere.
+What counts as earlier is decided by (doc_id, tie, start) everywhere; ``tie``, a hash of the text, tells rows apart that share
+a doc_id.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +41,11 @@ LOW = np.uint64((1 << 24) - 1)
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Least share of a hot anchor (one in HOT), least count, and the sample (one document in SAMPLE) that shows them.
 HOT, HOT_COUNT, SAMPLE = 2000, 30, 32
-SEGMENTS = "kind int, key long, same long, doc_id long, start long, n int"
-NAMES = ["kind", "key", "same", "doc_id", "start", "n"]
+SEGMENTS = "kind int, key long, same long, doc_id long, tie long, start long, n int"
+NAMES = [part.split()[0] for part in SEGMENTS.split(", ")]
+PLACE = ["doc_id", "tie", "start"]
+#: Different segments under one anchor that are ordered together at most.
+CROWD = 5000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -110,32 +117,40 @@ def segments(texts: list[tuple[int, int, bytes]], hot: np.ndarray) -> tuple[np.n
     return own[0][text], begins - at[text] + own[1][text], n, key.view(np.int64), same.view(np.int64)
 
 
-def firsts(key: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def firsts(key: np.ndarray, same: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by equal segments, earliest first; and which rows in that order are later than an equal one.
 
-    Rows at one (doc_id, start), from rows that repeat a doc_id, are not later than each other.
+    Rows at one place, from rows with equal doc_id and text, are not later than each other.
     """
-    order = np.lexsort((start, doc, n, same, key))
-    k, s, m, d, a = key[order], same[order], n[order], doc[order], start[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (m[1:] != m[:-1])
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order, (d != d[head]) | (a != a[head])
+    order = np.lexsort((start, tie, doc, n, same, key))
+    k, s, m, d, t, a = (x[order] for x in (key, same, n, doc, tie, start))
+    head = heads(k, s, m)
+    return order, (d != d[head]) | (t != t[head]) | (a != a[head])
+
 
+def heads(key: np.ndarray, same: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For rows sorted by segments the first row of each row's segment."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1]) | (n[1:] != n[:-1])
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
 
-def _out(kind: np.ndarray, key: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key), pa.array(same), pa.array(doc), pa.array(start), pa.array(n.astype(np.int32))], names=NAMES)
+
+def _out(kind: int | np.ndarray, rows: list[np.ndarray], which: np.ndarray) -> pa.RecordBatch:
+    """The rows (key, same, doc_id, tie, start, n) at ``which`` (a mask or places) as a batch of segments."""
+    *longs, n = (x[which] for x in rows)
+    kinds = np.full(len(n), kind, np.int32) if isinstance(kind, int) else kind.astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(x.astype(np.int64)) for x in longs), pa.array(n.astype(np.int32))], names=NAMES)
 
 
 def cut(documents: DataFrame, hot: list[int]) -> DataFrame:
-    """Segments (kind 0) and marked starts (kind 1) of documents (doc_id, text as bytes)."""
+    """Segments (kind 0) and marked starts (kind 1) of documents (doc_id, tie, text as bytes)."""
     keys = np.array(hot, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             held, size, found = [], 0, []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 for o in range(0, len(text) - LENGTH + 1, PIECE // 2):  # a long text in pieces that overlap
                     piece = text[o : o + PIECE // 2 + LENGTH - 1]
                     if size + len(piece) > PIECE:
@@ -147,9 +162,9 @@ def cut(documents: DataFrame, hot: list[int]) -> DataFrame:
                 found.append(segments(held, keys))
             if found:
                 text, start, n, key, same = (np.concatenate(c) for c in zip(*found, strict=True))
-                doc = ids[text]
-                order, later = firsts(key, same, doc, start, n)
-                yield _out(later, key[order], same[order], doc[order], start[order], n[order])
+                doc, tie = ids[text], ties[text]
+                order, later = firsts(key, same, doc, tie, start, n)
+                yield _out(later, [key, same, doc, tie, start, n], order)
 
     return documents.mapInArrow(run, SEGMENTS)
 
@@ -181,29 +196,41 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
 
 
 def matched(cut_out: DataFrame) -> DataFrame:
-    """Marked starts (kind 1) and different segments that share an anchor (kind 2)."""
+    """Marked starts (kind 1) and different segments that share an anchor (kind 2).
+
+    Of the rows before a batch one is kept: the first of the last segment, and whether it has been sent on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "deal"):
-            kind, key, same, doc, start, n = (t.column(c).to_numpy() for c in NAMES)
-            given = kind == 1
-            if given.any():
-                yield _out(kind[given], key[given], same[given], doc[given], start[given], n[given])
-            key, same, doc, start, n = (c[~given] for c in (key, same, doc, start, n))
-            if not len(key):
+        kept, sent = None, False
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            rows = [batch.column(c).to_numpy() for c in NAMES[1:]]
+            if (kind == 1).any():
+                yield _out(1, rows, kind == 1)
+            rows = [x[kind != 1] for x in rows]
+            if not len(rows[0]):
                 continue
-            order, later = firsts(key, same, doc, start, n)
-            key, same, doc, start, n = (c[order] for c in (key, same, doc, start, n))
-            yield _out(np.ones(later.sum()), key[later], same[later], doc[later], start[later], n[later])
-            key, same, doc, start, n = (c[~later] for c in (key, same, doc, start, n))
-            shared = np.zeros(len(key), bool)
-            near = key[1:] == key[:-1]
+            if kept is not None:
+                rows = [np.concatenate([a, b]) for a, b in zip(kept, rows, strict=True)]
+            key, same, doc, tie, start, n = rows
+            head = heads(key, same, n)
+            later = (doc != doc[head]) | (tie != tie[head]) | (start != start[head])
+            yield _out(1, rows, later)
+            own = np.flatnonzero(head == np.arange(len(head)))
+            near = key[own][1:] == key[own][:-1]
+            shared = np.zeros(len(own), bool)
             shared[1:] |= near
             shared[:-1] |= near
-            yield _out(np.full(shared.sum(), 2), key[shared], same[shared], doc[shared], start[shared], n[shared])
+            last = bool(shared[-1]) or (len(own) == 1 and sent)
+            if kept is not None and sent:
+                shared[0] = False
+            yield _out(2, rows, own[shared])
+            kept, sent = [x[own[-1] :][:1] for x in rows], last
 
-    deal = F.when(F.col("kind") == 1, F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
-    return cut_out.withColumn("deal", deal).repartition("deal").sortWithinPartitions("deal").mapInArrow(run, SEGMENTS)
+    deal = F.when(F.col("kind") == 1, F.xxhash64(*PLACE)).otherwise(F.col("key"))
+    ordered = cut_out.withColumn("deal", deal).repartition("deal").sortWithinPartitions("deal", "kind", "same", "n", *PLACE)
+    return ordered.mapInArrow(run, SEGMENTS)
 
 
 def later_starts(texts: list[bytes], places: np.ndarray) -> list[tuple[int, int]]:
@@ -237,32 +264,44 @@ def later_starts(texts: list[bytes], places: np.ndarray) -> list[tuple[int, int]
     return list(zip(text[later].tolist(), offset[later].tolist(), strict=True))
 
 
+def wanted_texts(shared: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, tie, text and wanted (key, start, n of its segments) of the documents that segments lie in."""
+    wanted = shared.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
+    return documents.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "wanted")
+
+
+def fetched(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """key, doc_id, tie, start and bytes of the segments wanted."""
+    flat = batch.column(3).flatten()
+    key, start, n = (pc.struct_field(flat, c).to_pylist() for c in ("key", "start", "n"))
+    at = 0
+    for doc, tie, text, count in zip(*(batch.column(c).to_pylist() for c in range(3)), pc.list_value_length(batch.column(3)).to_pylist(), strict=True):
+        for i in range(at, at + count):
+            yield key[i], doc, tie, start[i], text[start[i] : start[i] + n[i] + LENGTH - 1]
+        at += count
+
+
+MARKS = "doc_id long, tie long, start long, n int"
+
+
 def resolved(shared: DataFrame, documents: DataFrame) -> DataFrame:
     """Marked starts among different segments that share an anchor, from their bytes."""
-    wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
-    wide = documents.join(wanted, "doc_id").select("doc_id", "text", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.binary()]
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for w in wanted:
-                    part = text[w["start"] : w["start"] + w["n"] + LENGTH - 1]
-                    if len(part) >= LENGTH:
-                        for column, value in zip(out, (w["key"], doc, w["start"], part), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "doc_id", "start", "part"])
+            columns = list(zip(*fetched(batch), strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc_id", "tie", "start", "part"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tell(held: list[pa.Table]) -> pa.RecordBatch:
             t = pa.concat_tables(held)
-            doc, start = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
+            doc, tie, start = (t.column(c).to_numpy() for c in PLACE)
             place = np.empty(len(doc), np.int64)
-            place[np.lexsort((start, doc))] = np.arange(len(doc))
+            place[np.lexsort((start, tie, doc))] = np.arange(len(doc))
             found = later_starts(t.column("part").to_pylist(), place)
-            i = np.array([f[0] for f in found], np.int64)
-            o = np.array([f[1] for f in found], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(start[i] + o), pa.array(np.ones(len(i), np.int32))], names=["doc_id", "start", "n"])
+            i, o = (np.array([f[c] for f in found], np.int64) for c in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(tie[i]), pa.array(start[i] + o), pa.array(np.ones(len(i), np.int32))], names=[*PLACE, "n"])
 
         held, size = [], 0
         for t in grouped(batches, "key"):
@@ -274,49 +313,79 @@ def resolved(shared: DataFrame, documents: DataFrame) -> DataFrame:
         if held:
             yield tell(held)
 
-    parts = wide.mapInArrow(fetch, "key long, doc_id long, start long, part binary").distinct()
-    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(order, "doc_id long, start long, n int")
+    parts = wanted_texts(shared, documents).mapInArrow(fetch, "key long, doc_id long, tie long, start long, part binary").distinct()
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(order, MARKS)
 
 
-def removed_runs(documents: DataFrame) -> DataFrame:
-    """doc_id and runs, the pairs (begin, end) of its removed bytes, in order; documents without any are absent."""
-    found = materialize(matched(cut(documents, hot_anchors(documents))), "segments")
-    marks = found.where("kind = 1").select("doc_id", "start", "n").union(resolved(found.where("kind = 2"), documents))
-    return marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+def resolved_one_by_one(shared: DataFrame, documents: DataFrame) -> DataFrame:
+    """The same for crowded anchors: every stretch under 128 bits of its own hash, no anchor in one task."""
 
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-def union_of(marks: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((m["start"], m["start"] + m["n"] + LENGTH - 1) for m in marks):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for _, doc, tie, start, part in fetched(batch):
+                for i in range(len(part) - LENGTH + 1):
+                    for column, value in zip(out, (xxhash.xxh3_128_digest(part[i : i + LENGTH]), doc, tie, start + i), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["own", *PLACE])
+
+    stretches = materialize(wanted_texts(shared, documents).mapInArrow(fetch, "own binary, doc_id long, tie long, start long"), "stretches")
+    place = F.struct(*PLACE)
+    first = materialize(stretches.groupBy("own").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "first")
+    return stretches.join(first, "own").where(place > F.col("first")).select(*PLACE, F.lit(1).alias("n"))
+
+
+def removed_runs(documents: DataFrame) -> DataFrame:
+    """doc_id, tie and marks (start, n), of the rows (doc_id, tie, text) that have any: stretches that occur earlier."""
+    found = materialize(matched(cut(documents, hot_anchors(documents))), "segments")
+    shared = found.where("kind = 2")
+    crowded = materialize(shared.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("key"), "crowded")
+    calm, dense = shared.join(crowded, "key", "left_anti"), shared.join(crowded, "key", "left_semi")
+    marks = found.where("kind = 1").select(*PLACE, "n").union(resolved(calm, documents))
+    if not crowded.isEmpty():
+        marks = marks.union(resolved_one_by_one(dense, documents))
+    return marks.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+
+
+def union_of(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, begin and end of the maximal runs that marks cover, in order."""
+    order = np.lexsort((start, row))
+    begin = (row[order].astype(np.int64) << 40) + start[order]
+    reach = np.maximum.accumulate(begin + n[order] + LENGTH - 1)
+    new = np.ones(len(order), bool)
+    new[1:] = begin[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(order)) - 1 if len(order) else np.array([], np.int64)
+    own = begin[new] >> 40
+    return own, begin[new] - (own << 40), reach[last] - (own << 40)
 
 
 def dedup_bytes(documents: DataFrame) -> DataFrame:
     """doc_id, kept (bytes), n_bytes and spans (removed runs) of each document row.
 
-    A null text is empty. Rows that share a doc_id count as one place: they do not remove each other at equal starts, and
-    what is removed from one is removed from all of them. A null doc_id counts as the smallest number. An empty table
-    gives no rows; extra columns are ignored.
+    A null text is empty. Rows that share a doc_id, or have none, are judged and cut each for itself, in the order of a hash
+    of their texts; rows with equal doc_id and text count as one place and do not remove each other. A null doc_id counts
+    as the smallest number. An empty table gives no rows; extra columns are ignored.
     """
     null = F.lit(-(2**63)).cast("long")
-    texts = need(documents, "doc_id", "text").select(F.coalesce("doc_id", null).alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    joined = texts.join(removed_runs(texts), "doc_id", "left")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    texts = need(documents, "doc_id", "text").select(F.coalesce("doc_id", null).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    joined = texts.join(removed_runs(texts), ["doc_id", "tie"], "left").select("doc_id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            kept, sizes, spans = [], [], []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs = [(a, min(b, len(text))) for a, b in union_of(marks or []) if a < len(text)]
-                edges = [0, *(x for r in runs for x in r), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                sizes.append(len(text))
-                spans.append([{"begin": a, "end": b} for a, b in runs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(spans, span)], names=["doc_id", "kept", "n_bytes", "spans"])
+            marks, flat = batch.column(2), batch.column(2).flatten()
+            row = np.repeat(np.arange(len(marks)), pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
+            start, n = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+            own, begin, end = union_of(row, start, n)
+            edges = np.searchsorted(own, np.arange(len(marks) + 1))
+            texts, kept = batch.column(1).to_pylist(), []
+            for i, text in enumerate(texts):
+                a, b = edges[i], edges[i + 1]
+                kept.append(text if a == b else b"".join([text[x:y] for x, y in zip([0, *end[a:b].tolist()], [*begin[a:b].tolist(), len(text)], strict=True)]))
+            spans = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], ["begin", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), spans], names=["doc_id", "kept", "n_bytes", "spans"])
 
     made = joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, spans array<struct<begin: long, end: long>>")
     return made.withColumn("doc_id", F.nullif("doc_id", null))

@@ -222,7 +222,7 @@ def test_thresholds_cover():
 @pytest.mark.parametrize("hot", [False, True])
 def test_suffix(documents, none, monkeypatch, hot):
     if hot:  # every anchor takes the way of the hot ones
-        keys = [r["key"] for r in suffix.cut(documents.selectExpr("doc_id", "cast(coalesce(text, '') as binary) text"), []).select("key").distinct().collect()]
+        keys = [r["key"] for r in suffix.cut(documents.selectExpr("doc_id", "0L tie", "cast(coalesce(text, '') as binary) text"), []).select("key").distinct().collect()]
         monkeypatch.setattr(suffix, "hot_anchors", lambda _: keys[::2])
     want = suffix.brute_force({i: (t or "").encode() for i, t in enumerate(odd_texts())})
     rows = suffix.report(documents).collect()
@@ -230,6 +230,28 @@ def test_suffix(documents, none, monkeypatch, hot):
     assert suffix.report(none).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [5000, 0])
+def test_suffix_of_rows_that_share_an_id(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix, "CROWD", crowd)  # 0: every anchor is a crowded one
+    rng = random.Random(11)
+    p, q = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (300, 400))
+    rows = [(1, p), (7, p), (7, q), (None, q), (None, "x" + p + "y" + q), (None, None), (8, q[50:] + p[:200]), (7, q), (9, p[:150] + "-" + q[:120]), (10, "z" * 260)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ties = {r["text"]: r["t"] for r in frame.selectExpr("text", "xxhash64(coalesce(cast(text as binary), X'')) t").collect()}
+    seen, want = set(), []
+    ordered = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]))
+    cut = {}
+    for i, text in ordered:
+        gone = [False] * len(text or "")
+        for o in range(len(gone) - 99):
+            if text[o : o + 100] in seen:
+                gone[o : o + 100] = [True] * 100
+            seen.add(text[o : o + 100])
+        cut[i, text] = "".join(c for c, g in zip(text or "", gone, strict=True) if not g).encode()
+    want = Counter((i, cut[i, t]) for i, t in rows)
+    assert Counter((r["doc_id"], bytes(r["kept"])) for r in suffix.dedup_bytes(frame).collect()) == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=400), min_size=1, max_size=6))
 def test_later_starts(texts):
