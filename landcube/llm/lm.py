@@ -1,18 +1,22 @@
 """Document scores of a hidden Markov language model (operator 10).
 
 Token counts of the training documents are formed by Spark over the whole corpus. The ``SYMBOLS`` most frequent words and
-the end of a text are symbols of their own; all other words share one symbol, within which a word has its share of the base
-distribution. So the model is a distribution over all words, unseen ones too, and only a bounded table of parameters is
-ever in one place. Start values come from a bounded sample of documents; then each Baum-Welch pass takes the expected
-counts of all training documents, every task over its own, summed by Spark. A text's likelihood is the scaled forward
-recursion over the whole text. Counts of words beyond the ``TOP`` most frequent are joined to the documents by a shuffle.
+the end of a text are symbols of their own; every other word, seen or not, has the symbol of its class, which its last
+bytes decide, and within the class its share of the base distribution. The number of classes grows with the square root of
+the vocabulary, so what the states learn grows with the corpus while the table of parameters stays small. The model is a
+distribution over all words. Start values come from a bounded sample of documents; then each Baum-Welch pass takes the
+expected counts of all training documents, every task over its own, summed by Spark. Texts are taken whole: long ones are
+worked on in stretches side by side, joined by the stretches' transfer matrices, which is exact. A text's likelihood is the
+scaled forward recursion over the whole text. Counts of words beyond the ``TOP`` most frequent are joined to the documents
+by a shuffle.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import isqrt, log10
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from landcube.llm.common import materialize, need, remainder
 
 #: Words with symbols of their own, words whose counts every task holds, states, documents to start from, passes over all.
-SYMBOLS, TOP, STATES, START_DOCUMENTS, START_PASSES, PASSES = 8000, 150_000, 6, 400, 8, 2
-#: Most cells of documents worked on at once, longest stretch of a text in training, words counted before they are sent on.
+SYMBOLS, TOP, STATES, START_DOCUMENTS, START_PASSES, PASSES = 40_000, 150_000, 6, 400, 8, 2
+#: Classes of other words for the square root of their number, and the bytes at a word's end that decide its class.
+CLASSES, ENDING = 16, 3
+#: Most cells of documents worked on at once, tokens of a stretch in training, words counted before they are sent on.
 CELLS, STRETCH, HELD = 300_000, 1024, 200_000
 
 
@@ -54,20 +60,32 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Base distribution: counts of the frequent words (symbol from 1 by rank, or 0), of the end, and totals."""
+    """Base distribution: counts of the frequent words with their symbols (by rank; of the others, -1), of the end, totals.
 
-    def __init__(self, frequent: list[tuple[bytes, int]], ends: int, n: int, v: int):
+    Symbols are the most frequent words, then the classes, then the end. ``classed`` has (sum of counts, words) of all words
+    of a class, by class.
+    """
+
+    def __init__(self, frequent: list[tuple[bytes, int]], ends: int, n: int, v: int, classes: int, classed: dict[int, tuple[int, int]]):
         frequent = sorted(frequent, key=lambda x: (-x[1], x[0]))
-        self.symbols = min(SYMBOLS, len(frequent))
+        self.symbols, self.classes = min(SYMBOLS, len(frequent)), classes
         self.ends, self.n, self.v = ends, n, v
         self.total = n + 0.5 * (v + 1)
-        self.words = {w: (c, k + 1 if k < self.symbols else 0) for k, (w, c) in enumerate(frequent)}
-        self.size = self.symbols + 2  # the shared symbol 0, the words', the end
-        mass = np.zeros(self.size)
-        mass[1 : self.symbols + 1] = [(c + 0.5) / self.total for _, c in frequent[: self.symbols]]
-        mass[-1] = (ends + 0.5) / self.total
-        mass[0] = max(1 - mass.sum(), 1e-12)
-        self.mass = mass
+        self.words = {w: (c, k if k < self.symbols else -1) for k, (w, c) in enumerate(frequent)}
+        self.size = self.symbols + classes + 1
+        sums, words = np.zeros(classes), np.zeros(classes)
+        for k, (c, m) in classed.items():
+            sums[k], words[k] = c, m
+        for w, c in frequent[: self.symbols]:
+            k = self.class_of(w)
+            sums[k], words[k] = sums[k] - c, words[k] - 1
+        self.mass = np.zeros(self.size)
+        self.mass[: self.symbols] = [(c + 0.5) / self.total for _, c in frequent[: self.symbols]]
+        self.mass[self.symbols : -1] = (sums + 0.5 * words + 0.5 / classes) / self.total  # unseen words spread over the classes
+        self.mass[-1] = (ends + 0.5) / self.total
+
+    def class_of(self, word: bytes) -> int:
+        return crc32(word[-ENDING:]) % self.classes
 
     def base(self, c: int) -> float:
         return log10((c + 0.5) / self.total)
@@ -85,40 +103,46 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
         else:
             found = None
     rows = counts.where(step >= least).collect() if least is not None else []
-    return Vocabulary([(bytes(r["word"]), r["c"]) for r in rows], ends, n + ends, v + (ends > 0))
+    classes = CLASSES * (isqrt(max(0, v - SYMBOLS)) + 1)
+    ending = F.substring("word", -ENDING, ENDING)  # of a shorter word all of it
+    own = F.pmod(F.crc32(F.when(F.octet_length("word") > ENDING, ending).otherwise(F.col("word"))), F.lit(classes)).alias("k")
+    classed = {r["k"]: (r["c"], r["m"]) for r in counts.groupBy(own).agg(F.sum("c").alias("c"), F.count("*").alias("m")).collect()}
+    return Vocabulary([(bytes(r["word"]), r["c"]) for r in rows], ends, n + ends, v + (ends > 0), classes, classed)
 
 
-ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, pool double, n_rare long, symbols binary, rare array<binary>"
+ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, pool double, symbols binary, rare array<binary>"
 
 
 def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """A row per document: sums over tokens whose count is at hand, symbols, and the words to look up."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # at most TOP words
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
     names = [part.split()[0] for part in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         vocab, rid = shared.value, TaskContext.get().partitionId() << 33
-        get, base, end = vocab.words.get, {}, vocab.size - 1
+        get, base, shares = vocab.words.get, {}, np.log10(vocab.mass)
+        first, end, classes, none = vocab.symbols, vocab.size - 1, vocab.classes, (None, -1)
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = tokens(text)
-                found = [get(w) for w in words]
-                rare = [w for w, f in zip(words, found, strict=True) if f is None]
-                known = Counter(f for f in found if f is not None)
+                found = [get(w, none) for w in words]
+                rare = [w for w, f in zip(words, found, strict=True) if f[0] is None]
+                known = Counter(f for f in found if f[0] is not None)
                 total, pool = vocab.base(vocab.ends), 0.0
                 for (c, symbol), k in known.items():
                     b = base.get(c)
                     if b is None:
                         b = base[c] = vocab.base(c)
                     total += k * b
-                    if not symbol:
+                    if symbol < 0:
                         pool += k * b
-                symbols = np.array([*(f[1] if f else 0 for f in found), end], np.uint16)
-                row = (rid, doc, held, len(words) + 1, len(words) - len(rare) + (vocab.ends > 0), total, pool, int((symbols == 0).sum()), symbols.tobytes(), rare)
+                symbols = np.array([*(f[1] if f[1] >= 0 else first + crc32(w[-ENDING:]) % classes for w, f in zip(words, found, strict=True)), end], np.uint32)
+                pool -= float(shares[symbols[(symbols >= first) & (symbols < end)]].sum())
+                row = (rid, doc, held, len(words) + 1, len(words) - len(rare) + (vocab.ends > 0), total, pool, symbols.tobytes(), rare)
                 rid += 1
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
@@ -149,14 +173,9 @@ class Hmm:
         """Scaled forward recursion over whole texts, many at once; texts that have ended drop out."""
         out = np.zeros(len(texts))
         for own in self.grouped(texts):
-            lengths = np.array([len(texts[i]) for i in own])
-            wide = np.zeros((lengths[0], len(own)), np.uint16)
-            for j, i in enumerate(own):
-                wide[: lengths[j], j] = texts[i]
-            left = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+            wide, left = self.laid_out(texts, own)
             scales, alpha = np.ones(wide.shape), None
-            for t in range(lengths[0]):
-                n = left[t]
+            for t, n in enumerate(left):
                 step = self.start[None, :].repeat(n, 0) if t == 0 else alpha[:n] @ self.trans
                 step *= self.emit[wide[t, :n]]
                 z = step.sum(axis=1)
@@ -165,34 +184,75 @@ class Hmm:
             out[own] = np.log10(scales).sum(axis=0)
         return out
 
+    def laid_out(self, texts: list[np.ndarray], own: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols by place and text, texts longest first, and how many texts are left at each place."""
+        lengths = np.array([len(texts[i]) for i in own])
+        wide = np.zeros((lengths[0], len(own)), np.uint32)
+        for j, i in enumerate(own):
+            wide[: lengths[j], j] = texts[i]
+        return wide, np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+
+    def borders(self, cut: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For stretches, each text's one after another: the forward vector before each and the backward vector after it.
+
+        A stretch's transfer matrix is the product of its steps, formed for all stretches side by side; a text's vectors
+        follow from its stretches' matrices.
+        """
+        s = len(self.start)
+        ahead, behind = np.full((len(cut), s), 1 / s), np.ones((len(cut), s))
+        inner = np.flatnonzero(~first | np.append(~first[1:], False))  # of texts with more than one
+        moves = np.empty((len(cut), s, s))
+        for own in self.grouped([cut[i] for i in inner]):
+            at = inner[own]
+            wide, left = self.laid_out(cut, at.tolist())
+            step = np.where(first[at][:, None, None], self.start[None, None, :], self.trans[None])
+            for t, n in enumerate(left):
+                step[:n] = (step[:n] if t == 0 else step[:n] @ self.trans) * self.emit[wide[t, :n]][:, None, :]
+                step[:n] /= step[:n].sum(axis=(1, 2), keepdims=True)
+            moves[at] = step
+        for i in inner:
+            if not first[i]:
+                v = ahead[i - 1] @ moves[i - 1]
+                ahead[i] = v / v.sum()
+        for i in inner[::-1]:
+            if not first[i]:
+                v = moves[i] @ behind[i]
+                behind[i - 1] = v / v.sum()
+        return ahead, behind
+
     def counts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, transitions and emissions. Texts over ``STRETCH`` symbols are taken in stretches, all of them."""
+        """Expected starts, transitions and emissions of whole texts, worked on in stretches of ``STRETCH`` symbols."""
         s = len(self.start)
         starts, moves, shown = np.zeros(s), np.zeros((s, s)), np.zeros(self.emit.shape)
         cut = [t[a : a + STRETCH] for t in texts for a in range(0, len(t), STRETCH)]
+        first = np.array([a == 0 for t in texts for a in range(0, len(t), STRETCH)], bool)
+        ahead_of, behind_of = self.borders(cut, first)
         for own in self.grouped(cut):
-            lengths = np.array([len(cut[i]) for i in own])
-            wide = np.zeros((lengths[0], len(own)), np.uint16)
-            for j, i in enumerate(own):
-                wide[: lengths[j], j] = cut[i]
-            left = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+            wide, left = self.laid_out(cut, own)
+            begins, before = first[own], ahead_of[own]
             alphas, ahead = [], []
-            for t in range(lengths[0]):
-                n, e = left[t], self.emit[wide[t, : left[t]]]
-                step = (self.start[None, :] if t == 0 else alphas[-1][:n] @ self.trans) * e
+            for t, n in enumerate(left):
+                e = self.emit[wide[t, :n]]
+                step = (np.where(begins[:, None], self.start[None, :], before @ self.trans) if t == 0 else alphas[-1][:n] @ self.trans) * e
                 z = step.sum(axis=1, keepdims=True)
                 alphas.append(step / z)
                 ahead.append(e / z)
-            beta, gammas = np.ones((left[-1], s)), [None] * lengths[0]
-            for t in range(lengths[0] - 1, -1, -1):
+            ends = behind_of[own]
+            at = np.array([len(cut[i]) for i in own]) - 1
+            last = np.array([alphas[t][j] for j, t in enumerate(at)])
+            ends = ends / (last * ends).sum(axis=1, keepdims=True)
+            beta, gammas = ends[: left[-1]].copy(), [None] * len(left)
+            for t in range(len(left) - 1, -1, -1):
                 gammas[t] = alphas[t] * beta
+                nxt = ahead[t] * beta
                 if t:
-                    nxt = ahead[t] * beta
                     moves += alphas[t - 1][: left[t]].T @ nxt
-                    beta = np.ones((left[t - 1], s))
+                    beta = ends[: left[t - 1]].copy()
                     beta[: left[t]] = nxt @ self.trans.T
-            starts += gammas[0].sum(axis=0)
-            gamma, flat = np.concatenate(gammas), np.concatenate([wide[t, : left[t]] for t in range(lengths[0])])
+                else:
+                    moves += before[~begins].T @ nxt[~begins]
+            starts += gammas[0][begins].sum(axis=0)
+            gamma, flat = np.concatenate(gammas), np.concatenate([wide[t, :n] for t, n in enumerate(left)])
             for k in range(s):
                 shown[:, k] += np.bincount(flat, weights=gamma[:, k], minlength=len(shown))
         return starts, moves * self.trans, shown
@@ -206,14 +266,16 @@ class Hmm:
 
 def start_model(texts: list[np.ndarray], mass: np.ndarray) -> Hmm:
     """States begin as documents that are unlike one another; then a few passes over the sample."""
-    profiles = [np.bincount(t, minlength=len(mass)) + 200 * mass for t in texts if len(t) > 20]
-    profiles = [p / p.sum() for p in profiles]
-    if not profiles:
-        profiles = [mass]
-    chosen, nearest = [profiles[0]], np.full(len(profiles), np.inf)
+    texts_long = [t for t in texts if len(t) > 20]
+
+    def profile(i: int) -> np.ndarray:
+        p = np.bincount(texts_long[i], minlength=len(mass)) + 200 * mass if texts_long else mass
+        return p / p.sum()
+
+    chosen, nearest = [profile(0)], np.full(max(1, len(texts_long)), np.inf)
     while len(chosen) < STATES:
-        nearest = np.minimum(nearest, [np.abs(p - chosen[-1]).sum() for p in profiles])
-        chosen.append(profiles[int(nearest.argmax())])
+        nearest = np.minimum(nearest, [np.abs(profile(i) - chosen[-1]).sum() for i in range(len(nearest))])
+        chosen.append(profile(int(nearest.argmax())))
     tilt = 1 + 0.01 * np.arange(STATES)  # equal profiles must not stay equal states
     emit = np.stack(chosen, axis=1) ** tilt
     stay = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
@@ -224,7 +286,7 @@ def start_model(texts: list[np.ndarray], mass: np.ndarray) -> Hmm:
 
 
 def read_symbols(batch: pa.RecordBatch, name: str = "symbols") -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16) for x in batch.column(name).to_pylist()]
+    return [np.frombuffer(x, np.uint32) for x in batch.column(name).to_pylist()]
 
 
 def baum_welch(training: DataFrame, model: Hmm, mass: np.ndarray) -> Hmm:
@@ -257,18 +319,18 @@ def score(documents: DataFrame) -> DataFrame:
     coded = materialize(encode(split, vocab), "symbols")
     learn = coded.where(~F.col("held_out"))
     some = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCUMENTS).select("symbols").collect()
-    model = start_model([np.frombuffer(bytes(r["symbols"]), np.uint16) for r in some], vocab.mass)
+    model = start_model([np.frombuffer(bytes(r["symbols"]), np.uint32) for r in some], vocab.mass)
     for _ in range(PASSES if some else 0):
         model = baum_welch(learn, model, vocab.mass)
-    pool, total = log10(vocab.mass[0]), vocab.total
+    total = vocab.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hidden = model.log10_likelihoods(read_symbols(batch))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(8)), pa.array(hidden)], names=[*batch.schema.names[:8], "hidden"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(7)), pa.array(hidden)], names=[*batch.schema.names[:7], "hidden"])
 
-    small = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "pool", "n_rare"]
-    kinds = ", ".join(ENCODED.split(", ")[:8])
+    small = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "pool"]
+    kinds = ", ".join(ENCODED.split(", ")[:7])
     scored = coded.select(*small, "symbols").mapInArrow(run, f"{kinds}, hidden double")
     rare = coded.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
     # sums of integers first where they can be, so that the order of rows does not show
@@ -279,5 +341,5 @@ def score(documents: DataFrame) -> DataFrame:
     extra = F.coalesce("looked_up", F.lit(0.0))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"), (F.col("hidden") + F.col("pool") + extra - F.col("n_rare") * pool).alias("score"),
+        F.round(F.col("base") + extra, 9).alias("base_score"), F.round(F.col("hidden") + F.col("pool") + extra, 9).alias("score"),
     )

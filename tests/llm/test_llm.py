@@ -626,16 +626,60 @@ def test_forward_equals_enumeration():
     rng = np.random.default_rng(2)
     start, trans, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T
     model = lm.Hmm(start, trans, emit)
-    texts = [np.array(x, np.uint16) for x in ([0, 3, 4, 1], [2], [1, 1])]
+    texts = [np.array(x, np.uint32) for x in ([0, 3, 4, 1], [2], [1, 1])]
     for t, got in zip(texts, model.log10_likelihoods(texts), strict=True):
         total = 0.0
         for code in range(3 ** len(t)):
             s = [code // 3**i % 3 for i in range(len(t))]
             total += start[s[0]] * emit[t[0], s[0]] * np.prod([trans[a, b] * emit[x, b] for a, b, x in zip(s, s[1:], t[1:], strict=False)])
         assert got == pytest.approx(log10(total))
-    before = model.log10_likelihoods(texts).sum()
-    after = lm.Hmm.fitted(*model.counts(texts), np.full(5, 1e-9)).log10_likelihoods(texts * 1)
-    assert np.isfinite(after).all() and np.isfinite(before)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 1024])
+def test_counts_equal_enumeration(monkeypatch, stretch):
+    monkeypatch.setattr(lm, "STRETCH", stretch)
+    monkeypatch.setattr(lm, "CELLS", 12)
+    rng = np.random.default_rng(3)
+    model = lm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    texts = [np.array(x, np.uint32) for x in ([0, 3, 4, 1, 1, 2, 0], [2], [1, 1], [4, 0, 2, 2, 3], [3, 3, 3, 0])]
+    starts, moves, shown = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for t in texts:
+        ways = [[code // 3**i % 3 for i in range(len(t))] for code in range(3 ** len(t))]
+        p = np.array([model.start[w[0]] * np.prod([model.trans[a, b] for a, b in zip(w, w[1:], strict=False)]) * np.prod([model.emit[x, k] for x, k in zip(t, w, strict=True)]) for w in ways])
+        for w, q in zip(ways, p / p.sum(), strict=True):
+            starts[w[0]] += q
+            for a, b in zip(w, w[1:], strict=False):
+                moves[a, b] += q
+            for x, k in zip(t, w, strict=True):
+                shown[x, k] += q
+    for got, want in zip(model.counts(texts), (starts, moves, shown), strict=True):
+        assert np.allclose(got, want)
+
+
+def test_likelihood_rises():
+    rng = np.random.default_rng(4)
+    model = lm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(7), 3).T)
+    texts = [np.array(rng.integers(0, 3 if i % 2 else 7, rng.integers(1, 60)), np.uint32) for i in range(80)]
+    seen = []
+    for _ in range(6):
+        seen.append(model.log10_likelihoods(texts).sum())
+        starts, moves, shown = model.counts(texts)
+        model = lm.Hmm(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), shown / shown.sum(axis=0))
+    assert all(b > a for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_words_share_out_the_whole_distribution(spark):
+    words = [(b"aaa", 9), (b"bb", 4), (b"xing", 3), (b"ying", 2), (b"c", 1), ("ä".encode(), 1)]
+    counts = spark.createDataFrame([(bytearray(w), c) for w, c in words], "word binary, c long")
+    old, lm.SYMBOLS = lm.SYMBOLS, 2
+    try:
+        vocab = lm.vocabulary(counts, 5)
+    finally:
+        lm.SYMBOLS = old
+    assert vocab.mass.sum() == pytest.approx(1) and vocab.size == 2 + vocab.classes + 1 and vocab.class_of(b"xing") == vocab.class_of(b"ying")
+    for k in range(vocab.classes):
+        inside = [c for w, c in words[2:] if vocab.class_of(w) == k]
+        assert vocab.mass[2 + k] == pytest.approx((sum(c + 0.5 for c in inside) + 0.5 / vocab.classes) / vocab.total)
 
 
 # the pipeline
