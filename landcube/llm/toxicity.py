@@ -129,10 +129,9 @@ class Model:
         for k, d in enumerate(numbered):
             y = span_labels(d) if k < len(a) else [0] * len(d)
             at = [i for i, v in enumerate(d) if v] or [(k * 7919) % max(1, len(d))]
-            for i in at[:8]:
-                own = range(i - SIDE, i + SIDE + 1)
-                if own[0] >= 0 and own[-1] < len(d):
-                    windows.append(([d[j] for j in own], [y[j] for j in own]))
+            edge, none = [len(self.emit)] * SIDE, [0] * SIDE  # beyond the text: a symbol that is always clean
+            wide, marks = [*edge, *d, *edge], [*none, *y, *none]
+            windows += [(wide[i : i + 2 * SIDE + 1], marks[i : i + 2 * SIDE + 1]) for i in at if i < len(d)]
         if windows:
             self._train(np.array([w[0] for w in windows]), np.array([w[1] for w in windows]))
         self.powers: list[tuple[float, float, float, float]] = []
@@ -148,16 +147,18 @@ class Model:
         return found
 
     def _train(self, x: np.ndarray, y: np.ndarray, steps: int = 120) -> None:
-        seen = np.bincount(x.ravel(), minlength=len(self.emit)).astype(float)
-        on = np.bincount(x.ravel(), weights=y.ravel(), minlength=len(self.emit))
+        size = len(self.emit) + 1
+        seen, on = np.bincount(x.ravel(), minlength=size).astype(float), np.bincount(x.ravel(), weights=y.ravel(), minlength=size)
+        emit = np.append(self.emit, -40.0)
         pairs = np.zeros((2, 2))
         np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
         for k in range(steps):
-            p, expected = chain_counts(x, self.emit, self.trans)
-            away = on - np.bincount(x.ravel(), weights=p.ravel(), minlength=len(self.emit)) - 0.5 * self.emit
+            p, expected = chain_counts(x, emit, self.trans)
+            away = on - np.bincount(x.ravel(), weights=p.ravel(), minlength=size) - 0.5 * emit
             rate = 4.0 / (1 + k / 40)
-            self.emit += rate * away / (seen + 1)
-            self.trans += rate * (pairs - expected - 0.5 * self.trans) / (pairs.sum(axis=1, keepdims=True) + 1)
+            emit[:-1] = np.clip(emit + rate * away / (seen + 1), -30, 30)[:-1]
+            self.trans = np.clip(self.trans + rate * (pairs - expected - 0.5 * self.trans) / (pairs.sum(axis=1, keepdims=True) + 1), -15, 15)
+        self.emit = emit[:-1]
 
     def _neutral(self) -> None:
         step = np.exp(self.trans) * np.array([1.0, np.exp(self.emit[0])])
@@ -167,6 +168,17 @@ class Model:
             power = power @ step
             power /= power.sum()
 
+    def power(self, n: int) -> tuple[float, float, float, float]:
+        """The neutral step ``n`` times over, up to a factor; what is beyond the table is put together from its last."""
+        most = len(self.powers) - 1
+        if n <= most:
+            return self.powers[n]
+        whole, base = np.array(self.powers[n % most]).reshape(2, 2), np.array(self.powers[most]).reshape(2, 2)
+        for _ in range(n // most):
+            whole = whole @ base
+            whole /= whole.sum()
+        return tuple(whole.ravel().tolist())
+
     def marginals(self, numbers: list[int], hits: list[tuple[int, int]] | None = None) -> list[tuple[int, float]]:
         """(place, P(toxic)) of every token with a weighted word."""
         if hits is None:
@@ -174,14 +186,16 @@ class Model:
         if not hits:
             return []
         (t00, t01), (t10, t11) = np.exp(self.trans).tolist()
-        emit, last = self.emit, len(self.powers) - 1
+        emit = self.emit
         ahead, a0, a1, before = [], 1.0, 1.0, -1
         for i, v in hits:
-            p00, p01, p10, p11 = self.powers[min(i - before - 1, last)]
             e = exp(float(emit[v]))
-            if before < 0 and i == 0:
+            if i == 0:
                 a0, a1 = 1.0, e
-            else:  # the first token has no transition into it; a long way on this makes no difference
+            else:  # the first token has no transition into it
+                if before < 0:
+                    before, a0, a1 = 0, 1.0, exp(float(emit[0]))
+                p00, p01, p10, p11 = self.power(i - before - 1)
                 b0, b1 = a0 * p00 + a1 * p10, a0 * p01 + a1 * p11
                 a0, a1 = b0 * t00 + b1 * t10, (b0 * t01 + b1 * t11) * e
             z = a0 + a1
@@ -195,7 +209,7 @@ class Model:
                 c0, c1 = t00 * b0 + t01 * e * b1, t10 * b0 + t11 * e * b1
             else:
                 c0, c1 = 1.0, 1.0
-            p00, p01, p10, p11 = self.powers[min(after - i - 1, last)]
+            p00, p01, p10, p11 = self.power(after - i - 1)
             b0, b1 = p00 * c0 + p01 * c1, p10 * c0 + p11 * c1
             z = b0 + b1
             b0, b1, after = b0 / z, b1 / z, i

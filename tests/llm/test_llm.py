@@ -487,6 +487,41 @@ def test_forward_backward_equals_enumeration():
         assert p == pytest.approx(on[place] / weight)
 
 
+def test_long_ways_between_words_are_exact():
+    model = toxicity.Model([], [])
+    model.emit, model.trans, model.powers = np.array([-0.01, 2.0]), np.array([[0.02, -0.01], [0.01, 0.0]]), []
+    model._neutral()
+    x = [0, 1, *[0] * 1300, 1, 0, 0]
+    want, _ = toxicity.chain_counts(np.array([x]), model.emit, model.trans)
+    assert [p for _, p in model.marginals(x)] == pytest.approx([want[0, 1], want[0, 1302]])
+
+
+def test_chain_learns_by_the_gradient():
+    """The step's direction is the gradient of the exact log-likelihood, by differences."""
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 3, (6, 5)), rng.integers(0, 2, (6, 5))
+    emit, trans = rng.normal(size=3), rng.normal(size=(2, 2))
+
+    def likelihood(emit, trans):
+        total = 0.0
+        for row, own in zip(x, y, strict=True):
+            score = lambda s: sum(emit[v] * k for v, k in zip(row, s, strict=True)) + sum(trans[a, b] for a, b in zip(s, s[1:], strict=False))
+            total += score(own) - np.log(sum(np.exp(score([c >> i & 1 for i in range(5)])) for c in range(32)))
+        return total
+
+    p, expected = toxicity.chain_counts(x, emit, trans)
+    pairs = np.zeros((2, 2))
+    np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+    for j in range(3):
+        up = emit + 1e-5 * np.eye(3)[j]
+        assert (likelihood(up, trans) - likelihood(emit, trans)) / 1e-5 == pytest.approx((y - p)[x == j].sum(), abs=1e-3)
+    for a in (0, 1):
+        for b in (0, 1):
+            up = trans.copy()
+            up[a, b] += 1e-5
+            assert (likelihood(emit, up) - likelihood(emit, trans)) / 1e-5 == pytest.approx(pairs[a, b] - expected[a, b], abs=1e-3)
+
+
 def test_spans_point_at_words():
     model = toxicity.Model(["you IDIOT stop", "idiot one", "an idiot two", "idiot three", "big idiot"] * 2, [f"fine text {i}" for i in range(40)])
     _, spans = model.read("What an Idiot, really")
