@@ -763,7 +763,7 @@ def test_pipeline_stage_by_stage(spark):
         elif name == "line_dedup":
             want = dict(zip(sorted(before), brute_lines(sorted(before.items())), strict=True))
         elif name == "simhash_dedup":
-            root = brute_components({i: simhash.fingerprint(t) for i, t in before.items()})
+            root, _ = brute_near_copies(before)
             want = {i: t for i, t in before.items() if root[i] == i}
         else:
             judged = {i: brute_contamination(t, items) for i, t in before.items()}
@@ -822,6 +822,34 @@ def test_near_duplicate_stage_against_jaccard(spark, monkeypatch):
     assert set(texts_of(cp.drop_near_duplicates(spark, frame, SF))) == {i for i, r in found.items() if i == r}
 
 
+def test_pipeline_judges_rows_that_share_an_id(spark):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as cp
+    from landcube.llm.common import table
+
+    rng = random.Random(13)
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    copy = " ".join(f"n{rng.randrange(999)}" for _ in range(80))
+    toxic = next(r["text"] for r in toxicity.scored(table(spark, SF, "documents"), table(spark, SF, "labels"), ["text"]).where("_score > 0.6").collect())
+    texts = ["a clean one of its own", toxic, items[0][1], copy, copy + " end", "a\nb\nc", "c\na\nb", None, "", "another clean one"]
+    rows = [(i, t) for i in (7, None, 8) for t in texts] + [(7, copy), (7, "a clean one of its own")]
+    frame = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(cp.STAGES)
+    pairs = lambda f: Counter((r["doc_id"], r["text"]) for r in f.collect())
+    whole = table(spark, SF, "documents").unionByName(frame.withColumn("doc_id", frame["doc_id"] + 10**9).withColumn("source", F.lit("test")))
+    assert pairs(stages["toxicity"](spark, whole, SF).where("source = 'test'")) == Counter((None if i is None else i + 10**9, t) for i, t in rows if t != toxic)
+    assert pairs(stages["line_dedup"](spark, frame, SF)) == Counter(zip([i for i, _ in rows], brute_lines(rows), strict=True))
+    assert pairs(stages["decontamination"](spark, frame, SF)) == Counter((i, t) for i, t in rows if not (h := brute_contamination(t, items))[1] or 20 * h[1] < h[0])
+    root, _ = brute_near_copies(dict(enumerate(t for _, t in rows)))
+    groups = {frozenset(k for k in root if root[k] == r) for r in root.values()}
+    kept = pairs(stages["simhash_dedup"](spark, frame, SF))
+    assert sum(kept.values()) == len(groups)
+    for g in groups:  # one row of each group, with its smallest id, null first
+        least = None if any(rows[k][0] is None for k in g) else min(rows[k][0] for k in g)
+        assert sum(n for (i, t), n in kept.items() if i == least and any(rows[k] == (i, t) for k in g)) >= 1
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline as cp
 
