@@ -5,8 +5,10 @@ in. No shard holds more than its quota: documents beyond it continue clockwise t
 With the default quotas (row counts at most one apart) balance is exact, and only what overflows moves.
 
 What decides is how many documents each arc has: a few hundred numbers, whatever the data's size. The sweep over them runs
-once on the driver and says, for each arc, which ranks go to which shard. Ranks come from a window over small hash buckets
-plus a running count of the buckets before, so no arc, shard or group of equal texts is ever in one task.
+once on the driver and says, for each arc, which ranks go to which shard. Ranks come from a window over small parts of
+hash buckets plus a running count of the parts before. Rows that are alike in all that is returned are one row with a
+count until they are ranked, and a bucket that one key fills is dealt by the rows' other values; so no arc, shard, key or
+group of equal texts is ever in one task.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landcube.llm.common import inline_rows, need
+from landcube.llm.common import inline_rows, materialize, need
 
 #: The ring's positions, a power of two; and the rows that a hash bucket should hold at most.
-POSITION_BITS, BUCKET_ROWS = 13, 50_000
+POSITION_BITS, BUCKET_ROWS, CHUNK = 13, 50_000, 10_000
 
 
 def ring(shards: int, replicas: int) -> tuple[list[int], list[int]]:
@@ -98,14 +100,23 @@ def shard(documents: DataFrame, shards: int = 16, replicas: int = 32, load_facto
     runs = bounded_loads(counts, owners, quotas_of(rows, shards, load_factor))
     spark = documents.sparkSession
     plan = inline_rows(spark, runs, "arc int, low long, high long, shard int, slot0 long")
-    before = Window.partitionBy("arc").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = tally.select("arc", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # as many rows as there are buckets: one for each BUCKET_ROWS documents, 2 ** POSITION_BITS at least
+    deals = tally.select("bucket", F.ceil(F.col("n") / BUCKET_ROWS).alias("deals"), F.col("arc").alias("own_arc"))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), point.alias("point"), bucket.alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy("point", "doc_id", "size", "text_crc32")
-    ranked = keyed.withColumn("nth", F.row_number().over(order) - 1).join(bases, "bucket").withColumn("rank", F.col("base") + F.col("nth"))
+    alike = ["point", "doc_id", "size", "text_crc32"]
+    groups = keyed.groupBy("bucket", *alike).agg(F.count("*").alias("n")).join(deals, "bucket")
+    groups = materialize(groups.withColumn("deal", F.pmod(F.xxhash64(*alike), F.col("deals"))).drop("deals").withColumnRenamed("own_arc", "arc"), "groups")
+    before = Window.partitionBy("arc").orderBy("bucket", "deal").rowsBetween(Window.unboundedPreceding, -1)
+    bases = groups.groupBy("arc", "bucket", "deal").agg(F.sum("n").alias("m")).select("bucket", "deal", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    order = Window.partitionBy("bucket", "deal").orderBy(*alike).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = groups.withColumn("nth", F.coalesce(F.sum("n").over(order), F.lit(0))).join(materialize(bases, "bases"), ["bucket", "deal"])
+    # equal rows apart again, in two steps, so that the numbers of none are one long array
+    many = ranked.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    each = many.withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n") - 1, F.col("chunk") * CHUNK + CHUNK - 1))))
+    each = each.withColumn("rank", F.col("base") + F.col("nth") + F.col("k"))
     # the plan has at most two rows for each arc and shard: bounded by the ring, not by the data
-    found = ranked.join(F.broadcast(plan), [ranked["arc"] == plan["arc"], F.col("rank") >= F.col("low"), F.col("rank") < F.col("high")])
+    found = each.join(F.broadcast(plan.withColumnRenamed("arc", "plan_arc")), [F.col("arc") == F.col("plan_arc"), F.col("rank") >= F.col("low"), F.col("rank") < F.col("high")])
     return found.select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("low")).alias("slot"))
 
 

@@ -282,6 +282,27 @@ def test_sharding(documents, none, spark):
     assert sorted(Counter(r["shard"] for r in sharding.shard_table(lone).collect()).values()) == [3] * 14 + [4] * 2
 
 
+def test_sharding_of_hot_keys(spark, monkeypatch):
+    """One key and one text in a third of the rows each, dealt in small parts; held against a ring walked row by row."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(sharding, "CHUNK", 5)
+    rows = [(None, f"t{i}") for i in range(90)] + [(None, "same")] * 80 + [(i, "same") for i in range(100)] + [(5, "same")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_table(frame).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(own) == list(range(len(own))) for own in by.values())
+    arcs, owners = sharding.ring(16, 32)
+    points = [r["p"] for r in frame.selectExpr("shiftrightunsigned(xxhash64(doc_id), 51) p").collect()]
+    counts = Counter(arcs[p] for p in points)
+    where = brute_ring([counts[a] for a in range(len(owners))], owners, sharding.quotas_of(len(rows), 16, 1.0))
+    assert Counter(r["shard"] for r in got) == Counter(where.values())
+    arc_of = {i: arcs[p] for (i, _), p in zip(rows, points, strict=True)}
+    assert Counter((arc_of[r["doc_id"]], r["shard"]) for r in got) == Counter((a, s) for (a, _), s in where.items())
+
+
 def brute_ring(counts, owners, quotas):
     """Key by key: an own place first, then clockwise to the next arc whose shard has room."""
     room, where = list(quotas), {}
