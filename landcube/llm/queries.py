@@ -56,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_top_k": covertree.ORACLE_SQL,
+    "op3_suffix_dedup": suffix.ORACLE_SQL,
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op8_line_dedup": linededup.ORACLE_SQL,
 }

@@ -9,7 +9,7 @@ stretches with one anchor form a segment (at most ``LENGTH - GRAM + 1`` starts),
    Rows arrive sorted, so a task holds a batch of them and one row more, however many share an anchor.
 3. Where different segments share an anchor, their bytes are fetched, and a suffix order cut off at ``LENGTH`` bytes tells
    which of their stretches are equal, and which of those is the earliest. Under an anchor with more than ``CROWD``
-   different segments the stretches are hashed one by one instead, and the earliest of equal ones is an aggregate.
+   different segments every stretch becomes a segment of its own, under its own hash, and step 2 is taken for them.
 4. The marked starts of a document are united to removed runs.
 
 An anchor may be in a third of all documents, in as many surroundings: a licence line, say. Anchors with a share of
@@ -44,8 +44,8 @@ HOT, HOT_COUNT, SAMPLE = 2000, 30, 32
 SEGMENTS = "kind int, key long, same long, doc_id long, tie long, start long, n int"
 NAMES = [part.split()[0] for part in SEGMENTS.split(", ")]
 PLACE = ["doc_id", "tie", "start"]
-#: Different segments under one anchor that are ordered together at most.
-CROWD = 5000
+#: Different segments under one anchor that are ordered together at most: 3.4 MB of bytes, which take some 80 times that.
+CROWD = 20_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -318,23 +318,22 @@ def resolved(shared: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def resolved_one_by_one(shared: DataFrame, documents: DataFrame) -> DataFrame:
-    """The same for crowded anchors: every stretch under 128 bits of its own hash, no anchor in one task."""
+    """The same for crowded anchors: every stretch is a segment of its own, under 128 bits of its own hash."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            digests, places = [], []
             for _, doc, tie, start, part in fetched(batch):
                 for i in range(len(part) - LENGTH + 1):
-                    for column, value in zip(out, (xxhash.xxh3_128_digest(part[i : i + LENGTH]), doc, tie, start + i), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["own", *PLACE])
+                    digests.append(xxhash.xxh3_128_digest(part[i : i + LENGTH]))
+                    places.append((doc, tie, start + i))
+            own = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            place = np.array(places, np.int64).reshape(-1, 3)
+            yield _out(0, [own[:, 0], own[:, 1], *place.T, np.ones(len(own))], np.arange(len(own)))
 
-    stretches = materialize(wanted_texts(shared, documents).mapInArrow(fetch, "own binary, doc_id long, tie long, start long"), "stretches")
-    place = F.struct(*PLACE)
-    first = materialize(stretches.groupBy("own").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "first")
-    return stretches.join(first, "own").where(place > F.col("first")).select(*PLACE, F.lit(1).alias("n"))
+    return matched(wanted_texts(shared, documents).mapInArrow(fetch, SEGMENTS)).where("kind = 1").select(*PLACE, "n")
 
 
 def removed_runs(documents: DataFrame) -> DataFrame:
@@ -412,3 +411,17 @@ def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[int, int, int, str]]
         kept = bytes(b for b, g in zip(text, gone, strict=True) if not g)
         out[doc] = (len(text), sum(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT rid, doc_id, st, md5(substr(h, 2 * st + 1, 200)) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS st FROM d)),
+later AS (SELECT rid, st FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, st) > 1),
+step AS (SELECT *, CASE WHEN st <= lag(st) OVER (PARTITION BY rid ORDER BY st) + 100 THEN 0 ELSE 1 END AS new FROM later),
+run AS (SELECT rid, min(st) AS a, max(st) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY st) AS k FROM step) GROUP BY rid, k),
+edge AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS z FROM (SELECT rid, a, b FROM run UNION ALL SELECT rid, len(h) // 2, NULL FROM d)),
+kept AS (SELECT rid, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS k FROM edge JOIN d USING (rid) GROUP BY rid),
+cut AS (SELECT rid, sum(b - a) AS n, count(*) AS m FROM run GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(m, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (rid) LEFT JOIN cut USING (rid)
+"""
