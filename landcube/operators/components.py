@@ -47,6 +47,8 @@ def regions(mask: DataFrame, columns: int, tile: int = TILE) -> DataFrame:
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     moved = rim.select("label", F.explode(around).alias("o"), "r", "c").select(F.col("label").alias("a"), (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
     links = written(moved.join(rim.select("r", "c", F.col("label").alias("b")), ["r", "c"]).where("a <> b").select("a", "b").distinct(), "links")
+    if links.isEmpty():
+        return local.select("r", "c", F.col("label").alias("region"))
     labels = written(links.select(F.col("a").alias("label"), F.col("a").alias("root")).distinct(), "labels")
     while True:
         near = links.join(labels, F.col("b") == F.col("label")).groupBy("a").agg(F.min("root").alias("m"))
