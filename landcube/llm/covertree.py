@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from landcube.llm.common import materialize, need
 
-PIVOTS, BLOCK, PART, LEAF, ASKING, SHRINK, LISTED = 1024, 4096, 2048, 32, 4, 0.85, 4096
+PIVOTS, BLOCK, PART, LEAF, ASKING, SHRINK, LISTED = 1024, 4096, 2048, 128, 4, 0.85, 4096
 FOUND = "query_id long, vec_id long, score long"
 LONG = 2**63 - 1
 
@@ -147,7 +147,9 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, worst: np.ndarray, d
             continue
         ahead, under = left.children[a], right.children[b]
         if len(ahead) and (not len(under) or left.radius[a] > right.radius[b]):
-            stack += sorted((float(bounds(int(c), np.array([b]))[0]), int(c), b) for c in ahead)
+            ips = left.points[ahead] @ right.points[b]  # the bound is the same from either side
+            tops = highest(ips, left.norm[ahead], left.radius[ahead], left.most[ahead], right.norm[b], right.radius[b], right.most[b])
+            stack += sorted(zip(tops.tolist(), ahead.tolist(), [b] * len(ahead), strict=True))
         elif len(under):
             tops = bounds(a, under)
             good = tops >= kth(a)
