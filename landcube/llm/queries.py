@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landcube.llm import covertree, decontamination, html, linededup, lm, mixing, packing, sharding, simhash, suffix, toxicity
+from landcube.llm import alignment, covertree, decontamination, html, linededup, lm, mixing, packing, sharding, simhash, suffix, toxicity
 from landcube.llm.common import table
 
 
@@ -54,8 +54,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_simhash, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_html_extraction, op10_language_model, op11_mixing)
+    f.__name__: f for f in (op1_exact_top_k, op2_simhash, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_html_extraction, op10_language_model, op11_mixing, op12_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {
