@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landcube.functions import geo
 from landcube.functions import indices as ix
-from landcube.operators import components, morphology
+from landcube.operators import components, halo
 from landcube.operators.composite import CHANNELS
 
 
@@ -42,8 +42,7 @@ def smoothed(classified: DataFrame, columns: int, pixels: int, above: int = 50,
     ``classified`` is read twice, so it should be a written table. Pixels that it doesn't have get no class.
     """
     found = classified.where("class = 3").select(F.floor(F.col("px") / columns).alias("r"), (F.col("px") % columns).alias("c"))
-    soft = morphology.smooth(found, columns, pixels)
-    kept = components.large_regions(components.regions(soft, columns, tile), above).select((F.col("r") * columns + F.col("c")).alias("_px"))
+    kept = components.large_regions(components.regions(found, columns, tile, pixels=pixels, chain=halo.smooth()), above).select((F.col("r") * columns + F.col("c")).alias("_px"))
     joined = classified.join(kept, F.col("px") == F.col("_px"), "left")
     return joined.withColumn("class", F.when(F.col("_px").isNotNull(), 3).otherwise(0)).drop("_px")
 

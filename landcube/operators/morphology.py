@@ -1,82 +1,45 @@
-"""Neighbourhood operators on sparse masks (r, c): offsets are exploded, so the work grows with the mask.
-
-Pixels outside the image are ignored, as a window cut off at the edge. An even window of size k reaches from -(k // 2) to
-k - k // 2 - 1. The blur mirrors at the edge without repeating it.
-"""
+"""Neighbourhood operators on sparse masks (r, c): each is a chain of windows run tile by tile after one halo exchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-# One row of the 5 x 5 blur, in sixteenths.
-BLUR = (1, 4, 6, 4, 1)
-
-
-def reach(size: int) -> range:
-    return range(-(size // 2), size - size // 2)
-
+from pyspark.sql import DataFrame
 
-def offsets(height: int, width: int) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach(height) for j in reach(width)])
+from landcube.operators import halo
+from landcube.operators.halo import TILE
 
 
-def inside(r: Column, c: Column, columns: int, pixels: int) -> Column:
-    return (r >= 0) & (c >= 0) & (c < columns) & (r * columns + c < pixels)
+def dilate(mask: DataFrame, columns: int, pixels: int, height: int, width: int | None = None, tile: int = TILE) -> DataFrame:
+    return halo.through(mask, columns, pixels, halo.dilate(height, width), tile)
 
 
-def dilate(mask: DataFrame, columns: int, pixels: int, height: int, width: int | None = None) -> DataFrame:
-    moved = mask.select("r", "c", F.explode(offsets(height, width or height)).alias("o"))
-    moved = moved.select((F.col("r") - F.col("o.i")).alias("r"), (F.col("c") - F.col("o.j")).alias("c"))
-    return moved.where(inside(F.col("r"), F.col("c"), columns, pixels)).distinct()
+def erode(mask: DataFrame, columns: int, pixels: int, height: int, width: int | None = None, tile: int = TILE) -> DataFrame:
+    """Pixels whose window, as far as it lies in the image, is all in the mask."""
+    return halo.through(mask, columns, pixels, halo.erode(height, width), tile)
 
 
-def erode(mask: DataFrame, columns: int, pixels: int, height: int, width: int | None = None) -> DataFrame:
-    """Pixels whose window, as far as it lies in the image, is all in the mask; with odd windows their own pixel is too."""
-    width = width or height
-    seen = mask.select("r", "c", F.explode(offsets(height, width)).alias("o"))
-    seen = seen.select((F.col("r") - F.col("o.i")).alias("r"), (F.col("c") - F.col("o.j")).alias("c")).where(inside(F.col("r"), F.col("c"), columns, pixels))
-    counted = seen.groupBy("r", "c").agg(F.count("*").alias("n"))
-    needed = sum((F.when(inside(F.col("r") + i, F.col("c") + j, columns, pixels), 1).otherwise(0) for i in reach(height) for j in reach(width)), F.lit(0))
-    return counted.where(F.col("n") == needed).select("r", "c")
+def close(mask: DataFrame, columns: int, pixels: int, height: int, width: int | None = None, tile: int = TILE) -> DataFrame:
+    return halo.through(mask, columns, pixels, halo.close(height, width), tile)
 
 
-def close(mask: DataFrame, columns: int, pixels: int, height: int, width: int | None = None) -> DataFrame:
-    return erode(dilate(mask, columns, pixels, height, width), columns, pixels, height, width)
+def opened(mask: DataFrame, columns: int, pixels: int, height: int, width: int | None = None, tile: int = TILE) -> DataFrame:
+    return halo.through(mask, columns, pixels, halo.opened(height, width), tile)
 
 
-def opened(mask: DataFrame, columns: int, pixels: int, height: int, width: int | None = None) -> DataFrame:
-    return dilate(erode(mask, columns, pixels, height, width), columns, pixels, height, width)
-
-
-def border(mask: DataFrame, columns: int, pixels: int, size: int = 4) -> DataFrame:
+def border(mask: DataFrame, columns: int, pixels: int, size: int = 4, tile: int = TILE) -> DataFrame:
     """What a dilation adds."""
-    return dilate(mask, columns, pixels, size).join(mask, ["r", "c"], "left_anti")
+    return halo.through(mask, columns, pixels, halo.border(size), tile)
 
 
-def thin_lines(mask: DataFrame, columns: int, pixels: int, length: int = 13) -> DataFrame:
+def thin_lines(mask: DataFrame, columns: int, pixels: int, length: int = 13, tile: int = TILE) -> DataFrame:
     """Long thin parts: opened along rows or along columns, then closed."""
-    along = opened(mask, columns, pixels, 1, length).union(opened(mask, columns, pixels, length, 1)).distinct()
-    return close(along, columns, pixels, 3)
+    return halo.through(mask, columns, pixels, halo.thin_lines(length), tile)
 
 
-def blur(mask: DataFrame, rows: int, columns: int) -> DataFrame:
+def blur(mask: DataFrame, rows: int, columns: int, tile: int = TILE) -> DataFrame:
     """(r, c, v) of the mask (as 0 and 1) under a 5 x 5 binomial blur, where v is above 0."""
-
-    def spread(x: str, n: int) -> Column:
-        # to which target a pixel sends which weight, its mirror images at both edges included
-        images = [F.col(x), *([-F.col(x), 2 * (n - 1) - F.col(x)] if n > 1 else [])]
-        sent = [(F.when(F.lit(k == 0) | (im != F.col(x)), im) + d, w) for k, im in enumerate(images) for d, w in zip(reach(5), BLUR, strict=True)]
-        made = F.array(*[F.struct(p.cast("int").alias("p"), F.lit(w).alias("w")) for p, w in sent])
-        return F.filter(made, lambda s: s["p"].isNotNull() & (s["p"] >= 0) & (s["p"] < n))
-
-    rows_sent = mask.select("c", F.explode(spread("r", rows)).alias("y"))
-    both = rows_sent.select("y", F.explode(spread("c", columns)).alias("x"))
-    return both.groupBy(F.col("y.p").alias("r"), F.col("x.p").alias("c")).agg((F.sum(F.col("y.w") * F.col("x.w")) / 256).alias("v"))
+    return halo.through(mask, columns, rows * columns, halo.BLURRED, tile, schema="r long, c long, v double")
 
 
-def smooth(mask: DataFrame, columns: int, pixels: int, threshold: float = 0.4) -> DataFrame:
+def smooth(mask: DataFrame, columns: int, pixels: int, threshold: float = 0.4, tile: int = TILE) -> DataFrame:
     """Close 5 x 5, blur, and keep what is above the threshold, within the image (its last row may be partial)."""
-    closed = close(mask, columns, pixels, 5)
-    soft = blur(closed, -(-pixels // columns), columns).where(F.col("v") > threshold)
-    return soft.where(inside(F.col("r"), F.col("c"), columns, pixels)).select(F.col("r").cast("long"), F.col("c").cast("long"))
+    return halo.through(mask, columns, pixels, halo.smooth(threshold), tile)

@@ -135,7 +135,7 @@ def _soft(source: str, name: str) -> str:
 CLASSES = f"""{TIERS}, {_GRID}, cand AS (SELECT px // w AS r, px % w AS c FROM tiers, g WHERE tier > 0), {_soft("cand", "soft")}, {_regions("soft", "reg")},
 big AS (SELECT r * w + c AS px FROM reg, g WHERE region IN (SELECT region FROM reg GROUP BY 1 HAVING count(*) > 50)),
 cls AS (SELECT tiers.*, CASE WHEN big.px IS NULL THEN 0 ELSE 3 END AS class FROM tiers LEFT JOIN big USING (px))"""
-# a closed mask with the holes filled: background that does not touch the region of pixel (0, 0)
+# a closed mask with the holes filled: background that is not 4-connected to pixel (0, 0)
 _HOLES = """bg AS (SELECT y AS r, x AS c FROM (SELECT unnest(range(h * w)) // w AS y, unnest(range(h * w)) % w AS x FROM grid) WHERE (y, x) NOT IN (SELECT (r, c) FROM {0})), """
 _THIN = ", ".join([
     _erode("mask", "e1", "0, 1", "-1, 1"), _dilate("e1", "o1", "0, 1", "-1, 1"), _erode("mask", "e2", "-1, 1", "0, 1"), _dilate("e2", "o2", "-1, 1", "0, 1"),
@@ -211,9 +211,9 @@ UNION ALL SELECT change_type || '_new', change_type || '_new', '128,128,128', pi
     "thin_lines": _q(f"{MASK}, {_THIN}", "SELECT r, c FROM e3"),
     "regions": _q(MASK + ", " + _regions("mask", "lab"), "SELECT r, c, region FROM lab", True),
     "regions_filtered": _q(MASK + ", " + _regions("mask", "lab"), "SELECT r, c, region FROM lab WHERE region IN (SELECT region FROM lab GROUP BY 1 HAVING count(*) > 3)", True),
-    "holes_filled": _q(f"{MASK}, {_HOLES.format('mask')}{_regions('bg', 'out')}", """SELECT r, c FROM mask
+    "holes_filled": _q(f"{MASK}, {_HOLES.format('mask')}{_regions('bg', 'out', 4)}", """SELECT r, c FROM mask
 UNION ALL SELECT r, c FROM out WHERE region NOT IN (SELECT region FROM out WHERE r = 0 AND c = 0)""", True),
-    "solid_regions": _q(f"""{MASK}, {_closed("mask", "cl", "-1, 2")}, {_HOLES.format("cl")}{_regions("bg", "out")},
+    "solid_regions": _q(f"""{MASK}, {_closed("mask", "cl", "-1, 2")}, {_HOLES.format("cl")}{_regions("bg", "out", 4)},
 whole AS (SELECT r, c FROM cl UNION ALL SELECT o.r, o.c FROM out o, g WHERE region NOT IN (SELECT region FROM out WHERE r = 0 AND c = 0) AND o.r * w + o.c < npx), {_regions("whole", "lab")}""",
         "SELECT r, c, region FROM lab WHERE region IN (SELECT region FROM lab GROUP BY 1 HAVING count(*) >= 8)", True),
     "resample_bilinear": _q(MASK, """SELECT y AS r, x AS c, round(sum(wy * wx * nir) / sum(wy * wx), 9) AS nir FROM
