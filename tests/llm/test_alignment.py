@@ -69,9 +69,8 @@ def found(frame):
 ODD = [None, "", " ", "   ", "  a  b\r\n\t\tc ", "one two", "a▁b", "<|endoftext|> and <s> </s>", "\x00\x01 x", "é é ÄÖ ñ", "😀😀 ال 中文字符 ก็", "don't won't  we'll", "x" * 5000, " " * 3000 + "y", "\n" * 500, "日" * 400, "12345 67,8.9!?", "aA" * 700, "one two", "    　z", "the cat " * 40, "ends  \n", "ends \n\n", " \n"]
 
 
-@pytest.mark.parametrize("block, links", [(8_000_000, 1_000_000), (50, 7)])
-def test_measures(spark, plain, monkeypatch, block, links):
-    monkeypatch.setattr(alignment, "LINKS", links)
+@pytest.mark.parametrize("block", [8_000_000, 50])
+def test_measures(spark, plain, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(5, "one two"), (None, "one two"), (None, None)]
     docs = spark.createDataFrame([(i, t, 1, b"x", 2, 3, 4) for i, t in rows], "doc_id long, text string, n int, key binary, block int, pair int, a int")
@@ -95,6 +94,27 @@ def test_links_of_one_large_group():
         assert dict(zip(pairs.tolist(), times.tolist(), strict=True)) == own
 
 
+@pytest.mark.parametrize("links", [1, 7, 60])
+def test_links_of_many_groups(monkeypatch, links):
+    monkeypatch.setattr(alignment, "LINKS", links)
+    rng = np.random.default_rng(links)
+    na, nb = rng.integers(1, 6, 40), rng.integers(1, 6, 40)
+    a, b = rng.integers(0, 4, na.sum()), rng.integers(0, 4, nb.sum())
+    own, at_a, at_b = Counter(), 0, 0
+    for x, y in zip(na, nb, strict=True):
+        own.update(int(i) * 10 + int(j) for i in a[at_a : at_a + x] for j in b[at_b : at_b + y])
+        at_a, at_b = at_a + x, at_b + y
+    pairs, times = alignment.linked(a, b, na, nb, 10)
+    assert pairs.tolist() == sorted(own) and times.tolist() == [own[p] for p in sorted(own)]
+
+
+def test_long_texts_have_the_same_digest(plain, monkeypatch):
+    text = "Words, more words; a1 b2 " * 50
+    whole = alignment.aligner(alignment.tokenizer_paths())(text)
+    monkeypatch.setattr(alignment, "LINKS", 11)
+    assert alignment.aligner(alignment.tokenizer_paths())(text)[:5] == whole[:5]
+
+
 def test_whole_table(spark, plain):
     docs = table(spark, SF, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
