@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landcube.llm import alignment, covertree, decontamination, html, linededup, lm, mixing, packing, sharding, simhash, suffix, toxicity
+from landcube.llm import alignment, covertree, decontamination, divergence, html, linededup, lm, mixing, packing, sharding, simhash, suffix, toxicity
 from landcube.llm.common import table
 
 
@@ -58,8 +58,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_simhash, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_html_extraction, op10_language_model, op11_mixing, op12_alignment)
+    f.__name__: f for f in (op1_exact_top_k, op2_simhash, op3_suffix_dedup, op4_sharding, op5_decontamination, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_html_extraction, op10_language_model, op11_mixing, op12_alignment, op13_divergence)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -68,4 +72,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op8_line_dedup": linededup.ORACLE_SQL,
     "op11_mixing": mixing.ORACLE_SQL,
+    "op13_divergence": divergence.ORACLE_SQL,
 }
