@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from landcube.functions.indices import dequantize, is_clear
 from landcube.operators import store
+from landcube.sources import rastersource
 
 
 #: Endings that a band's file can have, in the order in which they are tried (fixed values).
@@ -32,6 +33,30 @@ def band_file(spark: SparkSession, folder: str, band: str) -> str:
     return found["path"]
 
 
+def band_cells(spark: SparkSession, folder: str, band: str) -> DataFrame:
+    """Cells (path, name, band, r, c, value) of a band's file, read by its rows; FileNotFoundError without any."""
+    return rastersource.cells(spark, band_file(spark, folder, band)).where("band = 0")
+
+
+def band_ground(spark: SparkSession, folder: str, band: str) -> DataFrame:
+    """The band's form and its place on the ground, as its file states them."""
+    return rastersource.info(spark, band_file(spark, folder, band), unreadable="fail")
+
+
+def year_scene(spark: SparkSession, path: str) -> DataFrame:
+    """r, c, ndvi, ndbi, ndwi and valid from an image of four 8-bit channels, PNG or TIFF; the fourth is the scene class."""
+    four = rastersource.cells(spark, path, wide="4")
+    u8 = {"ndvi_u8": F.col("b0"), "ndbi_u8": F.col("b1"), "ndwi_u8": F.col("b2"), "scl": F.col("b3").cast("int")}
+    return decoded(four.withColumns(u8)).select("r", "c", "ndvi", "ndbi", "ndwi", "valid")
+
+
+def rgb_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, name, r, c, red, green and blue of images; of grey ones all three are the grey, a fourth channel is left out."""
+    three = rastersource.cells(spark, path, pattern, wide="3")
+    grey = F.col("b2").isNull()
+    return three.select("path", "name", "r", "c", F.col("b0").cast("int").alias("red"), *[F.when(grey, F.col("b0")).otherwise(F.col(b)).cast("int").alias(n) for b, n in (("b1", "green"), ("b2", "blue"))])
+
+
 def listing(spark: SparkSession, folder: str, pattern: str, contains: str | None = None) -> DataFrame:
     """path, name, mb, tile_row and tile_col (from ``_row_col`` in the name) of the files that match, and whose name
     contains a text (a date, say)."""
