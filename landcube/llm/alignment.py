@@ -18,7 +18,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,75 +28,67 @@ from pyspark.sql import functions as F
 from landcube.llm.common import materialize, need
 from landcube.llm.packing import tokenizer_path
 
-#: Bytes of text in a block; links that are expanded at once; words kept with their ids in a Python worker.
-BLOCK_BYTES, LINKS, CACHED_WORDS = 8_000_000, 1_000_000, 300_000
+#: Bytes of text in a block; links that are expanded at once.
+BLOCK_BYTES, LINKS = 4_000_000, 1_000_000
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 ALIGNED = "key binary, n long, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at binary, times binary, pairs array<long>, rows array<long>"
 
 
 class ByteTokens:
-    """The byte-level tokenizer: ids of a text, and the bytes of every id."""
+    """The byte-level tokenizer: ids of a text, and the number of bytes of every id.
 
-    def __init__(self, json_path: str, ranks_path: str | None):
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
+    With the vocabulary's ranks, texts of settled characters take a faster way to the same ids; the tokenizer itself is
+    loaded when the first other text comes.
+    """
 
-        self.whole = Tokenizer.from_file(json_path)
-        self.whole.encode_special_tokens = True  # their strings in a text are plain text
-        # the tokenizer writes a byte as a printable character: itself, or the next one from 256 on
-        shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
-        back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        size = self.whole.get_vocab_size()
-        self.lengths = np.zeros(size, np.int64)
-        for token, i in self.whole.get_vocab(with_added_tokens=True).items():
-            self.lengths[i] = len([back[c] for c in token if c in back])
-        self.fast = None
+    def __init__(self, json_path: str, ranks_path: str | None):
+        self.json_path, self.fast = json_path, None
         if ranks_path:
+            import public_tokenizers
+            import tiktoken
+
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        # characters whose classes no version of Unicode moves; other texts go to the tokenizer itself
+            # an id beyond the ranks is a special token, which texts never have
+            self.lengths = np.zeros(max(ranks.values()) + 2, np.int64)
+            self.lengths[list(ranks.values())] = list(map(len, ranks))
+        else:
+            # the tokenizer writes a byte as one printable character
+            vocabulary = self.whole.get_vocab(with_added_tokens=False)
+            self.lengths = np.zeros(max(vocabulary.values()) + 2, np.int64)
+            self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
+        # characters whose classes no version of Unicode moves
         self.settled = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧]*").fullmatch
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.json_path)
+        made.encode_special_tokens = True  # their strings in a text are plain text
+        return made
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and self.settled(text):
             return np.array(self.fast.encode_ordinary(text), np.int64)
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
 
 
-class PieceTokens(dict):
-    """The piece tokenizer, word by word: no piece has a space behind another character, so words are encoded by themselves.
-
-    A mapping of words, with the spaces before them, to their ids' bytes. A word that doesn't come back as it was has none,
-    by which its text is known: the lengths don't add up.
-    """
+class PieceTokens:
+    """The piece tokenizer: ids of a text, and the bytes of every id."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        names = [self.model.id_to_piece(i) for i in range(size)]
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.by_word = not any(" " in b.decode("utf-8", "replace").lstrip(" ") for b in self.bytes)
-        self.split = re.compile(r" *[^ ]+(?: +\Z)?| +\Z").findall  # spaces at the end stay with the last word
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:  # the words met first stay: frequent ones are among them
-            first = list(islice(self.items(), CACHED_WORDS // 2))
-            self.clear()
-            self.update(first)
-        ids = self.model.encode(word[1:])
-        same = b"".join([self.bytes[i] for i in ids]) == word.encode()
-        self[word] = made = np.array(ids, "<i4").tobytes() if same else b""
-        return made
 
-    def __call__(self, text: str) -> np.ndarray:
-        """Ids of a text that begins with the space which the tokenizer adds."""
-        words = self.split(text) if self.by_word and "▁" not in text else [text]
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4").astype(np.int64)
+    def __call__(self, text: str) -> np.ndarray | None:
+        """Ids of a text without the space that the tokenizer adds; None if their bytes aren't that space and the text."""
+        ids = self.model.encode(text)
+        return np.array(ids, np.int64) if b"".join([self.bytes[i] for i in ids]) == b" " + text.encode() else None
 
 
 def merged(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,15 +135,13 @@ class Aligner:
 
     def __call__(self, text: str):
         """(n_a, n_b, n_groups, n_links, digest, pairs, times), or None if a tokenizer doesn't give the bytes back."""
-        text = " " + text
-        n = len(text.encode())
-        b = self.b(text)
-        ends_b = np.cumsum(self.b.lengths[b])
-        if not len(b) or ends_b[-1] != n:
+        if (b := self.b(text)) is None:
             return None
-        a = self.a(text)
+        ends_b = np.cumsum(self.b.lengths[b])
+        n = int(ends_b[-1])
+        a = self.a(" " + text)  # a byte-level tokenizer gives back every byte
         ends_a = np.cumsum(self.a.lengths[a])
-        if not len(a) or ends_a[-1] != n:
+        if ends_a[-1] != n:
             return None
         mark = np.zeros(n + 1, bool)
         mark[ends_b] = True
@@ -253,7 +243,7 @@ def _best(counted: DataFrame, width: int) -> DataFrame:
 def pair_counts(documents: DataFrame, paths: tuple[str, str | None, str] | None = None) -> DataFrame:
     """a, b, count, is_best: how many rows have an A id and a B id linked, and whether that is the A id's highest count."""
     paths = paths or tokenizer_paths()
-    width = len(aligner(paths).b.lengths)
+    width = len(PieceTokens(paths[2]).lengths)
     counted = _counted(_aligned(need(documents, "text"), paths))
     once = counted.groupBy("pair").agg(F.first("count").alias("count")).withColumns({"a": F.floor(F.col("pair") / width), "b": F.col("pair") % width})
     best = _best(counted, width)
@@ -269,7 +259,7 @@ def align(documents: DataFrame, paths: tuple[str, str | None, str] | None = None
     each count and each get the text's measures. An empty table gives no rows.
     """
     paths = paths or tokenizer_paths()
-    width = len(aligner(paths).b.lengths)
+    width = len(PieceTokens(paths[2]).lengths)
     aligned = _aligned(need(documents, "text"), paths)
     counted = _counted(aligned)
     best = F.broadcast(_best(counted, width))  # a row for each id of the vocabulary at most

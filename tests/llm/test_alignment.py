@@ -108,6 +108,14 @@ def test_links_of_many_groups(monkeypatch, links):
     assert pairs.tolist() == sorted(own) and times.tolist() == [own[p] for p in sorted(own)]
 
 
+def test_tokenizer_without_ranks(plain):
+    paths = alignment.tokenizer_paths()
+    alone, both = alignment.ByteTokens(paths[0], None), alignment.ByteTokens(*paths[:2])
+    assert alone.lengths.tolist() == both.lengths.tolist()
+    for text in filter(None, ODD):
+        assert alone(" " + text).tolist() == both(" " + text).tolist() == plain(text)[0]
+
+
 def test_long_texts_have_the_same_digest(plain, monkeypatch):
     text = "Words, more words; a1 b2 " * 50
     whole = alignment.aligner(alignment.tokenizer_paths())(text)
