@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landcube.functions import geo
 from landcube.functions import indices as ix
-from landcube.operators import change, composite, morphology, store, tiles, transitions
+from landcube.operators import blocks, change, composite, model, morphology, store, tiles, transitions
 from landcube.operators import components as regions_of
 from landcube.sources import cube as cubes
-from landcube.sources import raster, sinks
+from landcube.sources import raster, rastersource, sinks
 from landcube.sources.cube import table
 from landcube.sources.dimensions import change_classes
 from landcube.sources.shared import shared_path, written
+from landcube.streaming import cache
 from landcube.streaming import totals as streaming
 
 #: Dates of the two periods; which years stand for them is chosen from those there are.
@@ -157,6 +159,36 @@ def trend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.agg(F.count_if("falling").alias("falling"), F.count_if("rising").alias("rising"), F.count_if(F.col("trend") == 1).alias("shown_falling"), F.count_if(F.col("trend") == 2).alias("shown_rising"))
 
 
+#: A fixed linear model over years and indices: the later years count for, the earlier against.
+YEARS = list(range(1995, 2002))
+WEIGHTS = [[0.25 * (y - 1998) * w for w in (-0.5, 0.35, 0.15)] for y in YEARS]
+
+
+@query
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities that a model gives whole tiles, and the scores fused with them; a pixel's missing years are zeros."""
+    width, n = cubes.grid_width(spark, sf_dir)
+    cube = cubes.index_cube(spark, sf_dir)
+    tiled = blocks.to_blocks(cube, YEARS, list(composite.CHANNELS), 64)
+    probable = blocks.to_cells(model.segmented(tiled, model.linear_model(np.array(WEIGHTS), -0.1), [0], "p"), width, n, ["p"])
+    probable = probable.select((F.col("r") * width + F.col("c")).alias("px"), "p")
+    scored = change.fused(model.with_probability(_composites(spark, sf_dir).join(probable, "px"), F.col("p")), F.col("model_prob"))
+    return scored.select("px", *r6("model_prob", "prob"))
+
+
+@query
+def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years of the cube as padded blocks, written as TIFF tiles, read back by rows and placed by the tiles' names."""
+    tiled = blocks.to_blocks(cubes.pixel_cube(spark, sf_dir, [1996, 2001]), [1996, 2001], ["nir", "swir"], 32)
+    folder = shared_path(spark, "tiles")
+    sinks.write_files(blocks.encoded(tiled, "tif"), folder)
+    back = rastersource.cells(spark, folder, "*.tif", wide="2")
+    part = lambda k: F.split_part(F.regexp_replace("name", "[.]tif$", ""), F.lit("_"), F.lit(k)).cast("long")
+    width, n = cubes.grid_width(spark, sf_dir)
+    placed = back.select(part(2).cast("int").alias("yr"), (part(3) * 32 + F.col("r")).alias("r"), (part(4) * 32 + F.col("c")).alias("c"), F.round("b0", 6).alias("nir"), F.round("b1", 6).alias("swir"))
+    return placed.where((F.col("c") < width) & (F.col("r") * width + F.col("c") < n))
+
+
 @query
 def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed between the two periods: fused score, tiers, smoothed regions and trends, counted over the grid."""
@@ -475,6 +507,21 @@ def cache_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.expired(entries, now, 3).select("id", "key")
 
 
+@query
+def cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views answered by purchases of their key at most three days old, and purchases as they expire, from a stream."""
+    events = table(spark, sf_dir, "events").where("event_type in ('purchase', 'view')")
+    kind = F.when(F.col("event_type") == "purchase", F.lit(cache.ENTRY)).otherwise(F.lit(cache.REQUEST))
+    made = events.select(_key().alias("key"), F.col("event_id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    folder, day = shared_path(spark, "arrivals"), F.dayofmonth("ts")
+    for first in range(1, 32, 6):  # arrivals of six days each, in the order of time
+        made.where((day >= first) & (day < first + 6)).write.mode("append").parquet(folder)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("id"), F.lit("2024-02-01 01:00:00").cast("timestamp").alias("ts"), F.lit(cache.TICK).alias("kind"))
+    end.write.mode("append").parquet(folder)
+    found = cache.stream_cache(spark, folder, 3)
+    return found.select("kind", "key", "id", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.coalesce("entry", F.lit(-1)).alias("entry"))
+
+
 @query
 def areas_with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
@@ -493,3 +540,31 @@ def streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "pairs")
     pairs.repartition(6, "tile").write.parquet(folder)
     return streaming.stream_totals(spark, folder)
+
+
+def _tile_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Pairs of classes as tile files, of which those with (row + column) % 5 = 0 are cut off, read as a stream."""
+    pairs = _pairs(spark, sf_dir, transitions.stream_class(F.col("ade")))
+    cells = pairs.select(F.lit(0).alias("yr"), "r", "c", (F.col("cls_before") + 1).alias("b"), (F.col("cls_after") + 1).alias("a"))
+    files = blocks.encoded(blocks.to_blocks(cells, [0], ["b", "a"], TILE), "npy", "u1", "pair")
+    at = [F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"_(\d+)_(\d+)[.]npy$", k).cast("long") for k in (1, 2)]
+    named = files.withColumn("path", F.col("name"))
+    broken = (at[0] + at[1]) % 5 == 0
+    cut = named.withColumn("content", F.when(broken, F.expr("substring(content, 1, cast(length(content) / 2 as int))")).otherwise(F.col("content")))
+    folder, state, out = (shared_path(spark, n) for n in ("files", "state", "counts"))
+    sinks.write_files(cut, folder)
+    arriving = streaming.arriving_files(spark, folder, "pair_*.npy", 7).withColumn("tile", at[0] * 1000 + at[1]).withColumn("city", F.col("tile") % 7)
+    streaming.stream_tiles(streaming.tile_pairs(arriving), state, out)
+    return out
+
+
+@query
+def streaming_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by city over a stream of tile files, without those that can't be read."""
+    return streaming.city_totals(streaming.latest_tiles(spark, _tile_stream(spark, sf_dir)))
+
+
+@query
+def streaming_bad_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tile files that the stream has set aside."""
+    return streaming.bad_tiles(spark, _tile_stream(spark, sf_dir)).select("city", "tile", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("error").isNotNull().alias("has_error"))

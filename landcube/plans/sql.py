@@ -145,7 +145,21 @@ _SRULE = {"deforestation": "sb = 2 AND sa <> 2", "construction": "sb <> 1 AND sa
 _SSUM = ", ".join(f"round(count(*) FILTER (WHERE {v}) * 100.0::DOUBLE / 10000, 6) AS {k}_hectares" for k, v in _SRULE.items())
 _TYPES = (("deforestation", "b = 2 AND a IN (1, 4, 5)", "255,0,0"), ("construction", "b IN (2, 4) AND a = 1", "0,0,255"), ("new_roads", "b IN (2, 4) AND a = 5", "255,255,0"), ("water_loss", "b = 3 AND a IN (1, 2, 4)", "128,0,128"), ("vegetation_gain", "b = 4 AND a = 2", "0,255,0"))
 
+# a fixed linear model over years and indices, of which missing years are zeros
+_MODEL = " + ".join(f"0.25::DOUBLE * (yr - 1998) * {w}::DOUBLE * {x}" for x, w in (("ndvi", -0.5), ("ndbi", 0.35), ("ndwi", 0.15)))
+
 SQL: dict[str, str] = {
+    "cache_stream": _q(f"""{_CACHE}, vw AS (SELECT event_id, ts, key FROM ev WHERE event_type = 'view'),
+newest AS (SELECT key, created, max(id) AS id FROM entry GROUP BY 1, 2)""", """SELECT CASE WHEN entry IS NULL THEN 'miss' ELSE 'hit' END AS kind, key, id, "at", coalesce(entry, -1) AS entry FROM
+  (SELECT v.key, v.event_id AS id, strftime(v.ts, '%Y-%m-%d %H:%M:%S.%f') AS "at", CASE WHEN n.created + INTERVAL 3 DAY > v.ts THEN n.id END AS entry FROM vw v ASOF LEFT JOIN newest n ON n.key = v.key AND n.created <= v.ts)
+UNION ALL SELECT 'expired', key, id, strftime(created + INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S.%f'), id FROM entry WHERE created + INTERVAL 3 DAY <= TIMESTAMP '2024-02-01'"""),
+    "model_scores": _q(f"""{TIERS}, mp AS (SELECT px, 1 / (1 + exp(-(sum({_MODEL}) - 0.1::DOUBLE))) AS model_prob FROM cube GROUP BY px)""",
+        """SELECT px, round(model_prob, 6) + 0.0::DOUBLE AS model_prob, round(greatest(0, least(1, 0.55::DOUBLE * greatest(0, least(1, 0.2::DOUBLE * model_prob + 0.8::DOUBLE * prior))
+  + 0.45::DOUBLE * period_prior)), 6) + 0.0::DOUBLE AS prob FROM trd JOIN tp USING (px) JOIN mp USING (px)"""),
+    "block_cells": _q(f"""{CUBE}, place AS (SELECT px // w AS r, px % w AS c, px // w // 32 AS tr, px % w // 32 AS tc FROM (SELECT unnest(range(npx)) AS px, w FROM g)),
+two AS (SELECT * FROM cube WHERE yr IN (1996, 2001)), made AS (SELECT DISTINCT r // 32 AS tr, c // 32 AS tc FROM two)""",
+        """SELECT CAST(y.yr AS INTEGER) AS yr, place.r, place.c, round(coalesce(nir, 0), 6) AS nir, round(coalesce(swir, 0), 6) AS swir
+  FROM place JOIN made USING (tr, tc) CROSS JOIN (VALUES (1996), (2001)) y(yr) LEFT JOIN two ON two.yr = y.yr AND two.r = place.r AND two.c = place.c"""),
     "spectral_indices": _q(CUBE, f"SELECT yr, px, {_r('ndvi', 'ndbi', 'ndwi')}, valid FROM cube"),
     "index_quantize_roundtrip": _q(CUBE, f"SELECT yr, px, {_U8} AS u8, round({_U8} / 127.5::DOUBLE - 1, 6) AS ndvi_back FROM cube"),
     "cloud_percent_by_year": _q(CUBE, "SELECT yr, round(100 * (1 - count(*) FILTER (WHERE valid) / count(*)), 4) AS cloud_percent FROM cube GROUP BY yr"),
@@ -233,6 +247,8 @@ JOIN box ON w < east AND w + 2 > west AND s < north AND s + 2 > south AND east >
     "cache_expired": _q(_CACHE, "SELECT id, key FROM entry WHERE created + INTERVAL 3 DAY <= TIMESTAMP '2024-01-25'"),
     "areas_with_results": "SELECT c_custkey AS o_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS has_results FROM customer",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
+    "streaming_tiles": _q(PAIRS, f"SELECT tile % 7 AS city, {_SSUM}, count(*) AS pixels_processed, count(DISTINCT tile) AS tiles_processed FROM pairs WHERE (tile // 1000 + tile % 1000) % 5 <> 0 GROUP BY 1"),
+    "streaming_bad_tiles": _q(PAIRS, "SELECT DISTINCT tile % 7 AS city, tile, 'pair_0_' || (tile // 1000) || '_' || (tile % 1000) || '.npy' AS name, true AS has_error FROM pairs WHERE (tile // 1000 + tile % 1000) % 5 = 0"),
     "streaming_totals": _q(PAIRS, f"SELECT tile % 7 AS city, {_SSUM}, count(*) AS pixels_processed, count(DISTINCT tile) AS tiles_processed FROM pairs GROUP BY 1"),
     "road_regions": _q(", ".join([MASK, _THIN, _regions("e3", "lab")]), "SELECT r, c, region FROM lab WHERE region IN (SELECT region FROM lab GROUP BY 1 HAVING count(*) >= 6)", True),
     "real_tiles": _q(CUBE, f"SELECT yr, stddev_pop({_U8}) > 15 AS is_real_tile FROM cube GROUP BY yr"),

@@ -200,11 +200,10 @@ def test_decoder_plug_in(spark, tmp_path):
 
 
 def test_probability_plug_in(spark):
-    from landcube.operators.model import segmented, with_probability
+    from landcube.operators.model import with_probability
 
     frame = spark.createDataFrame([(1, None), (2, 3.0)], "px int, m double")
     assert [r["model_prob"] for r in with_probability(frame, F.col("m")).orderBy("px").collect()] == [0.5, 1.0]
-    assert segmented(frame, lambda: lambda pdf: pdf.assign(cls=pdf["px"] * 2)[["px", "cls"]], "px int, cls int").count() == 2
 
 
 def test_band_files(spark, tmp_path):
