@@ -16,10 +16,9 @@ that a source doesn't have count there too. All arithmetic is on whole numbers.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +30,17 @@ from landcube.llm.common import materialize, need
 SHARD_TERMS, SHIPPED_BYTES, HEAD = 65_536, 32_000_000, 64
 #: Terms counted in a task before they are sent on, and their bytes; parts of a shard's terms where they are sent to it.
 HELD_TERMS, HELD_BYTES, SALTS = 300_000, 24_000_000, 16
+#: Terms of a language that a task knows the ordinals of, and counts by ordinal that it holds before they are sent on.
+KNOWN_TERMS, HELD_COUNTS = 250_000, 2_000_000
 #: Values in a block's matrix of sources and terms.
-MATRIX = 1 << 21
+MATRIX = 1 << 17
 ONE = 1_000_000_000
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Runs of letters: in UTF-8, all bytes of a character beyond ASCII are above 0x7F. After lower-casing.
-TERMS = re.compile(rb"[a-z\x80-\xff]+").findall
+#: Bytes of terms, A to Z as a to z, and spaces for all others. In UTF-8 all bytes beyond ASCII belong to characters of terms.
+LETTERS = bytes(b if b >= 0x80 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
 
 def terms_of(text: bytes) -> list[bytes]:
-    return TERMS(text.translate(LOWER))
+    return text.translate(LETTERS).split()
 
 
 class Transducer:
@@ -153,17 +153,13 @@ class Held:
         self.counts: dict[tuple, Counter] = defaultdict(Counter)
         self.most, self.added = most, 0
 
-    def _long(self, terms: Iterable[bytes]) -> int:
-        return sum(map(len, terms)) * HELD_TERMS // HELD_BYTES
-
-    def add(self, group: tuple, terms: Iterable[bytes]) -> bool:
-        """Whether it is time to send them on."""
-        terms = list(terms)
+    def add(self, group: tuple, terms: Collection[bytes], size: int) -> bool:
+        """Whether it is time to send them on. ``size``: the text's bytes."""
         self.counts[group].update(terms)
-        self.added += len(terms) + self._long(terms)
+        self.added += len(terms) + size * HELD_TERMS // HELD_BYTES
         if self.added < self.most:
             return False
-        self.added = sum(len(c) + self._long(c) for c in self.counts.values())
+        self.added = sum(len(c) + sum(map(len, c)) * HELD_TERMS // HELD_BYTES for c in self.counts.values())
         return self.added >= self.most // 2
 
     def taken(self) -> dict[tuple, Counter]:
@@ -194,7 +190,7 @@ def _counted(rows: DataFrame, by: list[str], once: bool) -> DataFrame:
             groups = zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True)
             for group, text in zip(groups, batch.columns[-1].cast(pa.binary()).to_pylist(), strict=True):
                 terms = terms_of(text)
-                if held.add(group, set(terms) if once else terms):
+                if held.add(group, set(terms) if once else terms, len(text)):
                     yield from sent(held.taken())
         yield from sent(held.taken())
 
@@ -237,38 +233,64 @@ def transducers(kept: DataFrame) -> DataFrame:
 
 
 COUNTED = "lang string, source string, ordinal long, n long"
-_KINDS = (pa.string(), pa.string(), pa.int64(), pa.int64())
 
 
 def _shipped(rows: DataFrame, shards: DataFrame) -> DataFrame:
     """Texts streamed through transducers that every task has whole. Only for shards of a checked size."""
     spark = rows.sparkSession
-    most = HELD_TERMS
+    most, known_terms, held_counts = HELD_TERMS, KNOWN_TERMS, HELD_COUNTS
     shared = spark.sparkContext.broadcast([r.asDict(recursive=True) for r in shards.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, list[Transducer]] = defaultdict(list)
         for row in sorted(shared.value, key=lambda r: r["shard"]):
             by_lang[row["lang"]].append(_loaded(row))
-
-        def sent(counts: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
-            for (lang, source), own in counts.items():
-                dealt = by_lang.get(lang, [])
-                parts: list[list] = [[] for _ in dealt]
-                for term in own if dealt else ():
-                    parts[zlib.crc32(term) % len(dealt) if len(dealt) > 1 else 0].append(term)
-                for through, terms in zip(dealt, parts, strict=True):
-                    found = through(terms)
-                    n = np.array([own[t] for t in terms], np.int64)[found >= 0]
-                    found = found[found >= 0]
-                    yield _batch([[lang] * len(n), [source] * len(n), found, n], "lang source ordinal n", _KINDS)
+        known: dict[str, dict[bytes, int]] = {lang: {} for lang in by_lang}
+        sums: dict[tuple, list] = defaultdict(list)
+
+        def streamed(counts: dict[tuple, Counter]) -> None:
+            """Counted terms through the transducers; ordinals that the task has met before are at hand."""
+            for ordinals in known.values():
+                if len(ordinals) > known_terms or sum(map(len, ordinals)) > 2 * HELD_BYTES:
+                    ordinals.clear()
+            for group, own in counts.items():
+                if not (through := by_lang.get(group[0])):
+                    continue
+                ordinals = known[group[0]]
+                parts: list[list] = [[] for _ in through]
+                for term in own:
+                    if term not in ordinals:
+                        parts[zlib.crc32(term) % len(through) if len(through) > 1 else 0].append(term)
+                for one, terms in zip(through, parts, strict=True):
+                    ordinals.update(zip(terms, one(terms).tolist(), strict=True))
+                found = np.fromiter(map(ordinals.__getitem__, own), np.int64, len(own))
+                n = np.fromiter(own.values(), np.int64, len(own))
+                sums[group].append((found[found >= 0], n[found >= 0]))
+
+        def sent(least: int) -> Iterator[pa.RecordBatch]:
+            """All counts by ordinal, once there are more than ``least`` of them, each ordinal once."""
+            if sum(len(o) for own in sums.values() for o, _ in own) <= least:
+                return
+            for group, own in sums.items():
+                found, at = np.unique(np.concatenate([o for o, _ in own]), return_inverse=True)
+                n = np.zeros(len(found), np.int64)
+                np.add.at(n, at, np.concatenate([n for _, n in own]))
+                sums[group] = [(found, n)]
+            if sum(len(o) for own in sums.values() for o, _ in own) <= least // 2:
+                return
+            for (lang, source), [(found, n)] in sums.items():
+                texts = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*texts, pa.array(found), pa.array(n)], names=["lang", "source", "ordinal", "n"])
+            sums.clear()
 
         held = Held(most)
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.columns[2].cast(pa.binary()).to_pylist(), strict=True):
-                if held.add((lang, source), terms_of(text)):
-                    yield from sent(held.taken())
-        yield from sent(held.taken())
+                if held.add((lang, source), terms_of(text), len(text)):
+                    streamed(held.taken())
+                    yield from sent(held_counts)
+        streamed(held.taken())
+        yield from sent(-1)
 
     return rows.mapInArrow(run, COUNTED).groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
 

@@ -61,6 +61,8 @@ def odd_rows():
 @pytest.mark.parametrize("held, shard, matrix, shipped", [(300_000, 65_536, 1 << 21, 32_000_000), (20, 3, 8, 32_000_000), (20, 3, 8, 0)])
 def test_audit(spark, monkeypatch, held, shard, matrix, shipped):
     monkeypatch.setattr(divergence, "HELD_TERMS", held)
+    monkeypatch.setattr(divergence, "KNOWN_TERMS", held)
+    monkeypatch.setattr(divergence, "HELD_COUNTS", held // 4)
     monkeypatch.setattr(divergence, "SHARD_TERMS", shard)
     monkeypatch.setattr(divergence, "MATRIX", matrix)
     docs = spark.createDataFrame([(*r, 1, 2, b"z", 3) for r in odd_rows()], "lang string, source string, text string, n int, part int, term binary, ordinal int")
