@@ -11,7 +11,8 @@ score of the node's queries.
 First each query searches the block it lies in, which gives a kth score to begin with. Then queries meet the list of all
 blocks, ``LISTED`` of them at a time, and go on to those that the same bound doesn't rule out; a block is sent only to
 groups of queries that ask for it. The ``k`` best of all blocks are merged. Queries are grouped by the block they lie in,
-about ``PART`` together, so no group holds more than a block and its queries.
+``PART_BYTES`` of them together, so no group holds more than a block and its queries. Every query row has a number of its
+own, so rows that share an id are answered each for itself.
 
 Components beyond 64-bit integers saturate, and so do scores: an inner product is formed exactly and then cut off at the
 bounds of a long.
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from landcube.llm.common import materialize, need
 
-PIVOTS, BLOCK, PART, LEAF, ASKING, SHRINK, LISTED = 1024, 4096, 2048, 128, 4, 0.85, 4096
-FOUND = "query_id long, vec_id long, score long"
+PIVOTS, BLOCK, LEAF, ASKING, SHRINK, LISTED = 1024, 4096, 128, 4, 0.85, 4096
+#: Bytes of the queries that search a block together: a block is sent once for each such part.
+PART_BYTES = 16_000_000
+FOUND = "query long, query_id long, vec_id long, score long"
 LONG = 2**63 - 1
 
 
@@ -218,16 +221,16 @@ def blocks_of(celled: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, blocks: DataFrame, k: int, width: int) -> DataFrame:
-    """queries (vec_id, v, worst, part, block) against the rows of their block (vec_id, v, block)."""
+    """queries (query, vec_id, v, worst, part, block) against the rows of their block (vec_id, v, block)."""
 
     def own(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
         ids = asked["vec_id"].to_numpy(np.int64)
         worst = asked["worst"].astype("float64").fillna(-np.inf).to_numpy()
         found = dual_search(matrix(asked["v"], width), ids, worst, matrix(data["v"], width), data["vec_id"].to_numpy(np.int64), k)
         n = [len(s) for s, _ in found]
-        return pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": np.concatenate([v for _, v in found]), "score": np.concatenate([s for s, _ in found])})
+        return pd.DataFrame({"query": np.repeat(asked["query"].to_numpy(np.int64), n), "query_id": np.repeat(ids, n), "vec_id": np.concatenate([v for _, v in found]), "score": np.concatenate([s for s, _ in found])})
 
     met = blocks.join(queries.select("block", F.col("part").alias("part")).distinct(), "block")
     return met.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(own, FOUND)
@@ -248,15 +251,15 @@ def summaries(blocks: DataFrame, width: int) -> DataFrame:
     return blocks.groupBy("block").applyInPandas(own, SUMMARY)
 
 
-ASKED = "vec_id long, v array<long>, worst double, part int, block long"
+ASKED = "query long, vec_id long, v array<long>, worst double, part int, block long"
 
 
 def going_on(asked: DataFrame, listed: DataFrame, lists: int, width: int) -> DataFrame:
-    """The queries (vec_id, v, worst, part, home), once for each other block that their bound admits."""
+    """The queries (query, vec_id, v, worst, part, home), once for each other block that their bound admits."""
 
     def fan(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"vec_id": [], "v": [], "worst": [], "part": [], "block": []})
+            return pd.DataFrame({"query": [], "vec_id": [], "v": [], "worst": [], "part": [], "block": []})
         x, worst = matrix(queries["v"], width).astype(np.float64), queries["worst"].astype("float64").fillna(-np.inf).to_numpy()
         centres, blocks = np.array(rows["centre"].tolist()), rows["block"].to_numpy(np.int64)
         least, radius, most = (rows[c].to_numpy() for c in ("least", "radius", "most"))
@@ -266,7 +269,7 @@ def going_on(asked: DataFrame, listed: DataFrame, lists: int, width: int) -> Dat
             top = highest(ips, norms, radius, most, sizes[i], 0.0, sizes[i], least)
             made.append(blocks[(top >= worst[i]) & (blocks != queries["home"].iat[i])])
         n = [len(m) for m in made]
-        again = queries[["vec_id", "v", "worst", "part"]].iloc[np.repeat(np.arange(len(queries)), n)]
+        again = queries[["query", "vec_id", "v", "worst", "part"]].iloc[np.repeat(np.arange(len(queries)), n)]
         return again.assign(block=np.concatenate(made))
 
     dealt = asked.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
@@ -277,7 +280,8 @@ def going_on(asked: DataFrame, listed: DataFrame, lists: int, width: int) -> Dat
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest integer inner products, ties to the smaller vec_id.
 
-    A query doesn't find rows of its own id. Repeated rows are candidates each for itself; vectors of unlike length are
+    A query doesn't find rows of its own id. Repeated rows are candidates each for itself and queries each for itself, so
+    two rows with a query's id give two answers of k rows each, of the same or of different vectors. Vectors of unlike length are
     compared as if filled up with zeros. Fewer than k candidates give fewer rows; an empty table gives none. Components
     and scores beyond a long saturate.
     """
@@ -292,18 +296,18 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     celled = materialize(nearest_cell(vectors, pivots), "cells")
     blocks = materialize(blocks_of(celled), "blocks")
     queries = blocks.where(is_query)
-    parts = max(1, -(-queries.count() // PART))
-    homes = queries.withColumnRenamed("block", "home").withColumn("part", F.pmod(F.xxhash64("home"), F.lit(parts)).cast("int"))
+    parts = max(1, -(-queries.count() * 8 * width // PART_BYTES))
+    homes = queries.withColumnRenamed("block", "home").withColumn("part", F.pmod(F.xxhash64("home"), F.lit(parts)).cast("int")).withColumn("query", F.monotonically_increasing_id())
     homes = materialize(homes, "homes")
-    first = homes.select("vec_id", "v", F.lit(None).cast("double").alias("worst"), "part", F.col("home").alias("block"))
+    first = homes.select("query", "vec_id", "v", F.lit(None).cast("double").alias("worst"), "part", F.col("home").alias("block"))
     near = materialize(search(first, blocks, k, width), "near")
-    begun = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("worst"))
-    asked = materialize(homes.join(begun, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "worst", "part", "home"), "asked")
+    begun = near.groupBy(F.col("query").alias("q")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("worst"))
+    asked = materialize(homes.join(begun, F.col("query") == F.col("q"), "left").select("query", "vec_id", "v", "worst", "part", "home"), "asked")
     listed = materialize(summaries(blocks, width), "summaries")
     lists = max(1, -(-listed.count() // LISTED))
     going = materialize(going_on(asked, listed, lists, width), "going")
     found = near.union(search(going, blocks, k, width))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -312,10 +316,10 @@ def report(embeddings: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+s AS (SELECT q.id, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

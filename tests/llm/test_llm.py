@@ -89,6 +89,24 @@ def test_top_k(spark):
     assert covertree.report(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark, tmp_path):
+    """Each row with a query's id is answered by itself; rows of its own id are no candidates, other repeated rows are."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(14)] + [(100, [1.0, 0.0, 0.0, 0.0])]
+    rows += [rows[0], rows[5], rows[5], (100, [0.0, -1.0, 0.0, 0.5])]
+    v = [(i, np.floor(np.array(e) * 1024).astype(np.int64)) for i, e in rows]
+    want = []
+    for q, x in v:
+        if q % 100 == 0:
+            scored = sorted((-int((x * y).sum()), c) for c, y in v if c != q)[:10]
+            want += [(q, k, c, -s) for k, (s, c) in enumerate(scored, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, covertree.report(frame).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == sorted(want) and len(got) == 40
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    same(spark, str(tmp_path), QUERIES["op1_exact_top_k"], ORACLE_SQL["op1_exact_top_k"])
+
+
 def test_top_k_saturates(spark):
     rows = [(0, [1e30, -1e300]), (1, [1e30, 1e300]), (2, [5e17, 0.0]), (3, [-1e30, 0.0]), (4, [1.0, 1.0]), (100, [3e9, 3e9]), (101, [2.9e9, 3e9])]
     frame = spark.createDataFrame([(a, [float(x) for x in b]) for a, b in rows], "vec_id long, embedding array<double>")
