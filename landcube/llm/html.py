@@ -3,7 +3,8 @@
 A page's elements form a tree; each is content or not. Features of an element (its tag, what its class, id and role say,
 its text's length and how much of it is links) give its own log-odds, and a 2 x 2 table of potentials ties it to its
 parent. Sum-product messages go up to the root and down again and give every node's exact marginal; blocks of text above
-one half are kept, in page order. Weights and potentials are trained by gradient ascent on the exact likelihood.
+one half are kept, in page order. Scripts, styles, titles, templates and form controls go whole; an element that HTML doesn't
+name as a box, math, pictures or objects among them, is part of the text around it. Weights and potentials are trained by gradient ascent on the exact likelihood.
 
 The tables have no page labels, so training pages are labelled by a rule: inside what HTML itself names as something other
 than the article (nav, footer, header, aside, form ...; or by class, id or role) nothing is content; inside article or main
@@ -35,10 +36,10 @@ NAME, EDGE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)"), re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 # HTML's own names.
-RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "math", "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "title", "textarea", "template", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dt", "dd", "figcaption", "caption", "address", "summary"}
-BOX = {"html", "head", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "fieldset", "menu", "dialog", "center", "hgroup", "search"}
+BOX = {"html", "head", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "fieldset", "menu", "dialog", "center", "hgroup", "search", "noscript"}
 CLOSED_BY = {"p": BLOCK | BOX - {"html", "body", "head"} | {"hr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "head": {"body"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE_TAGS = {"nav", "footer", "header", "aside", "form", "menu", "dialog", "head", "search", "button", "fieldset"}
@@ -89,7 +90,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The page's elements, parents first, and its blocks of text: (node, text) in page order."""
     nodes, blocks = [Node(-1, "html", set())], []
     stack, text, linked, at, in_link = [0], [], 0, 0, 0
-    tags, open_tags = Tags(page), Counter()
+    tags, open_tags, unclosed = Tags(page), Counter(), set()
 
     def flush() -> None:
         nonlocal text, linked
@@ -132,8 +133,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag, closing, inner = m[2].lower(), bool(m[1]), page[m.end() : end]
         if tag in RAW and not closing:
-            if not inner.endswith("/") or tag not in ("svg", "math"):
-                found = RAW_ENDS[tag].search(page, at)
+            if tag not in unclosed and (found := RAW_ENDS[tag].search(page, at)):
+                at = found.start()
+            else:  # only what comes before the next tag goes, and no search is made twice in vain
+                unclosed.add(tag)
+                found = NAME.search(page, at)
                 at = found.start() if found else len(page)
             continue
         if tag == "br" or tag == "hr":

@@ -1,6 +1,6 @@
 """Removal of repeated runs of lines by winnowing (operator 8), with DataFrame functions only.
 
-Lines are compared without the spaces around them; blank lines take no part and stay. A run counts from ``span``
+Lines are compared without the white space around them, so line ends of either kind match; blank lines take no part and stay. A run counts from ``span``
 consecutive lines on, and a line of more than ``long`` words is a run by itself. Of the line hashes in each window of
 ``span`` lines the smallest, leftmost on ties, is selected as the window's fingerprint, and so is every long line; a line
 selected by several windows is one fingerprint. Two documents that share a run share a fingerprint at the same place in it.
@@ -24,6 +24,8 @@ from landcube.llm.common import materialize, need
 
 #: Lines of a run at least; words of a line above which it is a run by itself.
 SPAN, LONG = 2, 50
+#: White space around a line, which doesn't count: space, tab, carriage return, and the vertical ones.
+AROUND = " \t\r\x0b\x0c"
 
 
 def lines_of(text: Column) -> Column:
@@ -47,7 +49,7 @@ def place_of_least(window: Column) -> Column:
 def fingerprints(documents: DataFrame, span: int, long: int) -> DataFrame:
     """doc_id, own (the row's key), p (the line's place among those not blank), fp (its hash), wide, and what is around it:
     low (the first place that a window with p can have), near (hashes from there on) and lines (their places among all)."""
-    full = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i"))), lambda e: e["x"] != "")
+    full = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x, F.lit(AROUND)).alias("x"), i.alias("i"))), lambda e: e["x"] != "")
     wide = lambda x: (F.length(x) > 2 * long) & (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0d]+")) > long)
     lines = F.transform(full, lambda e: F.struct(F.xxhash64(e["x"]).alias("h"), e["i"].alias("at"), wide(e["x"]).alias("wide")))
     rows = need(documents, "doc_id", "text").select("doc_id", row_key(F.col("text")).alias("own"), lines.alias("e"))
@@ -115,8 +117,8 @@ def report(documents: DataFrame) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT rid, doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM d),
-num AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS s FROM lines WHERE trim(x) <> ''),
-win AS (SELECT rid, doc_id, i, s, trim(x) AS a, lead(trim(x)) OVER (PARTITION BY rid ORDER BY i) AS b FROM num),
+num AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS s FROM (SELECT rid, doc_id, x, i, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS a FROM lines) WHERE a <> ''),
+win AS (SELECT rid, doc_id, i, s, a, lead(a) OVER (PARTITION BY rid ORDER BY i) AS b FROM num),
 pair AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY doc_id NULLS FIRST, s) AS k FROM win WHERE b IS NOT NULL),
 long AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY doc_id NULLS FIRST, s) AS k FROM win WHERE len(regexp_extract_all(a, '[^\x20\x09-\x0d]+')) > 50),
 gone AS (SELECT rid, s + o AS s FROM pair, (VALUES (0), (1)) v(o) WHERE k > 1 UNION SELECT rid, s FROM long WHERE k > 1),

@@ -416,7 +416,7 @@ def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[int, int, int, str]]
 ORACLE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT rid, doc_id, st, md5(substr(h, 2 * st + 1, 200)) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS st FROM d)),
-later AS (SELECT rid, st FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, st) > 1),
+later AS (SELECT rid, st FROM s QUALIFY rank() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, st) > 1),
 step AS (SELECT *, CASE WHEN st <= lag(st) OVER (PARTITION BY rid ORDER BY st) + 100 THEN 0 ELSE 1 END AS new FROM later),
 run AS (SELECT rid, min(st) AS a, max(st) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY st) AS k FROM step) GROUP BY rid, k),
 edge AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS z FROM (SELECT rid, a, b FROM run UNION ALL SELECT rid, len(h) // 2, NULL FROM d)),

@@ -626,6 +626,32 @@ def test_extraction(spark):
     assert html.extract(frame).count() == len(rows) and html.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inner, want", [
+    ("Let <math>x = 3</math> be given <object data=a>inside</object> here", "Let x = 3 be given inside here"), ("before <video src=a>after the film", "before after the film"), ("text <svg><text>label</text></svg> more", "text label more"),
+    ("one <script>var x = 1; two", "one"), ("one <style>p {} <b>two</b>", "one two"), ("a <select><option>x<option>y</select> b <textarea>t</textarea> c", "a b c"), ("a <select><option>b", "a b"), ("<title>T</title>a<template><p>x</p></template>b", "ab"),
+])
+def test_elements_within_text(inner, want):
+    """Only scripts, styles, titles, templates and form controls go whole; none that is left open takes the page with it."""
+    blocks = [b for _, b in html.parse(f"<article><p>First one.<p>{inner}<p>Last one.</article>")[1]]
+    assert blocks == ["First one.", want, "Last one."]
+
+
+def test_equal_rows_do_not_remove_each_other(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " more"), (3, "short"), (3, "short"), (0, text[:150]), (0, text[:150])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("op3_suffix_dedup", "op8_line_dedup"):
+        same(spark, str(tmp_path), QUERIES[name], ORACLE_SQL[name])
+
+
+def test_lines_match_whatever_their_ends(spark, tmp_path):
+    rows = [(1, "first line\nsecond line\nthird"), (2, "first line\r\n\tsecond line \r\nother"), (3, "\x0bfirst line\x0c\n\r\n  second line"), (4, "a\u00a0\nb"), (5, "a\nb")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(spark, str(tmp_path), QUERIES["op8_line_dedup"], ORACLE_SQL["op8_line_dedup"])
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 2, 3: 2, 4: 0, 5: 0}
+
+
 def test_letters_whose_lower_case_is_longer():
     page = "<body>" + "İ" * 6 + "<p>one paragraph<SCRIPT>var x = '<p>no</p>'</ſcript></Script><p>another</body>"
     assert [b for _, b in html.parse(page)[1]] == ["İ" * 6, "one paragraph", "another"]
@@ -764,9 +790,9 @@ def brute_lines(rows):
     windows = []
     for number, (i, text) in enumerate(rows):
         lines = (text or "").split("\n")
-        full = [k for k, x in enumerate(lines) if x.strip(" ")]
+        full = [k for k, x in enumerate(lines) if x.strip(linededup.AROUND)]
         for s in range(len(full)):
-            own = [lines[k].strip(" ") for k in full[s : s + 2]]
+            own = [lines[k].strip(linededup.AROUND) for k in full[s : s + 2]]
             place = (i is not None, i or 0, s)
             if len(own) == 2:
                 windows.append((tuple(own), place, number, full[s : s + 2]))
