@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHANNELS = ("ndvi", "ndbi", "ndwi")
@@ -76,3 +76,42 @@ def slopes() -> list:
         slope = F.regr_slope(F.when(F.col("valid"), F.col(x)), F.when(F.col("valid"), F.col("yr").cast("double")))
         made.append(F.when(n >= 2, slope).otherwise(0.0).alias(f"{x}_slope"))
     return made
+
+
+# what a slope over years needs, as sums: so years can be added one by one
+_SUMS = ("n", "t", "tt", "ndvi", "tndvi", "ndbi", "tndbi")
+#: Years count from here in the sums, which keeps them small.
+YEAR_ZERO = 2000
+
+
+def year_sums(cube: DataFrame) -> DataFrame:
+    """px and the sums over its valid years that slopes are made of; a pixel without any has zeros."""
+    t, ok = (F.col("yr") - YEAR_ZERO).cast("double"), F.col("valid")
+    terms = {"n": F.lit(1.0), "t": t, "tt": t * t, "ndvi": F.col("ndvi"), "tndvi": t * F.col("ndvi"), "ndbi": F.col("ndbi"), "tndbi": t * F.col("ndbi")}
+    return cube.groupBy("px").agg(*[F.sum(F.when(ok, v).otherwise(0.0)).alias(f"s_{k}") for k, v in terms.items()])
+
+
+def write_state(sums: DataFrame, path: str, upto: int) -> None:
+    """Store the sums up to a year under that year; what was stored for it before is replaced, others stay."""
+    sums.withColumn("upto", F.lit(upto)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upto").parquet(path)
+
+
+def read_state(spark: SparkSession, path: str, upto: int) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("upto") == upto).drop("upto")
+
+
+def add_year(spark: SparkSession, path: str, cube_of_year: DataFrame, before: int, year: int) -> None:
+    """The state up to ``year`` from that up to ``before`` and one year's cube: older years are not read again.
+
+    Adding a year a second time replaces what the first time wrote.
+    """
+    both = read_state(spark, path, before).unionByName(year_sums(cube_of_year))
+    write_state(both.groupBy("px").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in _SUMS]), path, year)
+
+
+def state_slopes(state: DataFrame) -> DataFrame:
+    """px, ndvi_slope and ndbi_slope: the least-squares slopes by year; 0 with fewer than two valid years."""
+    c = F.col
+    below = c("s_n") * c("s_tt") - c("s_t") * c("s_t")
+    made = [F.when((c("s_n") >= 2) & (below > 0), (c("s_n") * c(f"s_t{x}") - c("s_t") * c(f"s_{x}")) / below).otherwise(0.0).alias(f"{x}_slope") for x in ("ndvi", "ndbi")]
+    return state.select("px", *made)

@@ -12,24 +12,72 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column, most: int = 1, ra
     return ranked.where(F.col(rank) <= most)
 
 
-def _cells(boxes: DataFrame, size: float) -> DataFrame:
-    """Each box once for every grid cell of ``size`` degrees that it touches: cx, cy, and its first cell x0, y0."""
-    low = {k: F.floor(F.col(c) / size).cast("int") for k, c in (("x0", "west"), ("y0", "south"))}
-    high = {k: F.floor(F.col(c) / size).cast("int") for k, c in (("x1", "east"), ("y1", "north"))}
-    there = boxes.where((F.col("east") > F.col("west")) & (F.col("north") > F.col("south"))).withColumns(low | high)
-    return there.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1"))).drop("x1", "y1")
+#: The finest cells: 360 degrees divided by 2 ** LEVELS. The coarsest is 360 degrees wide.
+LEVELS = 16
 
 
-def search_products(products: DataFrame, areas: DataFrame, days: int, cloud: float, cell: float = 5.0) -> DataFrame:
-    """(aoi, id) of products (id, cloud, start, box) that meet an area (aoi, target, box), strictly within ``days`` of its
-    date and below ``cloud``. Boxes are dealt into grid cells and joined by cell; a pair counts in the first cell both touch.
+def _position(at: Column, level: Column) -> Column:
+    """The number of the cell of a level that a coordinate lies in; coordinates beyond the globe have numbers too."""
+    return F.floor((at + 180) * F.pow(F.lit(2.0), level) / 360).cast("long")
+
+
+def levelled(boxes: DataFrame) -> DataFrame:
+    """Boxes that have an inside, with ``level``: that of the smallest cells which are not smaller than the box."""
+    size = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    there = boxes.where((F.col("east") > F.col("west")) & (F.col("north") > F.col("south")))
+    return there.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(360 / size)))).cast("int"))
+
+
+def covered(boxes: DataFrame, levels: list[int], below: bool) -> DataFrame:
+    """Each box (with level) once for every cell that it meets at those of ``levels`` that are not finer than its own, or,
+    with ``below``, that are coarser: at each level four cells at most. The cell is lv, cx, cy."""
+    some = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x < F.col("level") if below else x <= F.col("level"))
+    at = boxes.withColumn("lv", F.explode(some))
+    for c, low, high in (("cx", "west", "east"), ("cy", "south", "north")):
+        at = at.withColumn(c, F.explode(F.sequence(_position(F.col(low), F.col("lv")), _position(F.col(high), F.col("lv")))))
+    return at
+
+
+def candidates(products: DataFrame, areas: DataFrame) -> DataFrame:
+    """Pairs of boxes (p, a) that meet a cell of the level of the larger one together, each pair at one cell only.
+
+    A box is dealt to cells of its own size, and to those of the sizes that the other side has boxes of; so a large box is
+    in a few cells, and small ones meet only what lies near them or holds them.
     """
-    clear = products.where(F.col("cloud") < cloud)
-    p, a = _cells(clear, cell).alias("p"), _cells(areas, cell).alias("a")
+    products, areas = levelled(products), levelled(areas)
+    # at most LEVELS + 1 numbers of each side
+    own = [sorted(r["level"] for r in x.select("level").distinct().collect()) for x in (products, areas)]
+
+    def met(p: DataFrame, a: DataFrame, coarse: str) -> DataFrame:
+        pairs = p.alias("p").join(a.alias("a"), [F.col("p.lv") == F.col("a.lv"), F.col("p.cx") == F.col("a.cx"), F.col("p.cy") == F.col("a.cy")]).where(F.col(f"{coarse}.level") == F.col("p.lv"))
+        first = [_position(F.greatest(F.col(f"p.{c}"), F.col(f"a.{c}")), F.col("p.lv")) == F.col(f"p.{x}") for c, x in (("west", "cx"), ("south", "cy"))]
+        return pairs.where(first[0] & first[1])
+
+    at_own = [covered(x.where(F.lit(True)), levels, False).where(F.col("lv") == F.col("level")) for x, levels in ((products, own[0]), (areas, own[1]))]
+    up = met(covered(products, own[1], False), at_own[1], "a"), met(at_own[0], covered(areas, own[0], True), "p")
+    return up[0].union(up[1])
+
+
+def search_products(products: DataFrame, areas: DataFrame, days: int, cloud: float) -> DataFrame:
+    """(aoi, id) of products (id, cloud, start, box) that meet an area (aoi, target, box), strictly within ``days`` of its
+    date and below ``cloud``. Boxes are joined through cells of several sizes (:func:`candidates`)."""
+    kept = products.where(F.col("cloud") < cloud).select("id", "start", "west", "south", "east", "north")
+    wanted = areas.select("aoi", "target", "west", "south", "east", "north")
     meets = (F.col("p.west") < F.col("a.east")) & (F.col("p.east") > F.col("a.west")) & (F.col("p.south") < F.col("a.north")) & (F.col("p.north") > F.col("a.south"))
     when = (F.col("p.start") > F.date_sub("a.target", days)) & (F.col("p.start") < F.date_add("a.target", days))
-    once = (F.col("cx") == F.greatest("p.x0", "a.x0")) & (F.col("cy") == F.greatest("p.y0", "a.y0"))
-    return p.join(a, ["cx", "cy"]).where(meets & when & once).select("aoi", "id")
+    return candidates(kept, wanted).where(meets & when).select("a.aoi", "p.id")
+
+
+def mosaic(pixels: DataFrame, keys: list[str], values: list[str], cloudiest: float = 95.0) -> DataFrame:
+    """``keys``, valid, id and ``values``: for each pixel the first valid one over its scenes, by (cloud, latest start, id).
+
+    ``pixels`` has a row for each pixel of each scene, with the scene's id, cloud (unknown counts as 100) and start, and
+    valid. Scenes with more cloud than ``cloudiest`` take no part. A pixel that no scene has valid has nulls. One grouping.
+    """
+    cloud = F.coalesce("cloud", F.lit(100.0))
+    own = F.struct(cloud.alias("cloud"), (-F.unix_date(F.col("start").cast("date"))).alias("age"), F.col("id"), *values)
+    made = pixels.where(cloud <= cloudiest).groupBy(*keys).agg(F.min(F.when(F.col("valid"), own)).alias("s"))
+    return made.select(*keys, F.col("s").isNotNull().alias("valid"), F.col("s.id").alias("id"), *[F.col(f"s.{v}").alias(v) for v in values])
 
 
 def best_product(products: DataFrame, keys: list[str], cloudiest: float = 100.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landcube.functions.geo import area_units, pixel_area
+from landcube.operators.tiles import inference_tiles
 from landcube.sources.dimensions import BATCH_CLASSES, CHANGES, GREY, STREAM_CLASSES, change_classes, change_pairs, cities
 
 
@@ -22,8 +23,15 @@ def stream_class(model_class: Column) -> Column:
     return F.coalesce(F.try_element_at(known, model_class), F.lit(0)).cast("int")
 
 
-def paired(cube: DataFrame, before: int, after: int, cls: Column) -> DataFrame:
-    """px, r, c, cls_before, cls_after of pixels that both years have; one grouping instead of a self-join."""
+def paired(cube: DataFrame, before: int, after: int, cls: Column, tile: int | None = None) -> DataFrame:
+    """px, r, c, cls_before, cls_after of pixels that both years have; one grouping instead of a self-join.
+
+    With ``tile``, only within tiles of that size which have one shape in both years (:func:`comparable_tiles`).
+    """
+    if tile is not None:
+        tiled = inference_tiles(cube, tile)
+        same = comparable_tiles(tiled, before, after).select("tile_row", "tile_col")  # a row for each tile
+        cube = tiled.join(same, ["tile_row", "tile_col"], "left_semi")
     both = cube.where(F.col("yr").isin(before, after)).groupBy("px", "r", "c")
     made = both.agg(F.max(F.when(F.col("yr") == before, cls)).alias("cls_before"), F.max(F.when(F.col("yr") == after, cls)).alias("cls_after"))
     return made.where("cls_before is not null and cls_after is not null")

@@ -568,3 +568,95 @@ def streaming_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_bad_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tile files that the stream has set aside."""
     return streaming.bad_tiles(spark, _tile_stream(spark, sf_dir)).select("city", "tile", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("error").isNotNull().alias("has_error"))
+
+
+@query
+def pixel_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a scene of its lines' pixels: the least cloudy valid one for each area, year and pixel."""
+    scenes = _products(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 256).alias("px"), ix.is_clear(F.col("l_linenumber")).alias("valid"), F.col("l_linenumber").alias("line"))
+    found = store.mosaic(lines.join(scenes, "id"), ["aoi", "yr", "px"], ["line"])
+    return found.select("aoi", "yr", "px", "valid", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("line", F.lit(-1)).alias("line"))
+
+
+@query
+def trend_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`trend_map` from a state of the years up to 2000, to which 2001 is added without reading them again."""
+    path = shared_path(spark, "trends")
+    composite.write_state(composite.year_sums(cubes.index_cube(spark, sf_dir, YEARS[:-1])), path, 2000)
+    composite.add_year(spark, path, cubes.index_cube(spark, sf_dir, [2001]), 2000, 2001)
+    return change.trends(composite.state_slopes(composite.read_state(spark, path, 2001))).select("px", *r6("ndvi_slope", "ndbi_slope"), "trend")
+
+
+@query
+def request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request as it comes: two dates and a box. Only the years that it needs are read, from 1996 to 2000 here."""
+    wanted = composite.year_range(1998, 1999, now=2000, first=1996)
+    found = [r["yr"] for r in cubes.years(spark, sf_dir, wanted).collect()]  # a row for each year
+    made = composite.period_composites(cubes.index_cube(spark, sf_dir, wanted), *composite.select_periods(found, 1998, 1999))
+    made = change.trends(change.construction(change.fused(made)))
+    made = written(made.select("px", "class", "trend", "falling", "rising"), "classified")
+    return change.summary(change.smoothed(made, *cubes.grid_width(spark, sf_dir), above=20), BOX)
+
+
+@query
+def comparable_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions within small tiles that have one shape in both years."""
+    pairs = transitions.paired(cubes.pixel_cube(spark, sf_dir, [1996, 2001]), 1996, 2001, F.col("cls"), tile=3)
+    return transitions.transition_pixels(pairs).select("px", "change_type")
+
+
+@query
+def resample_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid at one and a half times its resolution, moved by a quarter of a pixel to the south and a third to the west."""
+    width, n = cubes.grid_width(spark, sf_dir)
+    rows = -(-n // width)
+    cells = cubes.pixel_cube(spark, sf_dir, [MASK_YEAR]).select("r", "c", "nir")
+    made = tiles.resample(cells, "nir", (rows, width), (rows * 3 // 2, width * 3 // 2), (2 / 3, 2 / 3), (0.25, -1 / 3), tile=64)
+    return made.select("r", "c", *r6("nir"))
+
+
+@query
+def stored_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of four years: what is read back of the years asked for, and which of them it doesn't have."""
+    path, key = shared_path(spark, "years"), {"aoi_id": F.lit("all"), "size": F.lit(1)}
+    cube = cubes.index_cube(spark, sf_dir, [1996, 1997, 1999, 2000]).withColumns(key).withColumnRenamed("yr", "year")
+    raster.write_years(cube.select(*raster.YEAR_KEY, "px", "ndvi"), path)
+    asked = cubes.years(spark, sf_dir).withColumns(key).withColumnRenamed("yr", "year")
+    read = raster.read_years(spark, path, "all", 1, [1995, 1996, 2000]).groupBy("year").agg(F.count("*").alias("pixels"))
+    missing = raster.missing_years(asked, spark.read.parquet(path)).select("year", F.lit(-1).cast("long").alias("pixels"))
+    return read.union(missing)
+
+
+@query
+def stored_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles written by scene and place, read back: shapes and places in the mosaic."""
+    path = shared_path(spark, "tiles")
+    cells = tiles.inference_tiles(cubes.pixel_cube(spark, sf_dir, [1996, 2001]), TILE)
+    raster.write_tiles(cells.select(F.col("yr").alias("scene"), "tile_row", "tile_col", (F.col("r") % TILE).alias("r"), (F.col("c") % TILE).alias("c")), path)
+    back = tiles.mosaic(spark.read.parquet(path), TILE, TILE)
+    placed = back.groupBy("scene", "tile_row", "tile_col").agg(F.sum("mosaic_r").alias("sum_r"), F.sum("mosaic_c").alias("sum_c"))
+    return raster.tile_index(back).join(placed, ["scene", "tile_row", "tile_col"])
+
+
+@query
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change masks and their statistics written, and read back from Parquet and JSON."""
+    masks, results, schema = shared_path(spark, "masks"), shared_path(spark, "results"), "change_type string, pixels long, area_hectares double"
+    hit = transitions.transition_pixels(_pairs(spark, sf_dir)).select("px", "change_type")
+    sinks.write_masks(hit, masks)
+    sinks.write_json(transitions.transition_stats(hit, ["change_type"]).select("change_type", "pixels", "area_hectares"), results)
+    read = raster.json_results(spark, f"{results}-of-old", results, schema=schema, lines=True)
+    mask = spark.read.parquet(masks).groupBy("change_type").agg(F.sum("px").alias("sum_px"))
+    return read.join(mask, "change_type")
+
+
+@query
+def cache_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache entries added in two writes, and what is left once the expired ones are gone."""
+    _, entries, now = _cache(spark, sf_dir)
+    path, left = shared_path(spark, "cache"), shared_path(spark, "left")
+    for k in (0, 1):
+        sinks.append(entries.where(F.col("id") % 2 == k), path)
+    sinks.replace_live(spark.read.parquet(path), now, 3, left)
+    return spark.read.parquet(left).select("id", "key")

@@ -148,7 +148,28 @@ _TYPES = (("deforestation", "b = 2 AND a IN (1, 4, 5)", "255,0,0"), ("constructi
 # a fixed linear model over years and indices, of which missing years are zeros
 _MODEL = " + ".join(f"0.25::DOUBLE * (yr - 1998) * {w}::DOUBLE * {x}" for x, w in (("ndvi", -0.5), ("ndbi", 0.35), ("ndwi", 0.15)))
 
+# a request for 1998 and 1999, of which the years 1996 to 2000 are read
+_REQUEST = CLASSES.replace("FROM lineitem GROUP BY 1, 2)", "FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2000 GROUP BY 1, 2)").replace("yr IN (1996, 1997)", "yr IN (1997, 1998)").replace("yr IN (2000, 2001)", "yr IN (1999, 2000)").replace("count(*) > 50", "count(*) > 20")
+_AFFINE = """t AS (SELECT y, x, (y + 0.5::DOUBLE) * (2::DOUBLE / 3) + 0.25::DOUBLE - 0.5::DOUBLE AS fy, (x + 0.5::DOUBLE) * (2::DOUBLE / 3) - 1::DOUBLE / 3 - 0.5::DOUBLE AS fx, h, w
+  FROM (SELECT unnest(range(h * 3 // 2)) AS y, h, w FROM grid), (SELECT unnest(range(w * 3 // 2)) AS x FROM grid)),
+p AS (SELECT y, x, CAST(greatest(0, least(h - 1, floor(fy) + i)) AS BIGINT) AS r, CAST(greatest(0, least(w - 1, floor(fx) + j)) AS BIGINT) AS c,
+  CASE WHEN i = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE WHEN j = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS wt FROM t, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))"""
+
 SQL: dict[str, str] = {
+    "pixel_mosaic": _q(f"""{_P}, s AS (SELECT aoi, yr, l_partkey % 256 AS px, l_linenumber IN (2, 4, 5, 6, 7) AS valid, coalesce(cloud, 100) AS cl, start, id, l_linenumber AS line FROM lineitem JOIN prod ON id = l_orderkey WHERE coalesce(cloud, 100) <= 95)""",
+        """SELECT aoi, yr, px, valid, CASE WHEN valid THEN id ELSE -1 END AS id, CASE WHEN valid THEN line ELSE -1 END AS line FROM s
+  QUALIFY row_number() OVER (PARTITION BY aoi, yr, px ORDER BY valid DESC, cl, start DESC, id, line) = 1"""),
+    "request_summary": _q(_REQUEST, _WHOLE, True),
+    "comparable_transitions": _q(f"""{PAIRS}, shape AS (SELECT r // 3 AS tr, c // 3 AS tc, yr, max(r) - min(r) AS h, max(c) - min(c) AS v FROM cube WHERE yr IN (1996, 2001) GROUP BY 1, 2, 3),
+alike AS (SELECT a.tr, a.tc FROM shape a JOIN shape b USING (tr, tc, h, v) WHERE a.yr = 1996 AND b.yr = 2001)""",
+        "SELECT px, change_type FROM pairs JOIN rule ON list_contains(f, b) AND list_contains(t, a) JOIN alike ON tr = r // 3 AND tc = c // 3"),
+    "resample_affine": _q(f"{MASK}, {_AFFINE}", """SELECT y AS r, x AS c, round(sum(wt * nir) / sum(wt), 6) + 0.0::DOUBLE AS nir FROM p JOIN (SELECT r, c, nir FROM cube WHERE yr = 2001) m USING (r, c) GROUP BY 1, 2 HAVING sum(wt) > 1e-9"""),
+    "stored_years": _q(CUBE, """SELECT CAST(yr AS INTEGER) AS year, count(*) AS pixels FROM cube WHERE yr IN (1996, 2000) GROUP BY 1
+UNION ALL SELECT DISTINCT CAST(yr AS INTEGER), CAST(-1 AS BIGINT) FROM cube WHERE yr NOT IN (1996, 1997, 1999, 2000)"""),
+    "stored_tiles": _q(CUBE, """SELECT CAST(yr AS INTEGER) AS scene, CAST(r // 16 AS INTEGER) AS tile_row, CAST(c // 16 AS INTEGER) AS tile_col, max(r) - min(r) + 1 AS rows, max(c) - min(c) + 1 AS columns,
+  CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c FROM cube WHERE yr IN (1996, 2001) GROUP BY 1, 2, 3"""),
+    "stored_results": _q(PAIRS, "SELECT change_type, pixels, area_hectares, CAST(s AS BIGINT) AS sum_px FROM stats JOIN (SELECT change_type, sum(px) AS s FROM hit GROUP BY 1) USING (change_type)"),
+    "cache_kept": _q(_CACHE, "SELECT id, key FROM entry WHERE created + INTERVAL 3 DAY > TIMESTAMP '2024-01-25'"),
     "cache_stream": _q(f"""{_CACHE}, vw AS (SELECT event_id, ts, key FROM ev WHERE event_type = 'view'),
 newest AS (SELECT key, created, max(id) AS id FROM entry GROUP BY 1, 2)""", """SELECT CASE WHEN entry IS NULL THEN 'miss' ELSE 'hit' END AS kind, key, id, "at", coalesce(entry, -1) AS entry FROM
   (SELECT v.key, v.event_id AS id, strftime(v.ts, '%Y-%m-%d %H:%M:%S.%f') AS "at", CASE WHEN n.created + INTERVAL 3 DAY > v.ts THEN n.id END AS entry FROM vw v ASOF LEFT JOIN newest n ON n.key = v.key AND n.created <= v.ts)
@@ -264,3 +285,6 @@ SELECT city, coalesce(name, city) AS name, CASE WHEN name IS NULL THEN 'Unknown'
 FROM events WHERE event_type = 'purchase'""",
     "year_sources": _q(_P, "SELECT aoi, yr, id, cloud FROM prod WHERE cloud <= 95 QUALIFY row_number() OVER (PARTITION BY aoi, yr ORDER BY cloud, start DESC, id) = 1"),
 }
+
+#: The same rows by another way.
+SQL["trend_from_state"] = SQL["trend_map"]

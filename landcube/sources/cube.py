@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landcube.functions.indices import normalized_difference
+from landcube.functions.indices import is_clear, normalized_difference
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,17 @@ def grid_width(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return width, n + 1
 
 
-def years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """yr: the years there are."""
-    return table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("yr")).distinct()
+def years(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
+    """yr: the years there are, or those of ``only`` that there are."""
+    return _of_years(table(spark, sf_dir, "lineitem"), only).select(F.year("l_shipdate").alias("yr")).distinct()
+
+
+def _of_years(source: DataFrame, only: list[int] | None) -> DataFrame:
+    """Rows of some years. They are also a range of dates, which the scan can skip row groups by."""
+    if not only:
+        return source
+    day = F.col("l_shipdate")
+    return source.where((day >= F.lit(f"{min(only)}-01-01").cast("timestamp_ntz")) & (day < F.lit(f"{max(only) + 1}-01-01").cast("timestamp_ntz")) & F.year(day).isin(*only))
 
 
 def of_year(cube: DataFrame, year: int) -> DataFrame:
@@ -38,17 +46,14 @@ def _units(name: str, scale: int = 1) -> Column:
 def pixel_cube(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
     """yr, px, r, c, n, nir, red, green, swir, valid, ade, cls. Whole numbers are summed and divided once.
 
-    Years asked for with ``only`` are also a range of dates, which the scan can skip row groups by.
+    Of the years in ``only``, or all.
     """
     width, _ = grid_width(spark, sf_dir)
-    source = table(spark, sf_dir, "lineitem")
-    if only:
-        day = F.col("l_shipdate")
-        source = source.where((day >= F.lit(f"{min(only)}-01-01").cast("timestamp_ntz")) & (day < F.lit(f"{max(only) + 1}-01-01").cast("timestamp_ntz")) & F.year(day).isin(*only))
+    source = _of_years(table(spark, sf_dir, "lineitem"), only)
     rows = source.select(F.year("l_shipdate").alias("yr"), F.col("l_partkey").alias("px"), "l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_linenumber", "l_suppkey")
     sums = rows.groupBy("yr", "px").agg(
         F.count("*").alias("n"), F.sum(_units("l_quantity")).alias("q"), F.sum(_units("l_extendedprice", 100)).alias("e"), F.sum(_units("l_tax", 100)).alias("t"),
-        F.sum(_units("l_discount", 100)).alias("d"), F.bool_or(F.col("l_linenumber").isin(2, 4, 5, 6, 7)).alias("valid"), F.sum("l_suppkey").alias("s"),
+        F.sum(_units("l_discount", 100)).alias("d"), F.bool_or(is_clear(F.col("l_linenumber"))).alias("valid"), F.sum("l_suppkey").alias("s"),
     )
     n = F.col("n")
     return sums.select(
@@ -57,8 +62,8 @@ def pixel_cube(spark: SparkSession, sf_dir: str, only: list[int] | None = None)
     )
 
 
-def index_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_cube(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
     """The cube with ndvi, ndbi and ndwi."""
-    c = pixel_cube(spark, sf_dir)
+    c = pixel_cube(spark, sf_dir, only)
     nd = normalized_difference
     return c.withColumns({"ndvi": nd(c["nir"], c["red"]), "ndbi": nd(c["swir"], c["nir"]), "ndwi": nd(c["green"], c["nir"])})
