@@ -10,13 +10,15 @@ selected by several windows is one fingerprint. Two documents that share a run s
    lines' hashes; the earliest of equal ones (smaller doc_id, or same doc_id and earlier line) stays.
 3. Later windows that overlap or touch make up the maximal repeated runs; their lines are removed.
 
-A fingerprint's count and a window's first occurrence are aggregates that every task forms before the shuffle, so a line
-that a third of the corpus shares is one row per task there. Both are written and read again, so both sides of the joins
+Fingerprints are written once, without the texts. A fingerprint's count and a window's first occurrence are aggregates that every task forms before the shuffle, so a line
+that a third of the corpus shares is one row per task there. Both are written and read again too, so both sides of the joins
 that bring them back come from plain shuffles, and the adaptive skew join splits such a line's rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,11 @@ def fingerprints(documents: DataFrame, span: int, long: int) -> DataFrame:
     """doc_id, own (the row's key), p (the line's place among those not blank), fp (its hash), wide, and what is around it:
     low (the first place that a window with p can have), near (hashes from there on) and lines (their places among all)."""
     full = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(F.trim(x, F.lit(AROUND)).alias("x"), i.alias("i"))), lambda e: e["x"] != "")
-    wide = lambda x: (F.length(x) > 2 * long) & (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0d]+")) > long)
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" ")))
+    # single spaces alone are counted without splitting the line
+    single = lambda x: ~reduce(lambda a, b: a | b, [F.contains(x, F.lit(y)) for y in ("  ", *AROUND[1:])])
+    words = lambda x: F.when(single(x), spaces(x) + 1).otherwise(F.size(F.split(x, r"[\x20\x09-\x0d]+")))
+    wide = lambda x: (F.length(x) > 2 * long) & (words(x) > long)
     lines = F.transform(full, lambda e: F.struct(F.xxhash64(e["x"]).alias("h"), e["i"].alias("at"), wide(e["x"]).alias("wide")))
     rows = need(documents, "doc_id", "text").select("doc_id", row_key(F.col("text")).alias("own"), lines.alias("e"))
     minima = F.transform(upto(F.size("e") - span), lambda s: s + place_of_least(F.slice("e", s + 1, span)["h"]))
@@ -80,7 +86,7 @@ def windows_of(marked: DataFrame, span: int) -> DataFrame:
 
 def repeated_lines(documents: DataFrame, span: int, long: int) -> DataFrame:
     """doc_id, own and gone: the lines (from 0) of the windows that occur earlier, per row."""
-    marked = fingerprints(documents, span, long)
+    marked = materialize(fingerprints(documents, span, long), "marked")
     repeated = materialize(marked.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "fingerprints")
     place = F.struct("doc_id", "s")
     windows = materialize(windows_of(marked.join(repeated, "fp"), span), "windows")
