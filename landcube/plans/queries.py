@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from landcube.functions import geo
 from landcube.functions import indices as ix
-from landcube.operators import blocks, change, composite, model, morphology, store, tiles, transitions
+from landcube.operators import blocks, change, composite, model, morphology, outlines, store, tiles, transitions
 from landcube.operators import components as regions_of
 from landcube.sources import cube as cubes
 from landcube.sources import raster, rastersource, sinks
@@ -660,3 +660,11 @@ def cache_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.append(entries.where(F.col("id") % 2 == k), path)
     sinks.replace_live(spark.read.parquet(path), now, 3, left)
     return spark.read.parquet(left).select("id", "key")
+
+
+@query
+def region_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the outlines of regions of more than three pixels enclose, how long they are, and the box around them."""
+    mask, w, n = _mask(spark, sf_dir)
+    made = outlines.outlines(mask, w, n, above=3, tile=64)
+    return made.where(F.col("wkt").startswith("MULTILINESTRING")).drop("wkt", "rings")

@@ -156,6 +156,9 @@ p AS (SELECT y, x, CAST(greatest(0, least(h - 1, floor(fy) + i)) AS BIGINT) AS r
   CASE WHEN i = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE WHEN j = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS wt FROM t, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))"""
 
 SQL: dict[str, str] = {
+    "region_outlines": _q(f"""{MASK}, {_regions("mask", "lab")}, open AS (SELECT a.r, a.c, 4 - count(b.r) AS sides FROM lab a LEFT JOIN lab b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 AND b.r BETWEEN a.r - 1 AND a.r + 1 GROUP BY 1, 2)""",
+        """SELECT region, CAST(count(*) AS DOUBLE) AS area, CAST(sum(sides) AS BIGINT) AS perimeter, min(c) AS west, min(r) AS north, max(c) + 1 AS east, max(r) + 1 AS south
+  FROM lab JOIN open USING (r, c) GROUP BY 1 HAVING count(*) > 3""", True),
     "pixel_mosaic": _q(f"""{_P}, s AS (SELECT aoi, yr, l_partkey % 256 AS px, l_linenumber IN (2, 4, 5, 6, 7) AS valid, coalesce(cloud, 100) AS cl, start, id, l_linenumber AS line FROM lineitem JOIN prod ON id = l_orderkey WHERE coalesce(cloud, 100) <= 95)""",
         """SELECT aoi, yr, px, valid, CASE WHEN valid THEN id ELSE -1 END AS id, CASE WHEN valid THEN line ELSE -1 END AS line FROM s
   QUALIFY row_number() OVER (PARTITION BY aoi, yr, px ORDER BY valid DESC, cl, start DESC, id, line) = 1"""),
