@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from landcube.llm.common import materialize, need
 from landcube.llm.packing import tokenizer_path
 
-#: Bytes of text in a block; links that are expanded at once.
-BLOCK_BYTES, LINKS = 4_000_000, 1_000_000
+#: Bytes of text in a block; links that are expanded at once; characters of a stretch with or without blanks that is long.
+BLOCK_BYTES, LINKS, STRETCH = 4_000_000, 1_000_000, 5_000
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 ALIGNED = "key binary, n long, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at binary, times binary, pairs array<long>, rows array<long>"
 
@@ -57,7 +57,8 @@ class ByteTokens:
             vocabulary = self.whole.get_vocab(with_added_tokens=False)
             self.lengths = np.zeros(max(vocabulary.values()) + 2, np.int64)
             self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
-        # characters whose classes no version of Unicode moves
+        # stretches that the faster way's patterns are too deep for, and characters whose classes no version of Unicode moves
+        self.stretch = re.compile(rf"\S{{{STRETCH}}}|\s{{{STRETCH}}}").search
         self.settled = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧]*").fullmatch
 
     @cached_property
@@ -69,7 +70,7 @@ class ByteTokens:
         return made
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast and self.settled(text):
+        if self.fast and self.settled(text) and (len(text) < STRETCH or not self.stretch(text)):
             return np.array(self.fast.encode_ordinary(text), np.int64)
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
 

@@ -66,7 +66,7 @@ def found(frame):
     return sorted(map(tuple, frame.select("doc_id", *alignment.MEASURES, "groups_sha256").collect()), key=str)
 
 
-ODD = [None, "", " ", "   ", "  a  b\r\n\t\tc ", "one two", "a▁b", "<|endoftext|> and <s> </s>", "\x00\x01 x", "é é ÄÖ ñ", "😀😀 ال 中文字符 ก็", "don't won't  we'll", "x" * 5000, " " * 3000 + "y", "\n" * 500, "日" * 400, "12345 67,8.9!?", "aA" * 700, "one two", "    　z", "the cat " * 40, "ends  \n", "ends \n\n", " \n"]
+ODD = [None, "", " ", "   ", "  a  b\r\n\t\tc ", "one two", "a▁b", "<|endoftext|> and <s> </s>", "\x00\x01 x", "é é ÄÖ ñ", "😀😀 ال 中文字符 ก็", "don't won't  we'll", "x" * 5000, " " * 3000 + "y", "\n" * 500, "日" * 400, "b" * 40_000, " " * 20_000, "c1" * 3000 + " x", "12345 67,8.9!?", "aA" * 700, "one two", "    　z", "the cat " * 40, "ends  \n", "ends \n\n", " \n"]
 
 
 @pytest.mark.parametrize("block", [8_000_000, 50])
