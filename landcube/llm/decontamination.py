@@ -106,7 +106,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = 13) ->
     items (ids, sorted).
 
     Null, empty and wordless texts have no words and no hits; so have all if the benchmark is empty. Rows that share a
-    doc_id, or have none, are judged each for itself. Extra columns are ignored.
+    doc_id, or have none, are judged each for itself. An item without an id marks words like any other, but is not among
+    the items. Extra columns are ignored.
     """
     windows = materialize(benchmark_windows(benchmark, span), "windows")
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most ``span`` numbers

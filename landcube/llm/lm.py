@@ -289,25 +289,45 @@ def read_symbols(batch: pa.RecordBatch, name: str = "symbols") -> list[np.ndarra
     return [np.frombuffer(x, np.uint32) for x in batch.column(name).to_pylist()]
 
 
+#: Parameters in a block of expected counts, and parts that the tasks' blocks are summed in before the parts are.
+BLOCK, PARTS = 4096, 256
+
+
 def baum_welch(training: DataFrame, model: Hmm, mass: np.ndarray) -> Hmm:
-    """One pass over all rows of ``training`` (symbols): expected counts by task, summed by Spark."""
+    """One pass over all rows of ``training`` (symbols): expected counts by task, summed by Spark.
+
+    A task sends blocks of its counts, each a binary value, so that neither a shuffle nor the driver has a row for each
+    parameter. A block's sums are formed in two steps, so that no group holds the blocks of all tasks.
+    """
     s, size = len(model.start), len(mass)
+    n = s + s * s + size * s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(s + s * s + size * s)
-        for batch in batches:
-            total += np.concatenate([c.ravel() for c in model.counts(read_symbols(batch))])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+        from pyspark import TaskContext
 
-    total = np.zeros(s + s * s + size * s)
-    for r in training.select("symbols").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        total[r["at"]] = r["n"]  # as many numbers as the model has parameters
+        total = np.zeros(-(-n // BLOCK) * BLOCK)
+        for batch in batches:
+            total[:n] += np.concatenate([c.ravel() for c in model.counts(read_symbols(batch))])
+        blocks = total.reshape(-1, BLOCK)
+        at = np.flatnonzero(blocks.any(axis=1))
+        part = np.full(len(at), TaskContext.get().partitionId() % PARTS, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part), pa.array([b.tobytes() for b in blocks[at]], pa.binary())], names=["block", "part", "counts"])
+
+    def added(key: tuple, own: pa.Table) -> pa.Table:
+        whole = np.sum([np.frombuffer(x) for x in own["counts"].to_pylist()], axis=0)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([0], pa.int32()), "counts": pa.array([whole.tobytes()], pa.binary())})
+
+    kind = "block long, part int, counts binary"
+    sums = training.select("symbols").mapInArrow(run, kind).groupBy("block", "part").applyInArrow(added, kind).groupBy("block").applyInArrow(added, kind)
+    total = np.zeros(-(-n // BLOCK) * BLOCK)
+    for r in sums.select("block", "counts").collect():  # a row for each block of the model's parameters
+        total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"])
+    total = total[:n]
     return Hmm.fitted(total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s :].reshape(size, s), mass)
 
 
 def score(documents: DataFrame) -> DataFrame:
-    """The contract's columns: counts, base_score and score (log10) of every document row.
+    """The contract's columns: counts, base_score and score (log10, rounded to nine places) of every document row.
 
     A null or empty text is its end alone. Without training documents all counts are zero and the model has equal states.
     Repeated rows are scored each for itself; extra columns are ignored; an empty table gives no rows.
