@@ -514,11 +514,11 @@ def cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", F.lit(cache.ENTRY)).otherwise(F.lit(cache.REQUEST))
     made = events.select(_key().alias("key"), F.col("event_id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
     folder, day = shared_path(spark, "arrivals"), F.dayofmonth("ts")
-    for first in range(1, 32, 6):  # arrivals of six days each, in the order of time
+    for first in range(1, 32, 6):  # arrivals of six days each, in the order of time; its own files are in none
         made.where((day >= first) & (day < first + 6)).write.mode("append").parquet(folder)
-    end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("id"), F.lit("2024-02-01 01:00:00").cast("timestamp").alias("ts"), F.lit(cache.TICK).alias("kind"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("id"), F.lit("2024-02-07").cast("timestamp").alias("ts"), F.lit(cache.TICK).alias("kind"))
     end.write.mode("append").parquet(folder)
-    found = cache.stream_cache(spark, folder, 3)
+    found = cache.stream_cache(spark, folder, 3, late="6 days")
     return found.select("kind", "key", "id", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.coalesce("entry", F.lit(-1)).alias("entry"))
 
 

@@ -88,3 +88,32 @@ def test_equals_the_batch_queries(spark, tmp_path):
     assert found(got.where("kind = 'hit'").select("key", "id", "entry")) == found(hits)
     due = (START + timedelta(hours=480)).timestamp() * 1e6
     assert found(got.where((F.col("kind") == "expired") & (F.col("us") <= due)).select("id", "key")) == found(store.expired(entries, now, 3).select("id", "key"))
+
+
+def test_arrival_of_many_files(spark, tmp_path):
+    """Files of one arrival that fall into several batches, in no order of time, lose no event."""
+    from pathlib import Path
+
+    from comparing import duck
+
+    from landcube.plans.queries import cache_stream
+    from landcube.plans.sql import SQL
+
+    source = "/root/testdata/sf0.001"
+    for p in Path(source).iterdir():
+        if p.stem != "events":
+            (tmp_path / p.name).symlink_to(p)
+    spark.read.parquet(f"{source}/events.parquet").repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    rows = duck(source).sql(SQL["cache_stream"]).fetchall()
+    assert found(cache_stream(spark, str(tmp_path)).select("kind", "key", "id", "at", "entry")) == sorted(rows, key=str)
+
+
+def test_a_file_a_batch(spark, tmp_path):
+    """As many batches as files, in no order of time: the state's blocks are put together over all of them."""
+    rows = events(5)
+    folder = str(tmp_path / "in")
+    for k in range(0, len(rows), 40):
+        put(spark, folder, rows[k : k + 40])
+    put(spark, folder, [(-1, -1, 480.0 + 20 * 24, cache.TICK)])
+    put(spark, folder, [(-1, -2, 1000.0 + 20 * 24, cache.TICK)])
+    assert found(cache.stream_cache(spark, folder, 3, late="20 days", most=1)) == plain(rows, 3, 1000)
