@@ -553,7 +553,7 @@ def _tile_stream(spark: SparkSession, sf_dir: str) -> str:
     cut = named.withColumn("content", F.when(broken, F.expr("substring(content, 1, cast(length(content) / 2 as int))")).otherwise(F.col("content")))
     folder, state, out = (shared_path(spark, n) for n in ("files", "state", "counts"))
     sinks.write_files(cut, folder)
-    arriving = streaming.arriving_files(spark, folder, "pair_*.npy", 7).withColumn("tile", at[0] * 1000 + at[1]).withColumn("city", F.col("tile") % 7)
+    arriving = streaming.arriving_files(spark, folder, "pair_*.npy").withColumn("tile", at[0] * 1000 + at[1]).withColumn("city", F.col("tile") % 7)
     streaming.stream_tiles(streaming.tile_pairs(arriving), state, out)
     return out
 

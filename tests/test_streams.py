@@ -59,3 +59,14 @@ def test_a_tile_in_several_batches_counts_once(spark, tmp_path):
     totals.stream_tiles(spark.readStream.schema(totals.SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder), state, out)
     [r] = totals.city_totals(totals.latest_tiles(spark, out)).collect()
     assert (r["pixels_processed"], r["tiles_processed"], r["deforestation_hectares"]) == (40, 1, 0.4)
+
+
+def test_small_tile_files_share_a_batch(spark):
+    """A grid of nine small tiles is one batch: the number of batches doesn't follow the number of tiles at once."""
+    from pathlib import Path
+
+    from landcube.plans.queries import _tile_stream
+
+    out = Path(_tile_stream(spark, "/root/testdata/sf0.01").removeprefix("file:"))
+    assert len(list((out / "tiles").glob("batch=*"))) == 1
+    assert totals.latest_tiles(spark, str(out)).count() + totals.bad_tiles(spark, str(out)).count() == 9
