@@ -139,7 +139,13 @@ def year_sources(products: DataFrame) -> DataFrame:
 
 
 def write_tiles(cells: DataFrame, path: str) -> None:
-    cells.write.mode("overwrite").partitionBy("scene", "tile_row", "tile_col").parquet(path)
+    """Store cells by scene and place: a folder and a file for each row of tiles, in the file's order of tile_col.
+
+    So there are as many files as rows of tiles, whatever the number of tasks and tiles; a tile is found by its row's folder
+    and the file's statistics of tile_col.
+    """
+    placed = cells.repartition("scene", "tile_row").sortWithinPartitions("scene", "tile_row", "tile_col")
+    placed.write.mode("overwrite").partitionBy("scene", "tile_row").parquet(path)
 
 
 def tile_index(cells: DataFrame) -> DataFrame:

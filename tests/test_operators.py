@@ -259,6 +259,19 @@ def test_sinks(spark, tmp_path):
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "live")).collect()] == [2]
 
 
+def test_tiles_are_a_file_a_row_of_tiles(spark, tmp_path):
+    """However many tasks hold cells of a tile, and however many tiles a row has."""
+    from landcube.sources import raster
+
+    n = F.col("id")
+    cells = spark.range(0, 3200, 1, 8).select((n % 2).alias("scene"), (n % 4).cast("int").alias("tile_row"), (n % 10).cast("int").alias("tile_col"), (n % 7).alias("r"), (n % 5).alias("c"))
+    raster.write_tiles(cells, str(tmp_path / "tiles"))
+    files = list((tmp_path / "tiles").rglob("*.parquet"))
+    assert len(files) == len({f.parent for f in files}) == 4  # each scene has two of the rows here
+    back = spark.read.parquet(str(tmp_path / "tiles")).select(*cells.columns)
+    assert back.exceptAll(cells.select(F.col("scene").cast("int"), "tile_row", "tile_col", "r", "c")).count() == 0 and back.count() == 3200
+
+
 def test_mosaic_and_bands(spark):
     cells = spark.createDataFrame([(1, 2, 3, 4)], "tile_row int, tile_col int, r int, c int")
     assert tuple(only(tiles.mosaic(cells, 10, 20).select("mosaic_r", "mosaic_c"))) == (13, 44)
