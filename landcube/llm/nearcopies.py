@@ -1,10 +1,12 @@
 """Groups of near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Min-hash bands bring candidates together: two texts at 0.8 share one of ``BANDS`` bands of ``ROWS`` min-hashes with
-probability 0.998, more alike ones with more. Equal sets are one point from the start. Candidates are verified by the exact
-Jaccard similarity of their shingle sets; only sets with a candidate are shuffled. Buckets with the same members are taken
-once. Within a bucket a search from set to set gives edges that connect what its links connect; buckets over ``BUCKET``
-members are dealt out as pairs of blocks, so every two members meet in a task.
+Candidates come from SimHash. Each shingle's hash is mixed to ``WORDS`` hashes of 64 bits, and a fingerprint bit is 1 if it is set
+in over half of the set's. At a similarity of 0.8 a bit differs with probability 0.152; ``BANDS`` bands of ``WIDTH`` bits bring two
+such sets together in one band at least with probability 0.9999. Within a band's bucket those with at most ``LIMIT`` differing
+of the first 128 bits (19 on average at 0.8, 64 for unrelated sets) are linked, and the components of these links are groups of
+candidates. Within a group the links are those of the exact Jaccard similarity of shingle sets; a search from set to set
+gives edges that connect what the links connect. Equal sets are one point from the start, and only sets of a group are shuffled.
+Groups over ``BUCKET`` members, and buckets over ``HELD``, are dealt out as pairs of blocks, so every two members meet in a task.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 from landcube.llm.common import materialize, need
 from landcube.llm.components import connected_components
 
-SHINGLE, ALIKE, BANDS, ROWS, BUCKET, SEED = 5, (4, 5), 12, 4, 1024, 42
-MIX, ODD = (np.random.default_rng(k).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(k) for k in (0, 1))
+SHINGLE, ALIKE, BUCKET, SEED = 5, (4, 5), 1024, 42
+WORDS, WIDTH, BANDS, LIMIT, HELD = 12, 12, 64, 36, 16_384
+SALT = np.random.default_rng(0).integers(0, 1 << 64, WORDS, np.uint64)
+#: Of the min-hash bands that the toxicity model's sample is thinned by.
+MIN_BANDS, ROWS = 12, 4
+MIX, ODD = (np.random.default_rng(k).integers(0, 1 << 64, MIN_BANDS * ROWS, np.uint64) | np.uint64(k) for k in (0, 1))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -52,10 +58,55 @@ def bands(own: np.ndarray) -> list[int]:
 
     if not len(own):
         return []
-    least = np.array([((own ^ x) * k).min() for x, k in zip(MIX, ODD, strict=True)], np.uint64).reshape(BANDS, ROWS)
+    least = np.array([((own ^ x) * k).min() for x, k in zip(MIX, ODD, strict=True)], np.uint64).reshape(MIN_BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least)], np.uint64).view(np.int64).tolist()
 
 
+def simhash(own: np.ndarray) -> np.ndarray:
+    """The set's SimHash: ``WORDS`` words of 64 bits, the lowest bit of a word first."""
+    counts = np.zeros(WORDS * 64, np.int64)
+    for at in range(0, len(own), 255):  # so many ones fit into a byte
+        x = own[at : at + 255, None] + SALT
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(own), bitorder="little").view(np.uint64)
+
+
+def band_keys(fingerprint: np.ndarray) -> np.ndarray:
+    """A number for each band: which it is, and its bits."""
+    bits = np.unpackbits(fingerprint.view(np.uint8), bitorder="little")[: BANDS * WIDTH].reshape(BANDS, WIDTH)
+    return (np.arange(BANDS) << WIDTH) + bits @ (1 << np.arange(WIDTH))
+
+
+def close(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges (of positions) between fingerprints (rows of words) that connect what pairs at ``LIMIT`` or fewer bits connect."""
+
+    def hits(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(some[:, None, k] ^ others[None, :, k]).astype(np.uint16) for k in range(points.shape[1])) <= LIMIT
+
+    found, n = [], 0
+    for at in range(0, len(points), 256):
+        i, j = np.nonzero(np.triu(hits(points[at : at + 256], points[at:]), 1))
+        found.append((i + at, j + at))
+        n += len(i)
+        if n > 2 * len(points):  # many alike: one edge for each that a search reaches
+            break
+    else:
+        return found
+    found, rest = [], np.arange(len(points))
+    while len(rest) > 1:
+        stack, rest = [rest[0]], rest[1:]
+        while stack and len(rest):
+            own = stack.pop()
+            near = hits(points[[own]], points[rest])[0]
+            found.append((np.full(int(near.sum()), own), rest[near]))
+            stack.extend(rest[near])
+            rest = rest[~near]
+    return found
+
+
 def near(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Which of ``others`` have a Jaccard similarity of ``ALIKE`` or more with ``own``; all are sorted and not empty."""
     sizes, (a, b) = np.array([len(x) for x in others]), ALIKE
@@ -85,18 +136,23 @@ def spanning(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def marks(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, node (number of the row's shingle set) and keys (its bands) of rows (rid, doc_id, text)."""
+    """rid, doc_id, node (number of the row's shingle set), the first two words of its SimHash and keys (its bands; none for an
+    empty set) of rows (rid, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, words, keys = [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingles(text)
+                made = simhash(own)
                 nodes.append(node_of(own))
-                keys.append(bands(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["rid", "doc_id", "node", "keys"])
+                words.append(made[:2].view(np.int64))
+                keys.append(band_keys(made) if len(own) else [])
+            low, high = np.array(words, np.int64).reshape(-1, 2).T
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(low), pa.array(high), pa.array(keys, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "node", "low", "high", "keys"])
 
-    return need(rows, "rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, node long, keys array<long>")
+    return need(rows, "rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, node long, low long, high long, keys array<int>")
 
 
 def sets_of(documents: DataFrame) -> DataFrame:
@@ -110,17 +166,44 @@ def sets_of(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "node long, own binary")
 
 
+def candidates(points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose components hold all that share a band and differ in ``LIMIT`` bits at most. points: node, low,
+    high, keys."""
+    keyed = points.select("node", "low", "high", F.explode("keys").alias("key"))
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    blocks = F.ceil(F.col("n") / HELD).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
+    dealt = keyed.join(F.broadcast(sizes), "key")  # BANDS << WIDTH rows at most
+    dealt = dealt.select("node", "low", "high", "key", own.alias("one"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("key", F.least("one", "other"), F.greatest("one", "other")).alias("task"), "node", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(nodes: np.ndarray, ends: list) -> pa.RecordBatch:
+            made = [(nodes[i + at], nodes[j + at]) for at, points in ends if len(points) > 1 for i, j in close(points)]
+            a, b = (np.concatenate([nodes[:0], *[e[k] for e in made]]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held = np.zeros((0, 4), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            cuts = [0, *(np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1)]
+            words = np.ascontiguousarray(held[:, 2:]).view(np.uint64)
+            yield out(held[:, 1], [(a, words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            held = held[cuts[-1] :]
+        yield out(held[:, 1], [(0, np.ascontiguousarray(held[:, 2:]).view(np.uint64))])
+
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
 def links(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes; their components are those of all verified candidates. points: node, first (row), keys."""
-    keyed = points.select("node", F.explode("keys").alias("key"))
-    members = [F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    buckets = keyed.groupBy("key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    buckets = materialize(buckets.select("key", "n"), "buckets")
+    """Pairs (a, b) of nodes; their components are those of all verified candidates. points: node, first (row), low, high, keys."""
+    groups = materialize(connected_components(candidates(points)).withColumnRenamed("root", "key"), "groups")
+    sizes = materialize(groups.groupBy("key").agg(F.count("*").alias("n")), "sizes")
     blocks = F.ceil(F.col("n") / BUCKET).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")
-    dealt = keyed.join(buckets, "key").select("node", "key", own.alias("one"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = groups.join(sizes, "key").select("node", "key", own.alias("one"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = materialize(dealt.select("node", F.xxhash64("key", F.least("one", "other"), F.greatest("one", "other")).alias("task")), "dealt")
-    wanted = points.join(dealt.select("node").distinct(), "node", "left_semi").select(F.col("first.rid").alias("rid"))
+    wanted = points.join(groups, "node", "left_semi").select(F.col("first.rid").alias("rid"))
     sets = materialize(sets_of(need(rows, "rid", "text").join(wanted, "rid", "left_semi")), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +238,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     own. An empty table gives no rows; extra columns are ignored.
     """
     made = materialize(marks(rows), "marks")
-    points = materialize(made.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.first("keys").alias("keys")), "points")
+    points = materialize(made.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("first"), *[F.first(x).alias(x) for x in ("low", "high", "keys")]), "points")
     roots = connected_components(links(rows, points)).withColumnRenamed("node", "of")
     rooted = points.join(roots, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")

@@ -926,3 +926,33 @@ def test_pipeline_stages_on_odd_rows(spark):
             docs = stage(spark, docs, SF)
             assert docs.columns == cp.COLUMNS
         assert cp.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_near_duplicate_stage_goes_by_simhash():
+    """The fingerprint is the majority of the shingles' bits, its bands are its bits, and near sets meet by them."""
+    from landcube.llm import nearcopies as nc
+
+    def plain(own):
+        bits = []
+        for mix in nc.SALT.tolist():
+            mixed = []
+            for h in own.tolist():
+                x = (h + mix) % 2**64
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+                mixed.append(x ^ x >> 31)
+            bits += [2 * sum(x >> b & 1 for x in mixed) > len(mixed) for b in range(64)]
+        return bits
+
+    rng, met, far = np.random.default_rng(4), 0, []
+    for n in (1, 2, 9, 256, 600):
+        own = nc.shingles(" ".join(f"w{rng.integers(1 << 40)}" for _ in range(n + 4)))
+        made, want = nc.simhash(own), plain(own)
+        assert len(own) == n and [int(made[b // 64]) >> (b % 64) & 1 for b in range(64 * nc.WORDS)] == want
+        assert nc.band_keys(made).tolist() == [(k << nc.WIDTH) + sum(want[k * nc.WIDTH + b] << b for b in range(nc.WIDTH)) for k in range(nc.BANDS)]
+    for _ in range(300):  # just at 0.8
+        both = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+        a, b = nc.simhash(both[:90]), nc.simhash(np.concatenate([both[:80], both[90:]]))
+        met += bool((nc.band_keys(a) == nc.band_keys(b)).any()) and len(nc.close(np.stack([a[:2], b[:2]]))[0][0]) == 1
+        far.append(int(np.bitwise_count(a ^ nc.simhash(rng.integers(0, 1 << 63, 90).astype(np.uint64))).sum()))
+    assert met >= 298 and abs(np.mean(far) - 32 * nc.WORDS) < 5
