@@ -163,6 +163,56 @@ def test_cover_tree_prunes_exactly():
         assert found[i][1].tolist() == order and found[i][0].tolist() == scores[order].tolist()
 
 
+def test_products_are_formed_in_batches():
+    """Vectors that admit no pruning cost little more than their products: no step for each query and leaf."""
+    rng = np.random.default_rng(8)
+    data, seen = rng.integers(-300, 300, (3000, 64)), {}
+    found = covertree.dual_search(data[:300], np.arange(300), np.full(300, -np.inf), data, np.arange(3000), 10, seen)
+    assert seen["products"] > 500_000 and seen["batches"] <= seen["products"] / 10_000
+    for i in (0, 77, 299):
+        scores = data @ data[i]
+        order = [j for j in np.lexsort((np.arange(3000), -scores)) if j != i][:10]
+        assert found[i][1].tolist() == order and found[i][0].tolist() == scores[order].tolist()
+
+
+@pytest.mark.parametrize("size", [20, 40_000, 10**7, 10**11, 4 * 10**18])
+def test_dual_search_at_every_width(size):
+    """Products in single floats, doubles and whole numbers, ties at the kth score and at a saturated one among them."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(-size, size, (400, 3))
+    data[200:260] = data[0]
+    queries, ids = np.concatenate([data[:40], -data[:40]]), rng.permutation(400)
+    asked = np.concatenate([ids[:40], ids[:40]])
+    scores = np.clip(queries.astype(object) @ data.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
+    for worst in (-np.inf, float(-(2**63))):
+        found = covertree.dual_search(queries, asked, np.full(80, worst), data, ids, 10)
+        for i in range(80):
+            others = np.flatnonzero(ids != asked[i])
+            order = others[np.lexsort((ids[others], ~scores[i, others]))][:10]
+            assert found[i][0].tolist() == scores[i, order].tolist() and found[i][1].tolist() == ids[order].tolist()
+
+
+def test_top_k_over_many_blocks_lists_and_parts(spark, monkeypatch):
+    for name, value in (("BLOCK", 25), ("LISTED", 3), ("PART_BYTES", 200)):
+        monkeypatch.setattr(covertree, name, value)
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4) * (40 if i == 5 else 1) + 2 * (i % 2))]) for i in range(0, 3000, 5)]
+    rows += [(3001 + i, rows[3][1]) for i in range(80)]
+    got = defaultdict(list)
+    for r in covertree.report(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == brute_top_k(rows) and len(got) == 30
+
+
+def test_queries_go_on_packed(spark):
+    """One row for each block and part that is asked for, not one for each query."""
+    rng = np.random.default_rng(14)
+    vectors = spark.createDataFrame([(i, rng.integers(-9, 9, 4).astype("<i2").tobytes(), i % 6) for i in range(120)], "vec_id long, v binary, block long")
+    asked = vectors.selectExpr("vec_id AS query", "vec_id", "v", "double('-Infinity') AS worst", "0 AS part", "block AS home")
+    going = covertree.going_on(asked, covertree.summaries(vectors, 4, "<i2"), 2, 4, "<i2").collect()
+    assert len(going) == 6 and all(sorted(r["query"]) == [i for i in range(120) if i % 6 != r["block"]] and len(r["v"]) == 8 * len(r["query"]) for r in going)
+
+
 # 2
 
 
