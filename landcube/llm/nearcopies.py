@@ -170,10 +170,10 @@ def candidates(points: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose components hold all that share a band and differ in ``LIMIT`` bits at most. points: node, low,
     high, keys."""
     keyed = points.select("node", "low", "high", F.explode("keys").alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    blocks = F.ceil(F.col("n") / HELD).cast("int")
+    large = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HELD), "buckets")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / HELD).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
-    dealt = keyed.join(F.broadcast(sizes), "key")  # BANDS << WIDTH rows at most
+    dealt = keyed.join(F.broadcast(large), "key", "left")  # only buckets to be split come to the driver, BANDS << WIDTH at most
     dealt = dealt.select("node", "low", "high", "key", own.alias("one"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select(F.xxhash64("key", F.least("one", "other"), F.greatest("one", "other")).alias("task"), "node", "low", "high")
 

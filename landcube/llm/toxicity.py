@@ -8,18 +8,21 @@ exact likelihood. A document's tokens get their marginals by the forward-backwar
 tokens without weights of their own are powers of one 2 x 2 matrix, so the recursion steps from weighted token to weighted
 token and is still exact. The marginals aggregate to a score by a logistic fit on the same sample.
 
-Every task scores its own documents; only the sample comes to the driver.
+Every task scores its own documents; only the sample comes to the driver, as Arrow, and is read text by text there: its tokens
+are kept as four-byte numbers of one vocabulary.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +42,11 @@ def tokens(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def distinct_texts(texts: list[list[str]]) -> list[set[str]]:
-    """The word sets of texts, without near copies of one kept before: 5-word shingles at Jaccard 0.8 or more, verified."""
+def first_of_copies(texts: Iterable[list[str]]) -> list[int]:
+    """Places of the texts that are no near copies of one kept before: 5-word shingles at Jaccard 0.8 or more, verified."""
     seen: dict[tuple[int, int], list[int]] = {}
     kept, sets = [], []
-    for words in texts:
+    for at, words in enumerate(texts):
         if not words:
             continue
         own = nearcopies.shingles(" ".join(words))
@@ -54,31 +57,60 @@ def distinct_texts(texts: list[list[str]]) -> list[set[str]]:
         for m in marks:
             seen.setdefault(m, []).append(len(sets))
         sets.append(own)
-        kept.append(set(words))
+        kept.append(at)
     return kept
 
 
-def toxic_keys(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[str], list[str]]:
-    """Words, and beginnings of at least ``FAMILY`` different words, that set toxic documents apart.
+def distinct_texts(texts: list[list[str]]) -> list[set[str]]:
+    """The word sets of texts, without near copies; see :func:`first_of_copies`."""
+    return [set(texts[i]) for i in first_of_copies(texts)]
+
+
+class Numbered:
+    """Texts as tokens' numbers: names (the words by number), of (a view on each text's numbers)."""
+
+    def __init__(self, texts: Iterable[str]):
+        numbers: dict[str, int] = {}
+        flat, ends = array("i"), [0]
+        for text in texts:
+            flat.extend([numbers.setdefault(w, len(numbers)) for w in tokens(text)])
+            ends.append(len(flat))
+        whole = np.frombuffer(flat, np.int32) if flat else np.array([], np.int32)
+        self.names, self.of = list(numbers), [whole[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+
+    def words(self, text: np.ndarray) -> list[str]:
+        return [self.names[i] for i in text.tolist()]
+
+    def distinct(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """The different numbers of each of the texts that is no near copy of one before."""
+        return [np.unique(texts[i]) for i in first_of_copies(map(self.words, texts))]
+
+
+def toxic_keys(sample: Numbered, n_toxic: int) -> tuple[list[str], list[str]]:
+    """Words, and beginnings of at least ``FAMILY`` different words, that set the sample's first ``n_toxic`` texts apart.
 
     Such a key is in a share ``SHARE`` of the toxic documents at least, and in at least ``ODDS`` times the share of the
     clean ones; a beginning is in a document if two of its words have it, as one may be chance. Of beginnings that extend
     each other the shortest counts, and a word counts by itself only without one.
     """
-    a, b = distinct_texts(toxic), distinct_texts(clean)
+    a, b = sample.distinct(sample.of[:n_toxic]), sample.distinct(sample.of[n_toxic:])
 
-    def apart(parts: Callable[[set[str]], Iterable[str]], least: float) -> set[str]:
-        n, m = (Counter(k for d in docs for k in parts(d)) for docs in (a, b))
-        return {k for k, v in n.items() if v >= least and (v + 0.5) / (len(a) + 1) >= ODDS * (m[k] + 0.5) / (len(b) + 1)}
+    def apart(toxic: int, clean: int) -> bool:
+        return (toxic + 0.5) / (len(a) + 1) >= ODDS * (clean + 0.5) / (len(b) + 1)
 
-    def twice(words: set[str]) -> list[str]:
+    def twice(words: list[str]) -> list[str]:
         return [k for k, v in Counter(w[:n] for w in words for n in BEGINS if len(w) >= n).items() if v > 1]
 
-    begins = apart(twice, max(3, SHARE * len(a)))
-    family = Counter(w[:n] for w in {w for d in a for w in d} for n in BEGINS if w[:n] in begins and len(w) >= n)
+    # what is in too few toxic documents is not counted in clean ones
+    often = {k: v for k, v in Counter(k for d in a for k in twice(sample.words(d))).items() if v >= max(3, SHARE * len(a))}
+    clean = Counter(k for d in b for k in twice(sample.words(d)) if k in often)
+    begins = {k for k, v in often.items() if apart(v, clean[k])}
+    n, m = (np.bincount(np.concatenate([np.array([], np.int32), *docs]), minlength=len(sample.names)).tolist() for docs in (a, b))
+    family = Counter(w[:k] for i, w in enumerate(sample.names) if n[i] for k in BEGINS if w[:k] in begins and len(w) >= k)
     begins = {k for k in begins if family[k] >= FAMILY}
     begins = {k for k in begins if not any(k[:n] in begins for n in BEGINS if n < len(k))}
-    words = {w for w in apart(lambda d: d, max(4, SHARE * len(a))) if not any(w[:n] in begins for n in BEGINS)}
+    least = max(4, SHARE * len(a))
+    words = {w for i, w in enumerate(sample.names) if n[i] >= least and apart(n[i], m[i]) and not any(w[:k] in begins for k in BEGINS)}
     return sorted(words), sorted(begins)
 
 
@@ -116,28 +148,31 @@ def chain_counts(x: np.ndarray, emit: np.ndarray, trans: np.ndarray) -> tuple[np
 class Model:
     """words: the weighted words' numbers (from 1); emit: log-odds of toxic by number (0: other words); trans; fit."""
 
-    def __init__(self, toxic: list[str], clean: list[str]):
-        a, b = [tokens(t) for t in toxic], [tokens(t) for t in clean]
-        words, begins = toxic_keys(a, b)
+    def __init__(self, toxic: Iterable[str], clean: Iterable[str]):
+        marked: list[float] = []
+        given = ((y, t) for y, texts in ((1.0, toxic), (0.0, clean)) for t in texts)
+        sample = Numbered(marked.append(y) or t for y, t in given)
+        n_toxic = int(sum(marked))
+        words, begins = toxic_keys(sample, n_toxic)
         self.words = {w: i for i, w in enumerate(words, 1)}
         self.begins = {w: i for i, w in enumerate(begins, len(words) + 1)}
         self.sizes = sorted({len(w) for w in begins})
         self.emit, self.trans = np.zeros(len(words) + len(begins) + 1), np.zeros((2, 2))
         self.fit = np.array([-4.0, 0.0, 0.0])
-        numbered = [[self.number(w) for w in d] for d in (*a, *b)]
-        windows = []
-        for k, d in enumerate(numbered):
-            y = span_labels(d) if k < len(a) else [0] * len(d)
-            at = [i for i, v in enumerate(d) if v] or [(k * 7919) % max(1, len(d))]
-            edge, none = [len(self.emit)] * SIDE, [0] * SIDE  # beyond the text: a symbol that is always clean
-            wide, marks = [*edge, *d, *edge], [*none, *y, *none]
-            windows += [(wide[i : i + 2 * SIDE + 1], marks[i : i + 2 * SIDE + 1]) for i in at if i < len(d)]
+        weighted = np.array([self.number(w) for w in sample.names], np.int64)
+        windows, edge, span = [], [len(self.emit)] * SIDE, np.arange(2 * SIDE + 1)  # edge, beyond the text: a symbol that is always clean
+        for k, d in enumerate(sample.of):
+            if len(d):
+                own = weighted[d]
+                at = np.flatnonzero(own) if own.any() else np.array([(k * 7919) % len(d)])
+                y = span_labels(own.tolist()) if k < n_toxic else np.zeros(len(d), np.int64)
+                windows.append([np.concatenate([e, x, e])[at[:, None] + span].astype(np.int64) for x, e in ((own, edge), (y, [0] * SIDE))])
         if windows:
-            self._train(np.array([w[0] for w in windows]), np.array([w[1] for w in windows]))
+            self._train(*(np.concatenate(w) for w in zip(*windows, strict=True)))
         self.powers: list[tuple[float, float, float, float]] = []
         self._neutral()
-        shown = np.array([self.aggregate([p for _, p in self.marginals(d)]) for d in numbered]).reshape(-1, 2)
-        self._calibrate(shown, np.array([1.0] * len(a) + [0.0] * len(b)))
+        shown = np.array([self.aggregate([p for _, p in self.marginals(weighted[d].tolist())]) for d in sample.of]).reshape(-1, 2)
+        self._calibrate(shown, np.array(marked))
 
     def number(self, word: str) -> int:
         """The weight's number of a lower-case word, 0 if it has none."""
@@ -250,15 +285,21 @@ class Model:
         return self.score([p for _, p in found]), spans
 
 
-def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts of at most ``SAMPLE`` toxic and as many clean labelled rows, none of them held out."""
+def sample(documents: DataFrame, labels: DataFrame) -> tuple[Iterator[str], Iterator[str]]:
+    """Texts of at most ``SAMPLE`` toxic and as many clean labelled rows, none of them held out, by doc_id."""
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", 4) != 2))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (1, 0)]
     # at most 2 x SAMPLE ids, whatever the labels' number
     rows = documents.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = rows.where("text is not null").orderBy("doc_id").select("toxic", "text").collect()
-    return [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
+    found = rows.where("text is not null").select("doc_id", "toxic", "text").toArrow()
+    ids, marks, texts = (found.column(i) for i in range(3))
+    order = pc.sort_indices(ids).to_pylist()
+
+    def marked(y: int) -> Iterator[str]:
+        return (texts[i].as_py() for i in order if marks[i].as_py() == y)
+
+    return marked(1), marked(0)
 
 
 def scored(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:

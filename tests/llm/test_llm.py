@@ -553,6 +553,19 @@ def test_only_near_copies_count_once():
     assert toxicity.distinct_texts([*texts, *copies, *texts[:5], []]) == [set(t) for t in texts]
 
 
+def test_the_sample_takes_few_bytes_a_token():
+    import tracemalloc
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(600)) for _ in range(200)]
+    tracemalloc.start()
+    try:
+        toxicity.Model((t + " badword" for t in texts[:100]), iter(texts[100:]))
+        assert tracemalloc.get_traced_memory()[1] < 40 * 600 * len(texts)  # a word as a string of its own is 60 with its place in a list
+    finally:
+        tracemalloc.stop()
+
+
 def test_toxicity_edges(documents, none, spark):
     labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1), (7, None), (6, 1)], "doc_id long, toxic int")
     rows = toxicity.report(documents, labels).collect()
@@ -1006,3 +1019,17 @@ def test_near_duplicate_stage_goes_by_simhash():
         met += bool((nc.band_keys(a) == nc.band_keys(b)).any()) and len(nc.close(np.stack([a[:2], b[:2]]))[0][0]) == 1
         far.append(int(np.bitwise_count(a ^ nc.simhash(rng.integers(0, 1 << 63, 90).astype(np.uint64))).sum()))
     assert met >= 298 and abs(np.mean(far) - 32 * nc.WORDS) < 5
+
+
+def test_only_buckets_to_be_split_come_to_the_driver(spark, monkeypatch):
+    from landcube.llm import nearcopies as nc
+
+    texts = [f"a{i // 3} b c d e f g h i{i // 3} j k l m n{i % 3 // 2}" for i in range(60)] + ["", None, "alone"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept, write, found = [], nc.materialize, []
+    monkeypatch.setattr(nc, "materialize", lambda df, name: [kept.append((name, made := write(df, name))), made][1])
+    for held in (nc.HELD, 2):
+        monkeypatch.setattr(nc, "HELD", held)
+        found.append(sorted(map(tuple, nc.near_copies(frame).collect())))
+    few, many = (made.count() for name, made in kept if name == "buckets")
+    assert few == 0 < many and found[0] == found[1]
