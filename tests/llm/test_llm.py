@@ -1021,6 +1021,43 @@ def test_near_duplicate_stage_goes_by_simhash():
     assert met >= 298 and abs(np.mean(far) - 32 * nc.WORDS) < 5
 
 
+def test_near_copies_lose_no_link(spark, monkeypatch):
+    """Pairs just at 0.8, of few shingles, of which SimHash bands miss one in 250; and the same if every shared shingle is a frequent one."""
+    from landcube.llm import nearcopies as nc
+
+    rng, texts = random.Random(21), []
+    for _ in range(1500):
+        words = [f"w{rng.randrange(1 << 30)}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    long = "x" * 3000
+    texts += [f"{long} a b c d e f g h", f"{long} a b c d e f g", f"{long}x a b c d e f g", "a b c d e f g", "common words of all sets are these"] * 2
+    texts += [f"common words of all sets are these {i} {i}" for i in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: i - i % 2 for i in range(3000)}
+    want |= {i: i for i in range(3000, len(texts))} | {3001: 3000, 3005: 3000, 3006: 3000, 3007: 3002, 3008: 3003, 3009: 3004}
+    for few in (nc.FEW, 1):
+        monkeypatch.setattr(nc, "FEW", few)
+        monkeypatch.setattr(nc, "BUCKET", 1024 if few > 1 else 2)
+        assert {r["doc_id"]: r["component_id"] for r in nc.near_copies(frame).collect()} == want
+
+
+def test_bounds_of_near_copies_keep_all_that_are_alike():
+    from landcube.llm import nearcopies as nc
+
+    rng = np.random.default_rng(9)
+    common = np.unique(rng.integers(0, 1 << 62, 50).astype(np.uint64))
+    for n in (1, 4, 5, 9, 60, 127, 128, 900, 40_000):
+        for _ in range(20):
+            both = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, np.uint64), rng.choice(common, min(n, 20))]))
+            less = rng.permutation(both)[: -(-4 * len(both) // 5)]
+            a, b = both, np.sort(less)
+            assert nc.near(a, [b])[0] and set(nc.first_tokens(a, common).tolist()) & set(nc.first_tokens(b, common).tolist())
+            i, j = nc.apart(np.array([len(a), len(b)]), [nc.parity(a).tobytes(), nc.parity(b).tobytes()], np.array([0, 1]))
+            assert {*i.tolist(), *j.tolist()} == {0, 1}
+    other = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (300, 300, 320, 1000, 1100)]
+    assert not len(nc.apart(np.array([len(x) for x in other]), [nc.parity(x).tobytes() for x in other], np.arange(5))[0])
+
+
 def test_only_buckets_to_be_split_come_to_the_driver(spark, monkeypatch):
     from landcube.llm import nearcopies as nc
 
