@@ -6,8 +6,9 @@ by window as they stream by, which keeps about two k-grams in seven. Fingerprint
 extended to the whole window both ways, word by word, and the windows found are united. Equal windows have equal
 fingerprints at equal places, so every shared window is found.
 
-A benchmark counted below ``BROADCAST_WINDOWS`` windows is broadcast. Beyond that size the documents' fingerprints are
-shuffled without their words; only the documents of matching ones are read again for the extension.
+A benchmark counted below ``BROADCAST_WINDOWS`` windows is broadcast; then only documents in which some k-gram is a window's
+fingerprint are winnowed, as no other can share a window. Beyond that size the documents' fingerprints are shuffled without
+their words; only the documents of matching ones are read again for the extension.
 """
 
 from __future__ import annotations
@@ -87,18 +88,47 @@ def winnowed(words: DataFrame, lengths: list[int]) -> DataFrame:
     return rows.where("f is not null").select("doc_id", "own", "w", "f.*")
 
 
+def holders(hashed: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Of the rows (doc_id, own, w, h) those with a k-gram that is a window's fingerprint, equal ones once. windows are broadcast."""
+    marks, ks, i = F.broadcast(windows.select("k", "fp").distinct()), sorted({min(GRAM, n) for n in lengths}), F.col("i")
+    grams = [F.when(i + k <= F.size("h"), F.struct(F.lit(k).alias("k"), F.xxhash64(*[F.get("h", i + j) for j in range(k)]).alias("fp"))) for k in ks]
+    # outer, as in winnowed
+    placed = hashed.select("doc_id", "own", "w", "h", F.explode_outer(steps(F.size("h") - ks[0] + 1)).alias("at")).withColumn("i", F.col("at") - 1)
+    if len(ks) == 1:
+        placed = placed.withColumns({"k": grams[0]["k"], "fp": grams[0]["fp"]})
+    else:
+        placed = placed.withColumn("g", F.explode_outer(F.array(*grams))).select("doc_id", "own", "w", "h", "g.*")
+    kept = placed.join(marks, ["k", "fp"], "left_semi")
+    return kept.groupBy("doc_id", "own").agg(F.first("w").alias("w"), F.first("h").alias("h"))
+
+
 def matches(hashed: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, own, hits and items of the rows (doc_id, own, w, h) that share a window."""
-    marked, start = winnowed(hashed, lengths), F.col("p") - F.col("off")
+    """doc_id, own, n_words, hits and items of the rows (doc_id, own, w, h) that share a window."""
+    start = F.col("p") - F.col("off")
     equal = F.slice("w", start + 1, F.col("len")) == F.col("win")
     if fits(windows, BROADCAST_WINDOWS):
-        joined = marked.join(F.broadcast(windows), ["k", "fp"]).where(start >= 0)
+        joined = winnowed(holders(hashed, windows, lengths), lengths).join(F.broadcast(windows), ["k", "fp"]).where(start >= 0)
     else:
-        found = marked.drop("w").join(windows, ["k", "fp"]).where(start >= 0)
+        found = winnowed(hashed, lengths).drop("w").join(windows, ["k", "fp"]).where(start >= 0)
         texts = hashed.select(F.col("doc_id").alias("id"), F.col("own").alias("key"), "w")
         joined = found.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")))
-    hit = joined.where(equal).select("doc_id", "own", F.sequence(start, start + F.col("len") - 1).alias("hit"), "items").groupBy("doc_id", "own")
-    return hit.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hit = joined.where(equal).select("doc_id", "own", F.size("w").alias("n"), F.sequence(start, start + F.col("len") - 1).alias("hit"), "items").groupBy("doc_id", "own")
+    return hit.agg(F.max("n").cast("long").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+
+def words_in(documents: DataFrame) -> DataFrame:
+    """doc_id, own (the text's hash) and w (its words) of each row."""
+    return need(documents, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), words_of(F.col("text")).alias("w"))
+
+
+def sharing(documents: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
+    """The columns of :func:`contamination` for the documents that share a window, by doc_id and own; rows equal in both are one."""
+    windows = materialize(benchmark_windows(benchmark, span), "windows")
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most ``span`` numbers
+    rows = words_in(documents)
+    if not lengths:
+        return rows.where("false").select("doc_id", "own", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    return materialize(matches(rows.withColumn("h", hashes_of(F.col("w"))), windows, lengths), "hits")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, span: int = 13) -> DataFrame:
@@ -109,13 +139,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = 13) ->
     doc_id, or have none, are judged each for itself. An item without an id marks words like any other, but is not among
     the items. Extra columns are ignored.
     """
-    windows = materialize(benchmark_windows(benchmark, span), "windows")
-    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most ``span`` numbers
-    rows = need(documents, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), words_of(F.col("text")).alias("w"))
-    every = rows.select("doc_id", "own", F.size("w").cast("long").alias("n_words"))
-    if not lengths:
-        return every.withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    found = materialize(matches(rows.withColumn("h", hashes_of(F.col("w"))), windows, lengths), "hits").withColumnsRenamed({"doc_id": "id", "own": "key"})
+    every = words_in(documents).select("doc_id", "own", F.size("w").cast("long").alias("n_words"))
+    found = sharing(documents, benchmark, span).drop("n_words").withColumnsRenamed({"doc_id": "id", "own": "key"})
     joined = every.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")), "left")
     empty = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("hits", "array<int>"), ("items", "array<string>"))]
     return joined.select("doc_id", "own", "n_words", *empty)

@@ -35,6 +35,9 @@ SAMPLE, BRIDGE, SIDE = 2500, 2, 10
 #: Least odds and share of a toxic key, lengths of beginnings and how many words must share one.
 ODDS, SHARE, BEGINS, FAMILY = 20.0, 0.03, (4, 5, 6, 7, 8), 5
 WORD = re.compile(r"[^\W\d_]+")
+#: ASCII letters as lower-case letters, all else as a blank; letters of a word that are looked up first.
+#: Up to MANY of these are looked for in a whole text before its words are.
+LETTERS, HEAD, MANY = bytes(c | 32 if chr(c).isalpha() else 32 for c in range(128)) + b" " * 128, 4, 64
 SCORES = "_score double, _spans array<struct<start: int, end: int, p: double>>"
 
 
@@ -157,6 +160,10 @@ class Model:
         self.words = {w: i for i, w in enumerate(words, 1)}
         self.begins = {w: i for i, w in enumerate(begins, len(words) + 1)}
         self.sizes = sorted({len(w) for w in begins})
+        self.heads = {w[:HEAD] for w in (*words, *begins)}  # no beginning is shorter
+        self.ascii = {w.encode() for w in self.heads}
+        # a sigma's lower case depends on what is around it
+        self.anywhere = {w.replace("ς", "σ") for w in self.heads} if len(self.heads) <= MANY else {""}
         self.emit, self.trans = np.zeros(len(words) + len(begins) + 1), np.zeros((2, 2))
         self.fit = np.array([-4.0, 0.0, 0.0])
         weighted = np.array([self.number(w) for w in sample.names], np.int64)
@@ -275,8 +282,15 @@ class Model:
 
     def read(self, text: str) -> tuple[float, list[dict]]:
         """Score and toxic spans (code points) of a whole text."""
-        words = WORD.findall(text)
-        hits = [(i, v) for i, v in enumerate(map(self.number, map(str.lower, words))) if v]
+        low = text.lower().replace("ς", "σ")
+        if not any(w in low for w in self.anywhere):
+            return self.score([]), []
+        if text.isascii():
+            words, heads = text.encode().translate(LETTERS).split(), self.ascii
+            hits = [(i, v) for i, w in enumerate(words) if w[:HEAD] in heads and (v := self.number(w.decode()))]
+        else:
+            words, heads = WORD.findall(text), self.heads
+            hits = [(i, v) for i, w in enumerate(map(str.lower, words)) if w[:HEAD] in heads and (v := self.number(w))]
         if not hits:
             return self.score([]), []
         found = self.marginals(words, hits)

@@ -566,6 +566,31 @@ def test_the_sample_takes_few_bytes_a_token():
         tracemalloc.stop()
 
 
+def test_words_are_looked_up_by_their_head_alone(monkeypatch):
+    """Only words that begin as a key does are looked up, and the result is that of looking up every word."""
+    rng = random.Random(8)
+    keys = ["idiot", "ass", "dummes", "ßcheußlich", "i\u0307diot"]
+    filler = ["Ideal", "asset", "as", "ASS", "Dummesel", "x", "ΣΑΣ", "İdiot", "don't_stop", "3rd", "naïve", "ẞcheußlich"]
+    word = lambda: "".join(rng.choices("bcdfghklmnp", k=6))
+    model = toxicity.Model([f"{word()} {word()} {k} {word()}" for k in keys * 4], [f"fine {word()} {word()} naïve asset" for _ in range(60)])
+    assert {"idiot", "ass", "dummes"} < set(model.words)
+    texts = [" ".join(rng.choices([*keys, *filler, *(["plain"] * 20)], k=60)) + end for end in (".", "\x00", "", "\x1fidiot") for _ in range(20)]
+    texts += ["".join(c for c in t if c.isascii()) for t in texts] + ["", "idiot", "IDIOT\x0bass"]
+
+    def plainly(text):
+        words = toxicity.WORD.findall(text)
+        return [(i, v) for i, v in enumerate(map(model.number, map(str.lower, words))) if v], len(words)
+
+    looked, number, marginals, seen = [], toxicity.Model.number, toxicity.Model.marginals, {}
+    want = {t: plainly(t) for t in texts}
+    monkeypatch.setattr(toxicity.Model, "number", lambda self, word: looked.append(word) or number(self, word))
+    monkeypatch.setattr(toxicity.Model, "marginals", lambda self, words, hits: seen.update({text: (hits, len(words))}) or marginals(self, words, hits))
+    for text in texts:
+        model.read(text)
+    assert {t: w for t, w in want.items() if w[0]} == seen and len(seen) > 100
+    assert looked and not any(w in looked for w in ("plain", "x", "as"))
+
+
 def test_toxicity_edges(documents, none, spark):
     labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1), (7, None), (6, 1)], "doc_id long, toxic int")
     rows = toxicity.report(documents, labels).collect()
@@ -1021,6 +1046,20 @@ def test_near_duplicate_stage_goes_by_simhash():
     assert met >= 298 and abs(np.mean(far) - 32 * nc.WORDS) < 5
 
 
+def test_decontamination_stage_reads_its_texts_once_for_words(spark):
+    """And winnows only documents that hold a fingerprint."""
+    import corpus_pipeline as cp
+    from landcube.llm.common import table
+
+    docs = table(spark, SF, "documents")
+    plan = cp.drop_contaminated(spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # the rows, and the hits found
+    windows = decontamination.benchmark_windows(table(spark, SF, "benchmark"), 13)
+    rows = decontamination.words_in(docs).withColumn("h", decontamination.hashes_of(decontamination.F.col("w")))
+    n = decontamination.holders(rows, windows, [13]).count()
+    assert decontamination.sharing(docs, table(spark, SF, "benchmark")).count() <= n < docs.count() / 4
+
+
 def test_near_copies_lose_no_link(spark, monkeypatch):
     """Pairs just at 0.8, of few shingles, of which SimHash bands miss one in 250; and the same if every shared shingle is a frequent one."""
     from landcube.llm import nearcopies as nc
