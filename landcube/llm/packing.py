@@ -25,7 +25,7 @@ from landcube.llm.common import materialize, need
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 #: Words kept with their ids in a Python worker.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 
 
 class WordIds:
